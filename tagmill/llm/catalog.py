@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, mixing
+from . import collision, lines, minhash, mixing, vafile
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (mixing, lines):
+for _module in (vafile, mixing, minhash, lines, collision):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
