@@ -31,29 +31,32 @@ def _block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     order = np.argsort(projected, axis=1, kind="stable")
     values = np.take_along_axis(projected, order, axis=1)
     start = max(float(np.median(values[:, -1] - values[:, 0])) * FIRST, float(np.abs(values).max()) * 1e-3, 1e-300)
+    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     out: list[tuple] = []
     for query_id, vec, centre in zip(query_ids, q, q @ a, strict=True):
         own = ids == query_id
-        target = min(k, len(np.unique(ids[~own])))
+        target = min(k, len(firsts) - int(own.any()))
         if not target:
             continue
-        counts, done, found = np.zeros(n, np.int64), own.copy(), {}
+        counts, done, dist = np.zeros(n, np.int64), own.copy(), np.full(n, np.inf)
         left = np.array([np.searchsorted(values[j], centre[j]) for j in range(M)])
         right, half = left.copy(), start
         while True:
-            new_left = [int(np.searchsorted(values[j], centre[j] - half, "left")) for j in range(M)]
-            new_right = [int(np.searchsorted(values[j], centre[j] + half, "right")) for j in range(M)]
-            hit = np.concatenate([order[j, s] for j in range(M) for s in (slice(new_left[j], left[j]), slice(right[j], max(right[j], new_right[j])))])
+            new_left = np.minimum(left, [np.searchsorted(values[j], centre[j] - half, "left") for j in range(M)])
+            new_right = np.maximum(right, [np.searchsorted(values[j], centre[j] + half, "right") for j in range(M)])
+            hit = np.concatenate([order[j, s] for j in range(M) for s in (slice(new_left[j], left[j]), slice(right[j], new_right[j]))])
             counts += np.bincount(hit, minlength=n)
-            left, right = np.minimum(left, new_left), np.maximum(right, new_right)
+            left, right = new_left, new_right
             new = np.flatnonzero((counts >= NEED) & ~done)
             done[new] = True
-            for v, s in zip(ids[new].tolist(), np.sqrt(((x[new] - vec) ** 2).sum(axis=1)).tolist(), strict=True):
-                found[v] = min(s, found.get(v, np.inf))
-            if done.all() or len(found) >= target and half >= REACH * sorted(found.values())[target - 1]:
+            dist[new] = np.sqrt(((x[new] - vec) ** 2).sum(axis=1))
+            by_id = np.minimum.reduceat(dist, firsts)
+            if done.all() or half >= REACH * np.partition(by_id, target - 1)[target - 1]:
                 break
             half *= WIDEN
-        out += [(int(query_id), v, s) for v, s in sorted(found.items(), key=lambda f: (f[1], f[0]))[:k]]
+        by_id = np.minimum.reduceat(dist, firsts)
+        best = np.lexsort((ids[firsts], by_id))[:target]
+        out += [(int(query_id), int(ids[firsts[i]]), float(by_id[i])) for i in best if np.isfinite(by_id[i])]
     return out
 
 
