@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import codes, collision, lines, minhash, mixing, vafile
+from . import codes, collision, lines, minhash, mixing, personal, vafile
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (vafile, mixing, minhash, codes, lines, collision):
+for _module in (vafile, mixing, minhash, codes, lines, personal, collision):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
