@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import codes, collision, language, lines, minhash, mixing, personal, vafile
+from . import codes, collision, language, lines, minhash, mixing, personal, quality, vafile
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (vafile, mixing, language, minhash, codes, lines, personal, collision):
+for _module in (vafile, mixing, language, minhash, quality, codes, lines, personal, collision):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
