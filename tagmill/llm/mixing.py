@@ -49,30 +49,45 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (1, 2, 3), most: i
     return levelled.select("source", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3, level_bits: int = 12) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies for every document.
+class Mix:
+    """What a mix takes: for each source its size, target, whole rounds and the limit of the last round's hashes."""
+
+    def __init__(self, sources: DataFrame, few: bool):
+        self.sources, self.few = sources, few
+
+    def join(self, rows: DataFrame, other: DataFrame | None = None) -> DataFrame:
+        """``rows`` with their source's columns, by a broadcast only if the sources are few."""
+        other = (self.sources if other is None else other).withColumnRenamed("source", "_source")
+        other = F.broadcast(other) if self.few else other
+        return rows.join(other, rows.source.eqNullSafe(other._source), "left").drop("_source")
+
+
+#: How often a document is taken, by its hash ``h`` and its source's columns.
+COPIES = "whole + CASE WHEN h <= coalesce(`limit`, -1) THEN 1 ELSE 0 END"
+
+
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, h of every document, checkpointed."""
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), hash60(F.col(id_col)).alias("h")))
+
+
+def plan_mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, level_bits: int = 12) -> Mix:
+    """The mix of ``sized`` (source, size, h).
 
     A source with target t and size s takes every document floor(t / s) times, and once more those whose hash is at or
-    below the threshold at which their sizes come nearest to the rest of the target.
+    below the limit at which their sizes come nearest to the rest of the target.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), hash60(F.col(id_col)).alias("h")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = source_targets(sums, weights, most).withColumn("whole", whole)
     sources = cut(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
-    few = sources.count() <= BROADCAST_SOURCES
-
-    def with_sources(rows: DataFrame, other: DataFrame) -> DataFrame:
-        other = other.withColumnRenamed("source", "_source")
-        other = F.broadcast(other) if few else other
-        return rows.join(other, rows.source.eqNullSafe(other._source), "left").drop("_source")
-
+    mix = Mix(sources, sources.count() <= BROADCAST_SOURCES)
     # Of each source: the bucket (a prefix of the hash) in which the budget runs out, and the sum of sizes before it.
     found = sources.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     bits = 0
     for step in (level_bits, level_bits, HASH_BITS - 2 * level_bits):
-        inside = with_sources(sized, found).where(F.col("prefix") == F.shiftright("h", HASH_BITS - bits) if bits else F.lit(True))
+        inside = mix.join(sized, found).where(F.col("prefix") == F.shiftright("h", HASH_BITS - bits) if bits else F.lit(True))
         bits += step
         sums = inside.groupBy("source", F.shiftright("h", HASH_BITS - bits).alias("prefix")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("start"))
         upto = F.col("start") + F.sum("n").over(W.partitionBy("source").orderBy("prefix"))
@@ -80,11 +95,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         found = sums.where((F.col("upto") > F.col("rest")) & (F.col("before") <= F.col("rest"))).select("source", "rest", "prefix", "before", "upto")
     nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("before")
     limits = found.select("source", F.when(nearer, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("limit"))
-    out = with_sources(with_sources(sized, sources), limits)
-    copies = F.col("whole") + F.when(F.col("h") <= F.coalesce(F.col("limit"), F.lit(-1)), 1).otherwise(0)
+    return Mix(mix.join(sources, limits).select("source", "source_size", "target", "whole", "limit"), mix.few)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every document."""
+    sized = sizes(docs, id_col, text_col, source_col)
+    copies = F.expr(COPIES)
+    out = plan_mix(sized, weights, most).join(sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
+    """``docs`` (doc_id, text, source and more) as the mix takes them: each row as often as it is taken."""
+    mix = plan_mix(sizes(docs), weights, most)
+    plan = Mix(mix.sources.select("source", F.struct("whole", "limit").alias("_mix")), mix.few)
+    copies = F.col("_mix.whole") + F.when(hash60(F.col("doc_id")) <= F.coalesce("_mix.limit", F.lit(-1)), 1).otherwise(0)
+    rounds = plan.join(docs).withColumn("_copies", copies.cast("int")).where("_copies > 0")
+    return rounds.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
