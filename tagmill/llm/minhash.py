@@ -4,10 +4,12 @@ A document is the set of its distinct ``width``-word shingles (64-bit hashes). U
 and the maximum are kept, so a signature of 2k values costs k hash evaluations; three values of different permutations
 make a band. A pair of similarity 0.75 shares none of 32 bands with a probability of 2e-8.
 
-Documents with equal sets form one class, which acts as a single node from then on. Within a bucket (classes that share
-a band) every class is compared with the smallest, then, where a bucket still spans several components, with the
-largest, and last, classes of different components with each other: a pair is left out only if its two ends are
-connected already, so components come out as if all pairs had been compared. Every link is confirmed on the full sets.
+Documents with equal sets form one class, which acts as a single node from then on. In every bucket (classes that share
+a band) each class is paired with the smallest one only; a pair that shares LEAST bands or more is a candidate (a pair
+of similarity 0.75 shares fewer with a probability of 7e-6). Classes connected by candidates form a family. Families are
+compared on their full sets in blocks: a task holds two blocks of bounded size, gets all their intersection sizes by
+matrix products and returns the edges of a spanning forest of the links found, never the pairs themselves. Rows thus
+grow with the number of classes times the family's blocks, and the components are those of all links.
 
 Cases: a text without words (or null) has an empty set and no links; with fewer words than ``width`` the whole sequence
 is the one shingle; rows that repeat a doc_id count as one document with all their links, rows with a null doc_id as one
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-WIDTH, PERCENT, PERMUTATIONS, ROWS = 5, 75, 48, 3
+WIDTH, PERCENT, PERMUTATIONS, ROWS, LEAST = 5, 75, 48, 3, 3
+#: Shingles in a block of a family: what bounds the memory of a task that compares two blocks.
+BLOCK = 1 << 18
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts to be compared; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -93,6 +97,58 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["fp", "shingles"])
 
 
+def _links(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Which sets of the two lists are similar enough: intersections by products of membership matrices."""
+    both = [*left, *right]
+    sizes = np.array([len(s) for s in both], np.int64)
+    owner, n = np.repeat(np.arange(len(both)), sizes), len(left)
+    _, column, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((n, len(right)), np.float32)
+    new = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1 if len(column) else column
+    for at in range(0, int(new[-1]) + 1 if len(new) else 0, step):
+        some = slice(*np.searchsorted(new, [at, at + step]))
+        m = np.zeros((len(both), step), np.float32)
+        m[owner[some], new[some] - at] = 1
+        common += m[:n] @ m[n:].T
+    inter = common.astype(np.int64)
+    return 100 * inter >= PERCENT * (sizes[:n, None] + sizes[None, n:] - inter)
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (parent, child) of a spanning forest of a symmetric relation."""
+    new, out = np.ones(len(linked), bool), []
+    for seed in range(len(linked)):
+        if new[seed]:
+            new[seed], queue = False, [seed]
+            for u in queue:
+                found = np.flatnonzero(linked[u] & new)
+                new[found] = False
+                out += [(u, int(v)) for v in found]
+                queue += found.tolist()
+    return out
+
+
+def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The forest edges of a cell: whole small families, or two blocks of a large one."""
+    out = []
+    for _, part in pdf.groupby("root"):
+        nodes, sets = part["node"].tolist(), [np.asarray(s, np.int64) for s in part["shingles"]]
+        first = (part["block"] == part["block"].min()).to_numpy()
+        if first.all():
+            linked = _links(sets, sets)
+        else:
+            a, b = np.flatnonzero(first), np.flatnonzero(~first)
+            linked = np.zeros((len(sets), len(sets)), bool)
+            linked[np.ix_(a, b)] = _links([sets[i] for i in a], [sets[i] for i in b])
+            linked |= linked.T
+        out += [(nodes[u], nodes[v]) for u, v in _forest(linked)]
+    return pd.DataFrame(out, columns=["u", "v"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) to (node, root): the smallest node reachable, for every node of an edge.
 
@@ -110,21 +166,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of the pairs (u, v), those whose full sets are similar enough."""
-    sizes = nodes.select("node", "n")
-    near = pairs.join(sizes.toDF("u", "nu"), "u").join(sizes.toDF("v", "nv"), "v")
-    near = cut(near.where(100 * F.least("nu", "nv") >= PERCENT * F.greatest("nu", "nv")))
-    wanted = near.select("u").union(near.select("v")).distinct().toDF("node")
-    wanted = cut(nodes.join(wanted, "node").select("node", "fp", "rep"))
+def _family_links(families: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): edges that connect what is linked within each family (node, root)."""
+    wanted = nodes.select("node", "fp", "rep", "n").join(families, "node")
+    totals = wanted.groupBy("root").agg(F.sum("n").alias("total"))
+    wanted = cut(wanted.join(totals, "root").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")))
+    many, small = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()
     ids = wanted.select("rep").distinct()
-    if wanted.count() <= BROADCAST_IDS:
+    if many <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    sets = texts.mapInPandas(_sets, "fp binary, shingles array<long>").join(wanted, "fp").dropDuplicates(["fp"]).select("node", "shingles")
-    with_u = near.join(sets.toDF("u", "su"), "u")
-    common = F.size(F.array_intersect("su", "sv"))
-    return with_u.join(sets.toDF("v", "sv"), "v").where(100 * common >= PERCENT * (F.col("nu") + F.col("nv") - common)).select("u", "v")
+    sets = texts.mapInPandas(_sets, "fp binary, shingles array<long>").join(wanted, "fp").dropDuplicates(["fp"])
+    placed = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.concat_ws(":", "root", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
+    pack = F.pmod(F.xxhash64("root"), F.lit(1 + small // BLOCK)).cast("string")
+    placed = placed.withColumn("cell", F.when(F.col("blocks") == 1, pack).otherwise(own))
+    return placed.select("cell", "root", "node", "block", "shingles").groupBy("cell").applyInPandas(_cell, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,28 +192,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = cut(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fp"))))
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    rows = cut(rows.join(shared, "key"))
-    tested = rows.where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
-    edges = cut(_confirmed(tested, nodes, docs))
-    rows = rows.where("many > 2")
-
-    def in_parts(labels: DataFrame) -> DataFrame:
-        """The rows of the buckets that span more than one component, with their component."""
-        named = rows.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        torn = named.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("key")
-        return named.join(torn, "key", "left_semi")
-
-    labels = components(edges)
-    parts = in_parts(labels)
-    top = parts.where("node = high").select("high", F.col("root").alias("top_root")).distinct()
-    more = parts.join(top, "high").where("node <> high and root <> top_root").select(F.col("node").alias("u"), F.col("high").alias("v")).distinct()
-    edges = cut(edges.union(_confirmed(more, nodes, docs)))
-    parts = cut(in_parts(components(edges)).where("node <> low and node <> high").select("key", "node", "root"))
-    other = parts.select("key", F.col("node").alias("v"), F.col("root").alias("other_root"))
-    rest = parts.join(other, "key").where("root < other_root").select(F.col("node").alias("u"), "v").distinct()
-    edges = cut(edges.union(_confirmed(rest, nodes, docs)))
-    labels = components(edges)
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    pairs = rows.join(shared, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+    signed = nodes.select("node", "bands")
+    pairs = pairs.join(signed.toDF("u", "bu"), "u").join(signed.toDF("v", "bv"), "v").where(F.size(F.array_intersect("bu", "bv")) >= LEAST)
+    families = components(pairs.select("u", "v"))
+    labels = components(_family_links(families, nodes, docs))
 
     roots = nodes.select("fp", "node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = roots.groupBy("root").agg(F.min("rep").alias("component"))
