@@ -1 +1 @@
-"""Annotation-dataset analytics and training-data preparation on Spark DataFrames."""
+"""Annotation analytics on Spark: every operator takes DataFrames and returns DataFrames."""

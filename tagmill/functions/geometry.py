@@ -38,8 +38,8 @@ def corners_to_size(x1: Column, y1: Column, x2: Column, y2: Column) -> dict[str,
     return {"x": x1, "y": y1, "w": x2 - x1, "h": y2 - y1}
 
 
-def iou(a: Column, b: Column) -> Column:
-    """Overlap of two structs with x1, y1, x2, y2; 0 without overlap or area."""
+def iou(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
+    """Overlap of two boxes (structs or dicts of columns) with x1, y1, x2, y2; 0 without overlap or area."""
     w = F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])
     h = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
     both = w * h
