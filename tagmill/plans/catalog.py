@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import evaluation
+from . import duplicates, evaluation, labelling
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (evaluation,):
+for _module in (evaluation, labelling, duplicates):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

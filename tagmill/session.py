@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks."""
-    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+    conf = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     return SparkSession.builder.master(f"local[{cpus}]").appName("tagmill").config(map=conf).getOrCreate()
 
 
