@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def base_name(path: Column) -> Column:
@@ -43,10 +42,10 @@ def hex_to_bgr(colour: Column) -> dict[str, Column]:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes whole, then KB, MB and GB with one decimal."""
+    """Bytes whole, then KB, MB and GB with one decimal (half to even)."""
 
     def step(k: int, unit: str) -> Column:
-        return F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))
+        return F.concat(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), F.lit(f" {unit}"))
 
     return F.when(n < 1024, F.concat(n.cast("long").cast("string"), F.lit(" B"))).when(n < 1024**2, step(1, "KB")).when(n < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
 
@@ -91,14 +90,16 @@ def clip_index(name: Column) -> Column:
     return F.when(found != "", found.cast("long"))
 
 
-def unique_name(name: Column, *order: Column) -> Column:
-    """The name; from its second row on with __1, __2 and so on, in ``order``."""
-    k = F.row_number().over(W.partitionBy(name).orderBy(*order)) - 1
+def numbered_name(name: Column, k: Column) -> Column:
+    """The name; with __1, __2 and so on for its further rows, numbered by ``k`` from 0."""
     return F.when(k == 0, name).otherwise(F.concat(name, F.lit("__"), k.cast("string")))
 
 
-def unique_label(label: Column, *order: Column) -> Column:
-    """The trimmed label (``Model`` if empty); from its second row on with (2), (3) and so on."""
-    base = F.when(F.trim(label) == "", "Model").otherwise(F.trim(label))
-    k = F.row_number().over(W.partitionBy(base).orderBy(*order))
-    return F.when(k == 1, base).otherwise(F.concat(base, F.lit(" ("), k.cast("string"), F.lit(")")))
+def numbered_label(label: Column, k: Column) -> Column:
+    """The label; with (2), (3) and so on for its further rows, numbered by ``k`` from 0."""
+    return F.when(k == 0, label).otherwise(F.concat(label, F.lit(" ("), (k + 1).cast("string"), F.lit(")")))
+
+
+def label_base(label: Column) -> Column:
+    """The trimmed label, ``Model`` if empty."""
+    return F.when(F.coalesce(F.trim(label), F.lit("")) == "", "Model").otherwise(F.trim(label))

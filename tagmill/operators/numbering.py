@@ -26,6 +26,13 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "index") -> Data
     return placed.join(F.broadcast(starts), "_p").withColumn(name, F.col("_start") + F.col("_m").bitwiseAND(F.lit((1 << _SHIFT) - 1))).drop("_m", "_p", "_start", "_n")
 
 
+def ranked_within(rows: DataFrame, key: str, *order: Column | str, name: str = "rank") -> DataFrame:
+    """``rows`` with their number (from 0) within their key, by one distributed sort: a key may have most of the rows."""
+    placed = numbered(rows, key, *order, name="_index")
+    firsts = placed.groupBy(F.col(key).alias("_key")).agg(F.min("_index").alias("_first"))
+    return placed.join(firsts, placed[key].eqNullSafe(F.col("_key"))).withColumn(name, F.col("_index") - F.col("_first")).drop("_index", "_first", "_key")
+
+
 def systematic_sample(rows: DataFrame, most: int, *order: Column | str) -> DataFrame:
     """At most ``most`` rows at equal distances: number floor(i * n / most) for i below ``most``; all rows if there are no more."""
     n = rows.count()
@@ -48,9 +55,8 @@ def order_statistics(rows: DataFrame, key: str, value: str) -> DataFrame:
 
     Ranks come from one distributed sort by (key, value), so a key with most of the rows is no burden on one task.
     """
-    placed = numbered(rows.where(F.col(value).isNotNull()).select(key, value), key, value)
-    firsts = placed.groupBy(key).agg(F.min("index").alias("_first"), F.count(F.lit(1)).alias("n"))
-    ranked = placed.join(firsts, key).withColumn("rank", F.col("index") - F.col("_first"))
+    placed = ranked_within(rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key, value), key, value)
+    ranked = placed.join(placed.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
     at95 = F.floor(F.lit(0.95) * (F.col("n") - 1))
     low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
     here = ranked.where((F.col("rank") == at95) | (F.col("rank") == low) | (F.col("rank") == high))

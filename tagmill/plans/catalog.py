@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import duplicates, evaluation, labelling
+from . import duplicates, evaluation, labelling, merging, scalars, video
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (evaluation, labelling, duplicates):
+for _module in (evaluation, labelling, duplicates, merging, video, scalars):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
