@@ -13,15 +13,20 @@ def session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
     return SparkSession.builder.master(f"local[{cpus}]").appName("tagmill").config(map=conf).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder in ``spark.checkpoint.dir`` and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
     Where the session names none, local mode (tests) gets a temporary folder and a cluster one in its warehouse.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         found = sc.getConf().get("spark.checkpoint.dir")
         alone = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         sc.setCheckpointDir(found or (tempfile.mkdtemp(prefix="tagmill-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder and read from there: lost executors cost no recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
