@@ -22,11 +22,11 @@ def _fill(ratios: Sequence[float]):
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "key"], kind="stable")
         total = pdf["n"].sum()
-        left = {name: r * total for name, r in zip(NAMES, ratios, strict=True) if r > 0} or {"train": 0.0}
-        out = []
+        target = {name: r * total for name, r in zip(NAMES, ratios, strict=True) if r > 0} or {"train": 0.0}
+        filled, out = dict.fromkeys(target, 0), []
         for n in pdf["n"]:
-            pick = max(left, key=left.__getitem__)  # the first of equals
-            left[pick] -= n
+            pick = max(target, key=lambda name: target[name] - filled[name])  # the first of equals
+            filled[pick] += n
             out.append(pick)
         return pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "rank": pdf["rank"], "split": out})
 

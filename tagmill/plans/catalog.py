@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import duplicates, evaluation, labelling, merging, scalars, streams, video
+from . import duplicates, evaluation, labelling, manifests, merging, scalars, streams, video
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (evaluation, labelling, duplicates, merging, video, scalars, streams):
+for _module in (evaluation, labelling, duplicates, merging, video, scalars, streams, manifests):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

@@ -146,7 +146,7 @@ _KEYS = f"{_GROUPS}, keys AS (SELECT doc_id AS id, CASE WHEN dup_group IS NULL T
 
 def _fold_sql(ratios: tuple[float, float, float]) -> str:
     """The ordered filling as a recursion over the groups; the next free part has the largest gap, the first of equals."""
-    gaps = [f"{r} * total - {k}" if r > 0 else "-1e18" for r, k in zip(ratios, ("a", "b", "c"), strict=True)]
+    gaps = [f"{r / sum(ratios)!r}::DOUBLE * total - {k}" if r > 0 else "-1e18" for r, k in zip(ratios, ("a", "b", "c"), strict=True)]
     pick = f"CASE WHEN {gaps[0]} >= {gaps[1]} AND {gaps[0]} >= {gaps[2]} THEN 'train' WHEN {gaps[1]} >= {gaps[2]} THEN 'val' ELSE 'test' END"
     return f"""turns AS (SELECT key, count(*) AS n, row_number() OVER (ORDER BY md5('42|' || key), key) AS k, sum(count(*)) OVER () AS total FROM keys GROUP BY key),
 fill AS (
