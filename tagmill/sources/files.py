@@ -26,21 +26,39 @@ def _placed(path: str, root: str) -> dict[str, Column]:
 
 
 def list_files(spark: SparkSession, root: str, endings: tuple[str, ...]) -> DataFrame:
-    """Files below ``root`` by their ending; contents aren't read, as the column is pruned."""
+    """Files below ``root`` by their ending; contents aren't read, as the column is pruned. Spark's readers skip empty files."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rows = found.select(*[x.alias(k) for k, x in _placed("path", root).items()], "length")
     return rows.where(F.col("ext").isin(*endings))
 
 
+def list_labels(spark: SparkSession, root: str) -> DataFrame:
+    """All label files below ``root``, empty ones (images without an object) included.
+
+    The empty ones come from the store's own listing on the driver, which Spark makes for every read as well.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    every, empty = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True), []
+    while every.hasNext():
+        status = every.next()
+        if not status.getLen() and status.getPath().getName().lower().endswith(".txt"):
+            empty.append((status.getPath().toString(), 0))
+    rows = spark.createDataFrame(empty, "path string, length long")
+    return list_files(spark, root, ("txt",)).unionByName(rows.select(*[x.alias(k) for k, x in _placed("path", root).items()], "length"))
+
+
 def list_images(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
-    """Images below ``root``; with ``skip_hidden`` not those in hidden folders or label folders."""
+    """Images below ``root``; with ``skip_hidden`` not those in label or hidden folders (Spark itself lists no names with a leading dot or underscore)."""
     rows = list_files(spark, root, IMAGE_ENDINGS)
     return rows.where(~F.concat(F.lit("/"), "rel_dir", F.lit("/")).rlike(r"/(labels|__pycache__|\.[^/]*)/")) if skip_hidden else rows
 
 
 def read_label_lines(spark: SparkSession, root: str) -> DataFrame:
-    """path, rel_dir, stem, length, line_no, line of every label file below ``root``; an empty file has one empty line."""
-    rows = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root)
+    """path, rel_dir, stem, length, line_no, line of the label files below ``root``.
+
+    Empty files have no lines; ``list_labels`` shows them.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root, wholetext=True)
     files = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"), "value")
     lines = F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("pos", "line")
     out = files.select(*[x.alias(k) for k, x in _placed("path", root).items()], "length", lines)
