@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     A round hands the smallest label over every edge and then replaces each label by its own label, which halves the
     paths, so rounds grow with the logarithm of the longest chain. What a round gives is checkpointed in the shared folder.
     """
-    both = cut(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select("v", "u")).distinct())
+    one = cut(edges.where("u <> v").select("u", "v"))  # both directions must come from one run of what made the edges
+    both = cut(one.union(one.select("v", "u")).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
     while True:
         heard = both.join(labels.toDF("v", "said"), "v").groupBy(F.col("u").alias("node")).agg(F.min("said").alias("said"))
