@@ -204,7 +204,10 @@ def op8_personal_data(spark, sf_dir: str) -> DataFrame:
     def joined(spans):
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("spans", lambda x, kind=kind: x["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
     digest = F.sha2(joined(F.filter("spans", lambda x: x["base"])), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, joined(F.col("spans")).alias("spans"))
 
