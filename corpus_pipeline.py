@@ -39,9 +39,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's piece ids, and the text that they spell."""
-    model = pieces.model_path()
-    coded = pieces.encode_pieces(docs.select("doc_id", "source", "lang", "text"), model)
-    return pieces.decode_pieces(coded.drop("text"), model).withColumn("n_pieces", F.size("piece_ids").cast("long"))
+    coded = pieces.encode_pieces(docs.select("doc_id", "source", "lang", "text"), pieces.model_path(), spelled_col="_spelled")
+    return coded.withColumn("text", F.col("_spelled")).drop("_spelled").withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
 
 STAGES = [("quality", grade_documents), ("lines", remove_lines), ("near_duplicates", drop_near_duplicates), ("mix", mix), ("tokenize", tokenize)]

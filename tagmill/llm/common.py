@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Memo(dict):
+    """Results of ``make`` by key, in two generations of at most ``most`` keys.
+
+    When the young generation is full it becomes the old one, and a key that is asked for again moves on: what is frequent
+    stays, and memory is bounded.
+    """
+
+    def __init__(self, make: Callable[[Any], Any], most: int):
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: Any) -> Any:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import string
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -27,24 +28,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import table
+from .common import Memo, table
 
 SPACE = "▁"
-#: Parts of texts and pairs of pieces that a worker remembers; then it starts anew.
-PARTS, PAIRS = 500_000, 1_000_000
-
-
-class _Memo(dict):
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
-
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        out = self[key] = self.make(key)
-        return out
+#: Parts of texts and pairs of pieces in each of the two generations that a worker remembers: some 200 MB in all.
+PARTS, PAIRS = 300_000, 150_000
+#: Texts that a worker holds at once.
+ROWS = 256
 
 
 class Transducer:
@@ -67,14 +59,14 @@ class Transducer:
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
         bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.bytes_of = [bytes_of.get(i, p.piece.encode() if p.type == kinds.NORMAL else b"") for i, p in enumerate(model.pieces)]
-        #: Longest piece for each beginning of one or two characters.
+        #: Longest piece for each beginning of up to three characters.
         self.longest: dict[str, int] = {}
         for p in self.score:
-            for begin in (p[:1], p[:2]):
+            for begin in (p[:1], p[:2], p[:3]):
                 self.longest[begin] = max(len(p), self.longest.get(begin, 1))
         self.split = self._borders()
-        self.pairs = _Memo(lambda pair: self._merged(pair[0] + pair[1]) == list(pair), PAIRS)
-        self.parts = _Memo(self._part, PARTS)
+        self.pairs = Memo(lambda pair: self._merged(pair[0] + pair[1]) == list(pair), PAIRS)
+        self.parts = Memo(self._part, PARTS)
 
     def _borders(self):
         """A pattern that cuts a normalised text where no piece has two such characters side by side."""
@@ -102,28 +94,25 @@ class Transducer:
         return part
 
     def _path(self, text: str) -> list[str]:
-        """The pieces (or single unknown characters) on the path of finite weight."""
+        """The pieces (or single unknown characters) on the path of finite weight: depth first, the longest arc first."""
         score, pairs, longest, n = self.score, self.pairs, self.longest, len(text)
-
-        def arcs(at: int) -> Iterator[str]:
-            top = longest.get(text[at : at + 2], 1)
-            for size in range(min(top, n - at), 0, -1):
-                piece = text[at : at + size]
-                if size == 1 or piece in score:
-                    yield piece
-
-        path, ends, dead = [], [0], set()
-        choices = [arcs(0)]
+        # For each state on the path: where it ends, and the size of the next arc to try.
+        path, ends, sizes, dead = [], [0], [min(n, longest.get(text[:3], 2))], set()
         while ends[-1] < n:
-            for piece in choices[-1]:
-                end = ends[-1] + len(piece)
-                if (end, piece) not in dead and (not path or pairs[path[-1], piece]):
-                    path.append(piece)
-                    ends.append(end)
-                    choices.append(arcs(end) if end < n else iter(()))
+            at, size = ends[-1], sizes[-1]
+            while size:
+                piece = text[at : at + size]
+                if (size == 1 or piece in score) and (not path or pairs[path[-1], piece]) and (at + size, piece) not in dead:
                     break
+                size -= 1
+            sizes[-1] = size - 1
+            if size:
+                end = at + size
+                path.append(piece)
+                ends.append(end)
+                sizes.append(min(n - end, longest.get(text[end : end + 3], 2)))
             else:
-                choices.pop()
+                sizes.pop()
                 dead.add((ends.pop(), path.pop()))
         return path
 
@@ -137,7 +126,7 @@ class Transducer:
                 ids += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
             else:
                 ids.append(self.unknown)
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -159,19 +148,27 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids") -> DataFrame:
-    """``docs`` with the ids of the text's pieces as array<int>."""
-    schema = StructType([*docs.schema.fields, StructField(ids_col, ArrayType(IntegerType()))])
+def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "piece_ids", spelled_col: str | None = None) -> DataFrame:
+    """``docs`` with the ids of the text's pieces as array<int>, and, if named, what they spell as a further column.
+
+    Rows pass in slices of ROWS, so that a worker holds few texts at once, and both directions share one transducer.
+    """
+    more = [StructField(ids_col, ArrayType(IntegerType())), *([StructField(spelled_col, StringType())] if spelled_col else [])]
+    schema = StructType([*docs.schema.fields, *more])
 
     def run(parts: Iterator) -> Iterator:
         import pyarrow as pa
 
         t = transducer(model)
-        for batch in parts:
-            found = [t.encode(x or "") for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, ids_col])
+        for whole in parts:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                found = [t.encode(x or "") for x in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))]
+                if spelled_col:
+                    made.append(pa.array([t.decode(np.frombuffer(x, "<u4")) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
