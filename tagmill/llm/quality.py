@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import Memo, table
 
 #: The sample: at most so many documents of each grade, by hash; passes over them; the selection's least probability.
 ROWS_EACH, EPOCHS, LEAST = 3000, 4, 0.5
 BUCKETS, RATE, L1 = 1 << 18, 0.15, 4.0
-#: Words whose weights a worker keeps; then it starts anew.
-CACHED_WORDS = 500_000
+#: Words of a kind in each of the two generations whose weights a worker remembers.
+CACHED_WORDS = 100_000
 
 
 def feature_sets(text: str) -> dict[str, set[str]]:
@@ -53,30 +53,17 @@ def bucket(kind: str, name: str) -> int:
     return xxhash.xxh32_intdigest(f"{kind}:{name}".encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-class _Known(dict):
-    """Weights by name; those not yet asked for are looked up by hash."""
-
-    def __init__(self, kind: str, weights: np.ndarray):
-        self.kind, self.weights = kind, weights
-
-    def __missing__(self, name: str) -> float:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        x = self[name] = float(self.weights[bucket(self.kind, name)])
-        return x
-
-
 @dataclass
 class Model:
     weights: np.ndarray
     thresholds: np.ndarray
-    known: dict[str, _Known] = field(default_factory=dict)
+    known: dict[str, Memo] = field(default_factory=dict)
 
     def score(self, text: str) -> float:
         total = 0.0
         for kind, names in feature_sets(text).items():
             if kind not in self.known:
-                self.known[kind] = _Known(kind, self.weights)
+                self.known[kind] = Memo(lambda name, kind=kind: float(self.weights[bucket(kind, name)]), CACHED_WORDS)
             total += sum(sorted(map(self.known[kind].__getitem__, names)))  # in order: sums must not depend on the hash seed
         return total
 
