@@ -135,7 +135,7 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     """The forest edges of a cell: whole small families, or two blocks of a large one."""
     out = []
-    for _, part in pdf.groupby("root"):
+    for _, part in pdf.sort_values("node").groupby("root"):  # the same forest whatever order the rows come in
         nodes, sets = part["node"].tolist(), [np.asarray(s, np.int64) for s in part["shingles"]]
         first = (part["block"] == part["block"].min()).to_numpy()
         if first.all():
@@ -154,7 +154,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round passes the smallest label over the edges and then follows labels once; every round is checkpointed.
     """
-    both = cut(edges.select("u", "v").union(edges.select("v", "u")).distinct())
+    one = cut(edges.select("u", "v"))  # both directions must come from one run of what made the edges
+    both = cut(one.union(one.select("v", "u")).distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
     while True:
         told = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("root").alias("told"))
