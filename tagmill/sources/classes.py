@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from posixpath import normpath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +71,28 @@ def resolve_split(spark: SparkSession, value: object, root: str) -> DataFrame:
     if path.endswith(".txt"):
         return spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''")
     return list_images(spark, path).select("path")
+
+
+def repaired_parts(parts: dict[str, str | None], folder: str, exists: Callable[[str], bool]) -> dict[str, str]:
+    """train, val and test of a description with paths that exist.
+
+    A path counts as it is, from the description's folder, or from there without leading ``../``. Parts that lead nowhere
+    fall back to train.
+    """
+    found = {}
+    for name in ("train", "val", "test"):
+        entry = (parts.get(name) or "").strip()
+        inner = entry
+        while inner.startswith("../"):
+            inner = inner[3:]
+        places = [entry] if entry.startswith("/") else [normpath(f"{folder}/{entry}"), normpath(f"{folder}/{inner}")]
+        there = next((p for p in places if entry and exists(p)), None)
+        if there or "train" in found:
+            found[name] = there or found["train"]
+    return found
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whichever store it belongs to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at))

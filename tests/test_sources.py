@@ -161,3 +161,11 @@ def test_lists_and_description(spark, tmp_path):
     assert classes.parse_names(K.dataset_yaml("/d", ["a", "b"])) == {0: "a", 1: "b"}
     K.write_description(spark, str(tmp_path / "d"), "/d", ["a", "b"])
     assert spark.read.text(str(tmp_path / "d" / "classes")).count() == 2
+
+
+def test_repaired_description(spark, dataset):
+    root = str(dataset)
+    exists = lambda p: classes.path_exists(spark, p)
+    assert classes.repaired_parts({"train": "../images", "val": "no/such", "test": None}, root, exists) == {k: f"{root}/images" for k in ("train", "val", "test")}
+    assert classes.repaired_parts({"train": f"{root}/images", "val": "labels"}, root, exists)["val"] == f"{root}/labels"
+    assert classes.repaired_parts({"val": "nowhere"}, root, exists) == {}
