@@ -23,6 +23,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ from .common import cut, new_folder, table
 MAGIC, BLOCK = b"TGMDAC01", 512
 #: A file is closed when it holds so many ids; a task that reads it holds about 16 bytes for each.
 FILE_IDS = 2_000_000
-#: Words whose ids a worker keeps; then it starts anew.
-CACHED_WORDS = 300_000
+#: Words in each of the two generations that a worker remembers: some 250 MB in all.
+CACHED_WORDS = 600_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -108,26 +109,63 @@ class Codes:
 
 
 class WordEncoder:
-    """Ids of whole texts. Words between ASCII white space are encoded on their own: no rule of the tokenizer looks across."""
+    """Ids of whole texts. Words between ASCII white space are encoded on their own: no rule of the tokenizer looks across.
 
-    _split = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+    Ids of words are remembered in two generations: when the young one is full it becomes the old one, and words that are
+    met again move on. A word that ends in TAILS after a letter or digit is put together from its two parts, which the
+    tokenizer's own rules keep apart; texts of Latin letters are lower-cased first, as the tokenizer does itself.
+    """
+
+    TAILS = b".,;:!?&$#*%"
+    #: Where Python's lower case could differ from the tokenizer's, the text is left as it is.
+    _other = re.compile("[^\x00-\u012f\u0131-\u024f]").search
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._ids = Tokenizer.from_file(path), {}
+        self._tokenizer = Tokenizer.from_file(path)
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = self._split(text)
-        new = [w for w in set(words) if w not in self._ids]
-        if new:
-            if len(self._ids) + len(new) > CACHED_WORDS:
-                self._ids.clear()
-                new = list(set(words))
-            for w, e in zip(new, self._tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self._ids[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self._ids.__getitem__, words))
+        words = (text if self._other(text) else text.lower()).encode("utf-8", "surrogatepass").split()
+        absent = set(words).difference(self._young)
+        if absent:
+            if len(self._young) + len(absent) > CACHED_WORDS:
+                self._old, self._young, absent = self._young, {}, set(words)
+            self._learn(absent)
+        return b"".join(map(self._young.__getitem__, words))
+
+    def _remembered(self, words: set[bytes]) -> set[bytes]:
+        """Moves what the old generation knows to the young one, and returns the others."""
+        known = self._old.keys() & words  # walks the words, not the dictionary
+        self._young.update(zip(known, map(self._old.__getitem__, known), strict=True))
+        return words.difference(known)
+
+    def _learn(self, absent: set[bytes]) -> None:
+        young, parted, plain = self._young, [], set()
+        for w in self._remembered(absent):
+            stem = w.rstrip(self.TAILS)
+            if stem and len(stem) < len(w) and stem.decode("utf-8", "replace").lower()[-1].isalnum():
+                parted.append((w, stem, w[len(stem) :]))
+                plain.update(parted[-1][1:])
+            else:
+                plain.add(w)
+        todo = list(self._remembered(plain.difference(young)))
+        if todo:
+            texts = [w.decode("utf-8", "replace") for w in todo]
+            for w, e in zip(todo, self._tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = e.ids
+                young[w] = struct.pack(f"<{len(ids)}I", *ids)
+        for w, stem, tail in parted:
+            young[w] = young[stem] + young[tail]
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker: what it has learnt serves its later tasks."""
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +179,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, task = WordEncoder(tokenizer), TaskContext.get()
+        encoder, task = word_encoder(tokenizer), TaskContext.get()
         doc_ids, lengths, pieces, n, file_no = [], [], [], 0, 0
         end = struct.pack("<I", end_id)
 
@@ -174,7 +212,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
     before = F.sum("n_ids").over(W.orderBy("part", "file_no").rowsBetween(W.unboundedPreceding, -1))
     files = manifest.select("file", F.coalesce(before, F.lit(0)).alias("before"))
-    n = max(1, min(manifest.count(), 20_000))
+    n = max(1, min(-(-manifest.count() // 4), 20_000))  # a task reads about four files, one after another
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
