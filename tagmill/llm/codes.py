@@ -130,12 +130,17 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         words = (text if self._other(text) else text.lower()).encode("utf-8", "surrogatepass").split()
-        absent = set(words).difference(self._young)
-        if absent:
+        found = list(map(self._young.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            absent = {words[i] for i in gaps}
             if len(self._young) + len(absent) > CACHED_WORDS:
-                self._old, self._young, absent = self._young, {}, set(words)
+                self._old, self._young = self._young, {}
             self._learn(absent)
-        return b"".join(map(self._young.__getitem__, words))
+            young = self._young
+            for i in gaps:
+                found[i] = young[words[i]]
+        return b"".join(found)
 
     def _remembered(self, words: set[bytes]) -> set[bytes]:
         """Moves what the old generation knows to the young one, and returns the others."""
