@@ -7,8 +7,8 @@ make a band. A pair of similarity 0.75 shares none of 32 bands with a probabilit
 Documents with equal sets form one class, which acts as a single node from then on. In every bucket (classes that share
 a band) each class is paired with the smallest one only; a pair that shares LEAST bands or more is a candidate (a pair
 of similarity 0.75 shares fewer with a probability of 7e-6). Classes connected by candidates form a family. Families are
-compared on their full sets in blocks: a task holds two blocks of bounded size, gets all their intersection sizes by
-matrix products and returns the edges of a spanning forest of the links found, never the pairs themselves. Rows thus
+compared on their full sets in blocks: a task holds two blocks bounded in shingles and in sets, gets all their
+intersection sizes by matrix products and returns the edges of a spanning forest of the links found, never the pairs themselves. Rows thus
 grow with the number of classes times the family's blocks, and the components are those of all links.
 
 Cases: a text without words (or null) has an empty set and no links; with fewer words than ``width`` the whole sequence
@@ -24,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
 
 WIDTH, PERCENT, PERMUTATIONS, ROWS, LEAST = 5, 75, 48, 3, 3
-#: Shingles in a block of a family: what bounds the memory of a task that compares two blocks.
-BLOCK = 1 << 18
+#: Shingles and sets in a block of a family, on average: what bounds the memory of a task that compares two blocks.
+BLOCK, BLOCK_SETS = 1 << 18, 1 << 12
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts to be compared; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -113,9 +113,13 @@ def _links(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) ->
         some = slice(*np.searchsorted(new, [at, at + step]))
         m = np.zeros((len(both), step), np.float32)
         m[owner[some], new[some] - at] = 1
-        common += m[:n] @ m[n:].T
-    inter = common.astype(np.int64)
-    return 100 * inter >= PERCENT * (sizes[:n, None] + sizes[None, n:] - inter)
+        for row in range(0, n, 256):
+            common[row : row + 256] += m[row : min(row + 256, n)] @ m[n:].T
+    linked = np.empty(common.shape, bool)
+    for at in range(0, n, 256):  # 64-bit numbers for a few rows at a time
+        inter = common[at : at + 256].astype(np.int64)
+        linked[at : at + 256] = 100 * inter >= PERCENT * (sizes[at : min(at + 256, n), None] + sizes[None, n:] - inter)
+    return linked
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -167,11 +171,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
+def _blocks(shingles: Column, sets: Column) -> Column:
+    """The number of blocks of a family of so many sets with so many shingles."""
+    return F.ceil(F.greatest(shingles / BLOCK, sets / BLOCK_SETS)).cast("int")
+
+
 def _family_links(families: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): edges that connect what is linked within each family (node, root)."""
     wanted = nodes.select("node", "fp", "rep", "n").join(families, "node")
-    totals = wanted.groupBy("root").agg(F.sum("n").alias("total"))
-    wanted = cut(wanted.join(totals, "root").withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")))
+    totals = wanted.groupBy("root").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"))
+    wanted = cut(wanted.join(totals, "root"))
     many, small = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()
     ids = wanted.select("rep").distinct()
     if many <= BROADCAST_IDS:

@@ -146,6 +146,32 @@ def test_near_duplicates(spark, monkeypatch, block):
         assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == want
 
 
+def template_rows(n):
+    """Many texts of few shingles that make one family."""
+    return [(i, " ".join([*words(11, 5), f"number{i}"])) for i in range(n)]
+
+
+def test_families_of_short_texts_are_cut_by_sets(spark, monkeypatch):
+    assert spark.range(1).select(minhash._blocks(F.lit(8 * 32768), F.lit(32768)), minhash._blocks(F.lit(1 << 20), F.lit(9))).first() == (8, 4)
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 20)
+    rows = template_rows(150)
+    want = brute_near(rows)
+    assert {x[1] for x in want.values()} == {0}
+    found = minhash.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows]))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == want
+
+
+def test_memory_of_two_blocks_of_short_texts():
+    import tracemalloc
+
+    sets = [minhash.shingles(t) for _, t in template_rows(2 * 4096)]
+    tracemalloc.start()
+    linked = minhash._links(sets[:4096], sets[4096:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert linked.all() and peak < 300e6
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     df = docs(spark, [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (None, None, "s")])
     rows = minhash.near_duplicates(df).collect()
