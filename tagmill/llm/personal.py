@@ -93,23 +93,37 @@ _IN_RUN = re.compile(rf"(?i){_NUMBER}|[0-9]|plus|dot|punkt|point|punto|\.")
 _AT = r"(?:[ \t]*[\[({<][ \t]*(?:at|@|chez|arroba)[ \t]*[\])}>][ \t]*)"
 _NAME = r"[A-Za-z0-9._%+-]{1,64}"
 _MAIL = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])({_NAME})(?:({_AT}|[ \t]+@[ \t]+)([A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)|([ \t]+(?:at|arroba)[ \t]+|@)([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*))")
+#: A free at before a plain domain, which the next name may be part of ("look at john.doe at example.com").
+_PLAIN_DOMAIN = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])"
+_FREE_AT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])({_NAME})([ \t]+(?:at|arroba)[ \t]+)(?={_PLAIN_DOMAIN})")
+#: Names that are no words, and what asks for an address just before a name: "look at example.com" names a place.
+_NO_WORD = re.compile(r"(?i)[a-z][a-z0-9-]*(?:[._%+][a-z][a-z0-9-]*)+")
+_CUE = re.compile(r"(?i)(?<![^\W_])(?:e?-?mails?|write|contact|reach|address|schreib\w*|adresse|écri\w*|courriel|escrib\w*|correo)[ \t:,]+(?:(?:to|is|an|ist|à|est|a|es)[ \t:,]+)?$")
+_PRONOUNS = frozenset("me us you him her it them this that one someone anyone everyone uns mich ihn sie nous moi nos".split())
 _DOTS = re.compile(rf"(?i){_DOT}")
 _IP_DOTS = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_DOT})[0-9]{{1,3}}){{3}}(?![0-9.])")
-#: Signs of a disguise, for lower-cased texts: two inner figures of a spelled run; a bracketed or free at or dot.
-_PAIR = re.compile(rf"[ \t,.-]{_NUMBER}[ \t,.-]+{_NUMBER}[ \t,.-]")
+#: Signs of a disguise, for lower-cased texts: all but the first item of a spelled run of four; a bracketed or free at or
+#: dot. They pass whatever a transducer rewrites.
+_ITEM = rf"(?:{_NUMBER}|[0-9])"
+_INNER = re.compile(rf"[ \t,.-]{_ITEM}[ \t,.-]+{_ITEM}[ \t,.-]+{_ITEM}(?![^\W_])")
+_BEFORE_DOMAIN = re.compile(rf"(?i)[ \t](?:at|arroba)[ \t]+{_PLAIN_DOMAIN}")
 _BRACKETED = re.compile(r"[\[({<][ \t]*(?:at|dot|punkt|point|punto|chez|arroba|@|\.)[ \t]*[\])}>]")
 _FREE = re.compile(r"[ \t](?:dot|punkt|point|punto|@)[ \t]")
 _FREE_WORDS, _BRACKETS = ("dot", "punkt", "point", "punto", " @", "\t@"), "[({<"
+_FREE_ATS = (" at ", "\tat ", " at\t", "\tat\t", "arroba")
 
 
 def suspicious(text: str) -> bool:
     """Whether a text may hold a disguised identifier: whether it is worth normalising."""
-    if not text.isascii() and any(c in LOOKALIKES or c.isdecimal() and not c.isascii() for c in set(text)):
+    # The long s and the Turkish i count as s and i where case is ignored, but not in lower case.
+    if not text.isascii() and any(c in LOOKALIKES or c in "ſİı" or c.isdecimal() and not c.isascii() for c in set(text)):
         return True
     low = text.lower()
     if any(w in low for w in _FREE_WORDS) and _FREE.search(low) or any(c in low for c in _BRACKETS) and _BRACKETED.search(low):
         return True
-    return _PAIR.search(low) is not None
+    if any(w in low for w in _FREE_ATS) and _BEFORE_DOMAIN.search(low):
+        return True
+    return _INNER.search(low) is not None
 
 
 class Tape:
@@ -161,14 +175,21 @@ def _at_and_dot(tape: Tape) -> None:
             edits.append((*m.span(k), "@"))
         edits += [(*d.span(), ".") for d in _DOTS.finditer(tape.text, *m.span(k + 1))]
     taken = {i for s, e, _ in edits for i in range(s, e)}
+    for m in _FREE_AT.finditer(tape.text):
+        cued = m[1].lower() not in _PRONOUNS and _CUE.search(tape.text, max(0, m.start() - 40), m.start())
+        if m.start(2) not in taken and (_NO_WORD.fullmatch(m[1]) or cued):
+            edits.append((*m.span(2), "@"))
     edits += [(*d.span(), ".") for m in _IP_DOTS.finditer(tape.text) for d in _DOTS.finditer(tape.text, *m.span()) if d.start() not in taken]
     tape.rewrite(sorted(edits))
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of matches in the normalised text that touch no plain one of their kind."""
-    if not suspicious(text):
-        return []
+    return normalised(text, base) if suspicious(text) else []
+
+
+def normalised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """``disguised`` without a look at signs of a disguise first."""
     tape = Tape(text)
     for step in (_characters, _digits, _at_and_dot):
         step(tape)

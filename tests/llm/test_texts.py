@@ -57,6 +57,33 @@ def test_spans_lie_in_the_text(text):
         assert 0 <= s < e <= len(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("call plus four 9 three 0 one 2 three 4 five 6 now", "phone", "plus four 9 three 0 one 2 three 4 five 6"), ("write to john.doe at example.com please", "email", "john.doe at example.com"),
+        ("write to john at example.com please", "email", "john at example.com"), ("look at john.doe at example.co.uk.", "email", "john.doe at example.co.uk"), ("plus\tone 2 3 4 5 6 7 8 9", "phone", "plus\tone 2 3 4 5 6 7 8 9"),
+    ],
+)
+def test_mixed_disguises(text, kind, part):
+    assert part in [text[s:e] for s, k, e in personal.disguised(text, personal.plain(text)) if personal.KINDS[k] == kind]
+
+
+PARTS = ["plus", "one", "Two", "ſeven", "fünf", "NULL", "3", "42", "dot", "(dot)", "[at]", "at", "arroba", "@", ".", "-", ",", " ", " ", "\t", "\n", "john", "a.b", "example.com", "io", "10.0", "mail", "е", "x1"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=24), st.sampled_from(["", " "]))
+def test_the_gate_loses_nothing(parts, between):
+    text = between.join(parts)
+    base = personal.plain(text)
+    assert personal.disguised(text, base) == personal.normalised(text, base)
+
+
+def test_places_are_no_addresses():
+    for text in ("Look at example.com or visit us at shop.example.org.", "contact us at example.com", "We met at 5.30 at home."):
+        assert personal.disguised(text, []) == []
+
+
 def test_plain_text_stays_clean():
     assert personal.disguised("Meet me at the station, dot by dot. One two three!", []) == []
 
