@@ -1,15 +1,15 @@
-"""SentencePiece encoding and decoding with a weighted finite-state transducer.
+"""SentencePiece encoding and decoding by a backtracking search over admissible pairs of pieces.
 
-Three transducers are compiled from a model file: the normaliser (spaces become U+2581, one stands before the text), the
-pieces (with byte pieces for characters that no piece covers), and a two-piece acceptor that gives a pair of neighbours
-weight 0 if merging their joint text leaves exactly these two, and infinite weight otherwise. A text composed with all
-three has one path of finite weight, the shortest in the tropical semiring, and that is the model's own segmentation:
-no merge of the whole text can cross a border that the two pieces beside it keep. (Summing piece scores, as for unigram
-models, would not give a merge model's result.) The path is searched depth-first, longest piece first, and states
-without a finite path are remembered, so the search is linear in the text.
+Spaces become U+2581 and one stands before the text. A pair of neighbouring pieces is admissible if merging their joint
+text leaves exactly these two. One path of pieces (or single characters, which become byte pieces where no piece covers
+them) has admissible pairs only, and that is the model's own segmentation: no merge of the whole text can cross a border
+that the two pieces beside it keep. (Summing piece scores, as for unigram models, would not give a merge model's result;
+with pairs that are admissible or not, there is nothing to minimise, so no transducers are composed and no shortest path
+is sought.) The path is searched depth-first, longest piece first, and dead states are remembered, so the search is
+linear in the text.
 
 No piece crosses certain borders, such as the one before a space; texts are cut there, and each distinct part is
-composed once in a worker as long as it is remembered.
+searched once in a worker as long as it is remembered.
 
 Cases: null texts count as empty; an empty text has no pieces; unknown characters become byte pieces; decoding gives the
 text back except that U+2581 becomes a space; rows that repeat are rows of their own; empty tables give an empty result.
@@ -97,9 +97,9 @@ class Transducer:
         return part
 
     def _path(self, text: str) -> list[str]:
-        """The pieces (or single unknown characters) on the path of finite weight: depth first, the longest arc first."""
+        """The pieces (or single unknown characters) on the path of admissible pairs: depth first, the longest piece first."""
         score, pairs, longest, n = self.score, self.pairs, self.longest, len(text)
-        # For each state on the path: where it ends, and the size of the next arc to try.
+        # For each state on the path: where it ends, and the size of the next piece to try.
         path, ends, sizes, dead = [], [0], [min(n, longest.get(text[:3], 2))], set()
         while ends[-1] < n:
             at, size = ends[-1], sizes[-1]
