@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,34 +13,60 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 NAMES = ("train", "val", "test")
-#: Groups that one task fills in order. Up to so many groups there is one block, and the result is that of a single pass.
+#: Groups that one task fills in order before the next one goes on from its sums. The result does not depend on it.
 BLOCK_GROUPS = 100_000
 #: Up to so many group keys may pass through the driver for ``order="python"``.
 PYTHON_KEYS = 1_000_000
 
 
-def _fill(ratios: Sequence[float]):
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "key"], kind="stable")
-        total = pdf["n"].sum()
-        target = {name: r * total for name, r in zip(NAMES, ratios, strict=True) if r > 0} or {"train": 0.0}
-        filled, out = dict.fromkeys(target, 0), []
-        for n in pdf["n"]:
-            pick = max(target, key=lambda name: target[name] - filled[name])  # the first of equals
-            filled[pick] += n
-            out.append(pick)
-        return pd.DataFrame({"key": pdf["key"], "n": pdf["n"], "rank": pdf["rank"], "split": out})
+def _fill(filled: dict[str, int], target: dict[str, float], sizes: Iterable[int]) -> Iterator[str]:
+    """The part of each group in turn; ``filled`` is kept up to date."""
+    for n in sizes:
+        pick = max(target, key=lambda name: target[name] - filled[name])  # the first of equals
+        filled[pick] += n
+        yield pick
 
-    return fill
+
+def _filled_in_order(ranked: DataFrame, ratios: Sequence[float], slice_groups: int) -> DataFrame:
+    """``ranked`` (key, n, rank) with the part that one pass in order of rank and key gives each group.
+
+    Groups are dealt to slices by range. Slices take turns to sum up what they fill, starting from the sums of the slice
+    before; then all slices fill side by side, each from its own start.
+    """
+    count, total = ranked.agg(F.count(F.lit(1)), F.sum("n")).first()
+    target = {name: r * (total or 0) for name, r in zip(NAMES, ratios, strict=True) if r > 0} or {"train": 0.0}
+    slices = -(-count // slice_groups) or 1
+    placed = cut(ranked.repartitionByRange(slices, "rank", "key").sortWithinPartitions("rank", "key").withColumn("slice", F.spark_partition_id()))
+    sizes, starts = placed.select("n").rdd, [dict.fromkeys(target, 0)]
+
+    def after(start: dict[str, int]):
+        def run(rows: Iterable) -> list[dict[str, int]]:
+            filled = dict(start)
+            deque(_fill(filled, target, (r.n for r in rows)), maxlen=0)
+            return [filled]
+
+        return run
+
+    for k in range(sizes.getNumPartitions() - 1):
+        starts += ranked.sparkSession.sparkContext.runJob(sizes, after(starts[-1]), [k])
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filled = None
+        for pdf in parts:
+            if len(pdf):
+                filled = filled or dict(starts[pdf["slice"].iat[0]])
+                yield pdf[["key", "n", "rank"]].assign(split=list(_fill(filled, target, pdf["n"].tolist())))
+
+    return placed.mapInPandas(fill, "key string, n long, rank string, split string")
 
 
 def assign_splits(keys: DataFrame, ratios: Sequence[float] = (0.8, 0.2, 0.0), seed: int = 42, order: str = "md5", block_groups: int = BLOCK_GROUPS) -> DataFrame:
     """key, n, split: every group goes to the part that is farthest below its target when its turn comes.
 
     ``keys``: key of every row, or key and n. Turns: ``md5`` sorts groups by the MD5 of seed and key and works at any
-    size; ``python`` shuffles the sorted keys with Python's generator, for up to PYTHON_KEYS groups. With more than
-    ``block_groups`` groups, blocks of groups (by hash) are filled side by side, each to the same ratios. If a
-    validation part was asked for and stays empty, it gets the smallest training group.
+    size; ``python`` shuffles the sorted keys with Python's generator, for up to PYTHON_KEYS groups. A task fills about
+    ``block_groups`` groups and hands its sums on, so the rule is that of one pass at any size. If a validation part was
+    asked for and stays empty, it gets the smallest training group.
     """
     total = float(sum(ratios)) or 1.0
     ratios = [r / total for r in ratios]
@@ -53,10 +80,7 @@ def assign_splits(keys: DataFrame, ratios: Sequence[float] = (0.8, 0.2, 0.0), se
         ranked = groups.join(places, "key")
     else:
         ranked = groups.withColumn("rank", F.md5(F.concat_ws("|", F.lit(str(seed)), "key").cast("binary")))
-    ranked = cut(ranked)
-    blocks = -(-ranked.count() // block_groups) or 1
-    block = F.pmod(F.xxhash64("key"), F.lit(blocks))
-    filled = cut(ranked.groupBy(block.alias("block")).applyInPandas(_fill(ratios), "key string, n long, rank string, split string"))
+    filled = cut(_filled_in_order(cut(ranked), ratios, block_groups))
     if ratios[1] > 0 and filled.where("split = 'val'").isEmpty():
         lent = filled.where("split = 'train'").orderBy("n", "rank", "key").limit(1).select(F.col("key").alias("_key"))
         filled = filled.join(F.broadcast(lent), F.col("key") == F.col("_key"), "left")

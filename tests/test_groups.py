@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -101,6 +102,23 @@ def test_zero_ratios_and_blocks(spark):
     assert len(rows) == 200 and abs(sum(r.split == "val" for r in rows) - 100) <= 10
 
 
+@pytest.mark.parametrize("order", ["md5", "python"])
+def test_split_is_one_pass_at_every_size(spark, order):
+    keys = spark.createDataFrame([(f"k{i}", 1 + i * i % 7) for i in range(300)] + [("hot", 600)], "key string, n long")
+    whole, sliced = (sorted(map(tuple, P.assign_splits(keys, (0.7, 0.2, 0.1), 42, order, b).collect())) for b in (1000, 20))
+    assert sliced == whole and len(whole) == 301
+    if order == "md5":
+        filled, want = {"train": 0, "val": 0, "test": 0}, []
+        rows = sorted(map(tuple, keys.collect()), key=lambda r: hashlib.md5(f"42|{r[0]}".encode()).hexdigest())
+        target = {name: r * sum(n for _, n in rows) for name, r in zip(P.NAMES, (0.7 / sum((0.7, 0.2, 0.1)), 0.2 / sum((0.7, 0.2, 0.1)), 0.1 / sum((0.7, 0.2, 0.1))), strict=True)}
+        for key, n in rows:
+            pick = max(target, key=lambda name: target[name] - filled[name])
+            filled[pick] += n
+            want.append((key, n, pick))
+        assert sliced == sorted(want)
+    assert P.assign_splits(keys.limit(0)).count() == 0
+
+
 def test_leak_gate():
     assert P.leak_gate(5, 5, 0) == ("continue", "no leak")
     assert P.leak_gate(5, 5, 2)[0] == "ask" and P.leak_gate(0, 5, 2)[0] == "continue"
