@@ -4,12 +4,19 @@ A document is the set of its distinct ``width``-word shingles (64-bit hashes). U
 and the maximum are kept, so a signature of 2k values costs k hash evaluations; three values of different permutations
 make a band. A pair of similarity 0.75 shares none of 32 bands with a probability of 2e-8.
 
-Documents with equal sets form one class, which acts as a single node from then on. In every bucket (classes that share
-a band) each class is paired with the smallest one only; a pair that shares LEAST bands or more is a candidate (a pair
-of similarity 0.75 shares fewer with a probability of 7e-6). Classes connected by candidates form a family. Families are
-compared on their full sets in blocks: a task holds two blocks bounded in shingles and in sets, gets all their
-intersection sizes by matrix products and returns the edges of a spanning forest of the links found, never the pairs themselves. Rows thus
-grow with the number of classes times the family's blocks, and the components are those of all links.
+Documents with equal sets form one class, which acts as a single node from then on. Classes that share a band lie in a
+bucket. In a bucket of up to SMALL classes every two of them are a pair, and a pair that shares LEAST bands or more, in
+whatever buckets, is a candidate (a pair of similarity 0.75 shares fewer with a probability of 7e-6). The classes of a
+larger bucket are dealt again by two bands at a time that are at most NEAR apart (of three shared bands two are that near
+but for a twentieth of such pairs, 2e-6 in all); what still is larger than SMALL is chained to its smallest class. Which
+third class shares a bucket thus never separates two.
+
+Classes connected by candidates form a family, and families are compared on their full sets with counted intersections
+(inverted lists, no matrix). Small families are packed into tasks. A large one is cut into blocks bounded in shingles and
+in sets: first each block is compared within itself and with PIVOTS common sets, which joins what belongs to one cluster
+of near copies in linear work; then blocks are compared two by two, but for those of one cluster. Only edges of spanning
+forests leave a task, never all pairs, and the components are those of all links. A family that stays in many clusters
+(long common templates around different texts) costs as many tasks as it has pairs of blocks.
 
 Cases: a text without words (or null) has an empty set and no links; with fewer words than ``width`` the whole sequence
 is the one shingle; rows that repeat a doc_id count as one document with all their links, rows with a null doc_id as one
@@ -27,11 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, hot_join
 from .common import cut, table
 
 WIDTH, PERCENT, PERMUTATIONS, ROWS, LEAST = 5, 75, 48, 3, 3
-#: Shingles and sets in a block of a family, on average: what bounds the memory of a task that compares two blocks.
-BLOCK, BLOCK_SETS = 1 << 18, 1 << 12
+#: Classes in a bucket that is compared pair by pair, and how far apart two bands may lie that split a larger one.
+SMALL, NEAR = 16, 8
+#: Shingles and sets in a block of a family, on average: what bounds the memory and time of a task that compares two
+#: blocks. Small families are packed to PACK shingles, on average.
+BLOCK, BLOCK_SETS, PACK, PIVOTS = 1 << 18, 1 << 12, 1 << 15, 4
 #: Up to so many ids (8 bytes each) are broadcast to pick the texts to be compared; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -97,78 +108,88 @@ def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["fp", "shingles"])
 
 
-def _links(left: list[np.ndarray], right: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """Which sets of the two lists are similar enough: intersections by products of membership matrices."""
-    both = [*left, *right]
-    sizes = np.array([len(s) for s in both], np.int64)
-    owner, n = np.repeat(np.arange(len(both)), sizes), len(left)
-    _, column, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    common = np.zeros((n, len(right)), np.float32)
-    new = np.cumsum(np.r_[True, column[1:] != column[:-1]]) - 1 if len(column) else column
-    for at in range(0, int(new[-1]) + 1 if len(new) else 0, step):
-        some = slice(*np.searchsorted(new, [at, at + step]))
-        m = np.zeros((len(both), step), np.float32)
-        m[owner[some], new[some] - at] = 1
-        for row in range(0, n, 256):
-            common[row : row + 256] += m[row : min(row + 256, n)] @ m[n:].T
-    linked = np.empty(common.shape, bool)
-    for at in range(0, n, 256):  # 64-bit numbers for a few rows at a time
-        inter = common[at : at + 256].astype(np.int64)
-        linked[at : at + 256] = 100 * inter >= PERCENT * (sizes[at : min(at + 256, n), None] + sizes[None, n:] - inter)
-    return linked
-
-
-def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (parent, child) of a spanning forest of a symmetric relation."""
-    new, out = np.ones(len(linked), bool), []
-    for seed in range(len(linked)):
-        if new[seed]:
-            new[seed], queue = False, [seed]
-            for u in queue:
-                found = np.flatnonzero(linked[u] & new)
-                new[found] = False
-                out += [(u, int(v)) for v in found]
-                queue += found.tolist()
+class _Overlaps:
+    """Intersection sizes of one set with all sets of a list, from inverted lists of the shingles that several hold."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], column[shared]
+        self.columns = np.split(column, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
+        self.owners = owner[np.argsort(column, kind="stable")]
+        times = np.where(times > 1, times, 0)
+        self.ends = np.cumsum(times)
+        self.starts = self.ends - times
+
+    def linked(self, u: int) -> np.ndarray:
+        """The sets that are similar enough to the u-th."""
+        starts, ends = self.starts[self.columns[u]], self.ends[self.columns[u]]
+        lengths = ends - starts
+        at = np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+        common = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return np.flatnonzero(100 * common >= PERCENT * (self.sizes[u] + self.sizes - common))
+
+
+def _forest(sets: list[np.ndarray], groups: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges (of positions) that connect what is linked; sets of one group count as connected from the start.
+
+    A link has two ends, so the largest group's sets need no look of their own, and nothing is left to see once all are
+    connected.
+    """
+    part = np.arange(len(sets)) if groups is None else np.unique(groups, return_inverse=True)[1]
+    sizes = np.bincount(part)
+    left, out, overlaps = len(sizes), [], _Overlaps(sets)
+    for u in np.flatnonzero(part != sizes.argmax()) if groups is not None else range(len(sets)):
+        if left == 1:
+            break
+        found = overlaps.linked(u)
+        found = found[part[found] != part[u]]
+        for v in found[np.unique(part[found], return_index=True)[1]]:
+            out.append((int(u), int(v)))
+            part[part == part[v]] = part[u]
+            left -= 1
     return out
 
 
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The forest edges of a cell: whole small families, or two blocks of a large one."""
+    """The forest edges of a cell: whole small families, a block of a large one with pivots, or two blocks."""
     out = []
-    for _, part in pdf.sort_values("node").groupby("root"):  # the same forest whatever order the rows come in
+    pdf = pdf.sort_values("node").drop_duplicates("node")  # the same forest whatever order the rows come in
+    for _, part in pdf.groupby("root"):
         nodes, sets = part["node"].tolist(), [np.asarray(s, np.int64) for s in part["shingles"]]
-        first = (part["block"] == part["block"].min()).to_numpy()
-        if first.all():
-            linked = _links(sets, sets)
-        else:
-            a, b = np.flatnonzero(first), np.flatnonzero(~first)
-            linked = np.zeros((len(sets), len(sets)), bool)
-            linked[np.ix_(a, b)] = _links([sets[i] for i in a], [sets[i] for i in b])
-            linked |= linked.T
-        out += [(nodes[u], nodes[v]) for u, v in _forest(linked)]
+        groups = part["grp"].to_numpy(np.int64) if part["grp"].notna().all() else None
+        out += [(nodes[u], nodes[v]) for u, v in _forest(sets, groups)]
     return pd.DataFrame(out, columns=["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v) to (node, root): the smallest node reachable, for every node of an edge.
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v): edges that connect, among others, every two classes that share enough bands."""
+    signed = nodes.select("node", "bands")
 
-    Each round passes the smallest label over the edges and then follows labels once; every round is checkpointed.
-    """
-    one = cut(edges.select("u", "v"))  # both directions must come from one run of what made the edges
-    both = cut(one.union(one.select("v", "u")).distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
-    while True:
-        told = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("root").alias("told"))
-        near = labels.join(told, "node").select("node", F.col("root").alias("old"), F.least("root", "told").alias("root"))
-        over = near.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = cut(near.join(over, "root").select("node", "old", F.least("root", "next").alias("root")))
-        if new.where("old <> root").isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    def sized(rows: DataFrame) -> DataFrame:
+        """Rows of buckets of two or more, with the bucket's size ``n`` and its smallest class ``low``."""
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
+        return cut(rows.join(sizes, "key"))  # a hot key's rows are split by adaptive execution
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        few = rows.where(F.col("n") <= SMALL)
+        return few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v")
+
+    first = sized(nodes.select("node", F.posexplode("bands").alias("j", "key")))
+    n_bands = 2 * PERMUTATIONS // ROWS
+    wide = first.where(F.col("n") > SMALL).groupBy("node").agg(F.collect_list(F.struct("j", "key")).alias("of"))
+
+    def beside(x: Column) -> Column:
+        near = F.filter("of", lambda y: F.pmod(y["j"] - x["j"], F.lit(n_bands)).between(1, NEAR))
+        return F.transform(near, lambda y: F.xxhash64(x["key"], y["key"]))
+
+    second = sized(wide.select("node", F.explode(F.flatten(F.transform("of", beside))).alias("key")))
+    real = pairs(first).union(pairs(second)).distinct()
+    real = real.join(signed.toDF("u", "bu"), "u").join(signed.toDF("v", "bv"), "v").where(F.size(F.array_intersect("bu", "bv")) >= LEAST)
+    chained = second.where((F.col("n") > SMALL) & (F.col("node") != F.col("low"))).select(F.col("node").alias("u"), F.col("low").alias("v"))
+    return real.select("u", "v").union(chained).distinct()
 
 
 def _blocks(shingles: Column, sets: Column) -> Column:
@@ -176,23 +197,55 @@ def _blocks(shingles: Column, sets: Column) -> Column:
     return F.ceil(F.greatest(shingles / BLOCK, sets / BLOCK_SETS)).cast("int")
 
 
+def _compare(placed: DataFrame) -> DataFrame:
+    """(u, v): the links found in each cell of (cell, root, node, grp, shingles)."""
+    return placed.select("cell", "root", "node", "grp", "shingles").groupBy("cell").applyInPandas(_cell, "u long, v long")
+
+
+def _large_links(large: DataFrame) -> DataFrame:
+    """The links within families of several blocks: (root, node, n, blocks, shingles)."""
+    own = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    lowest = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"p{k}") for k in range(PIVOTS)]
+    pivots = large.groupBy("root").agg(*lowest).select("root", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("node"))
+    everywhere = large.join(pivots, ["root", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = own.unionByName(everywhere).withColumn("cell", F.concat_ws(":", "root", "block")).withColumn("grp", F.lit(None).cast("long"))
+    links = cut(_compare(placed))
+
+    grouped = large.select("root", "node", "n").join(components(links).withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
+    grouped = cut(grouped)
+    sizes = grouped.groupBy("root", "grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).withColumn("own", _blocks(F.col("total"), F.col("sets")))
+    rest = sizes.where("own = 1").groupBy("root").agg(_blocks(F.sum("total"), F.sum("sets")).alias("bins"))
+    sizes = sizes.join(rest, "root", "left")
+    # A cluster of several blocks has blocks of its own; smaller ones share bins.
+    labelled = grouped.join(sizes.select("root", "grp", "own", "bins"), ["root", "grp"])
+    mine = F.concat_ws(":", F.lit("own"), "grp", F.pmod(F.xxhash64("node"), F.col("own")))
+    label = F.when(F.col("own") > 1, mine).otherwise(F.concat_ws(":", F.lit("bin"), F.pmod(F.xxhash64("grp"), F.col("bins"))))
+    labelled = cut(labelled.select("root", "node", "grp", label.alias("label"), F.when(F.col("own") > 1, F.col("grp")).alias("cluster")))
+    a = labelled.select("root", "label", "cluster").distinct()
+    b = a.toDF("root", "other", "cluster_b")
+    met = a.join(b, "root").where((F.col("label") <= F.col("other")) & ~F.coalesce(F.col("cluster") == F.col("cluster_b"), F.lit(False)))
+    met = met.withColumn("cell", F.concat_ws("|", "root", "label", "other"))
+    sides = met.select("root", "label", "cell").union(met.select("root", F.col("other").alias("label"), "cell")).distinct()
+    placed = labelled.join(large.select("node", "shingles"), "node").join(sides, ["root", "label"])
+    return links.union(_compare(placed))
+
+
 def _family_links(families: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): edges that connect what is linked within each family (node, root)."""
-    wanted = nodes.select("node", "fp", "rep", "n").join(families, "node")
+    wanted = cut(nodes.select("node", "fp", "rep", "n").join(families, "node"))
     totals = wanted.groupBy("root").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"))
+    many = wanted.count()
     wanted = cut(wanted.join(totals, "root"))
-    many, small = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()
     ids = wanted.select("rep").distinct()
     if many <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    sets = texts.mapInPandas(_sets, "fp binary, shingles array<long>").join(wanted, "fp").dropDuplicates(["fp"])
-    placed = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    own = F.concat_ws(":", "root", F.least("block", "other").cast("string"), F.greatest("block", "other").cast("string"))
-    pack = F.pmod(F.xxhash64("root"), F.lit(1 + small // BLOCK)).cast("string")
-    placed = placed.withColumn("cell", F.when(F.col("blocks") == 1, pack).otherwise(own))
-    return placed.select("cell", "root", "node", "block", "shingles").groupBy("cell").applyInPandas(_cell, "u long, v long")
+    sets = cut(texts.mapInPandas(_sets, "fp binary, shingles array<long>").join(wanted, "fp").dropDuplicates(["fp"]))
+    small, large = sets.where("blocks = 1"), sets.where("blocks > 1").select("root", "node", "n", "blocks", "shingles")
+    total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    packed = small.withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(1 + total // PACK)).cast("string")).withColumn("grp", F.lit(None).cast("long"))
+    links = _compare(packed)
+    return links if large.isEmpty() else links.union(_large_links(large))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,21 +254,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = cut(docs.mapInPandas(_facts, "doc_id long, n long, fp binary, bands array<long>"))
     classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = cut(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fp"))))
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    pairs = rows.join(shared, "key").where("node <> low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
-    signed = nodes.select("node", "bands")
-    pairs = pairs.join(signed.toDF("u", "bu"), "u").join(signed.toDF("v", "bv"), "v").where(F.size(F.array_intersect("bu", "bv")) >= LEAST)
-    families = components(pairs.select("u", "v"))
-    labels = components(_family_links(families, nodes, docs))
+    labels = components(_family_links(components(_candidates(nodes)), nodes, docs))
 
-    roots = nodes.select("fp", "node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    roots = cut(nodes.select("fp", "node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
     firsts = roots.groupBy("root").agg(F.min("rep").alias("component"))
-    named = cut(roots.join(firsts, "root").select(F.col("fp").alias("_fp"), "component"))
-    out = facts.join(named, facts.fp == named._fp, "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    kept = F.when(component.isNull(), True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
+    named = cut(hot_join(roots, firsts, "root", roots.count()).select("fp", "component"))
+    full = facts.where("n > 0").select("doc_id", "n", "fp")
+    out = hot_join(full, named, "fp", full.count()).select("doc_id", "n", "component")
+    out = out.union(facts.where("n = 0").select("doc_id", "n", "doc_id"))
+    kept = F.when(F.col("component").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -164,12 +164,55 @@ def test_families_of_short_texts_are_cut_by_sets(spark, monkeypatch):
 def test_memory_of_two_blocks_of_short_texts():
     import tracemalloc
 
-    sets = [minhash.shingles(t) for _, t in template_rows(2 * 4096)]
+    sets = [minhash.shingles(t).view(np.int64) for _, t in template_rows(2 * 4096)]
     tracemalloc.start()
-    linked = minhash._links(sets[:4096], sets[4096:])
+    edges = minhash._forest(sets)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert linked.all() and peak < 300e6
+    assert len(edges) == len(sets) - 1 and peak < 100e6
+
+
+def test_memory_of_many_short_texts_without_links():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 200_000, 10)) for _ in range(30_000)]
+    tracemalloc.start()
+    edges = minhash._forest(sets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(edges) < 10 and peak < 300e6
+
+
+def test_third_parties_do_not_separate_two_copies(spark, monkeypatch):
+    """Short texts with smaller ids that quote passages of both and so lie in the buckets that the two share."""
+    base = words(160, 41)
+    other = list(base)
+    other[70] = "changed"
+    rnd = random.Random(6)
+    quotes = [(i, " ".join(w for _ in range(3) for at in [rnd.randrange(150)] for w in base[at : at + 9])) for i in range(20)]
+    rows = [*quotes, (1000, " ".join(base)), (1001, " ".join(other))]
+    want = brute_near(rows)
+    assert want[1001][1] == 1000
+    df = docs(spark, [(i, t, "s") for i, t in rows])
+    for small in (16, 2):
+        monkeypatch.setattr(minhash, "SMALL", small)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()} == want
+
+
+def test_clusters_of_a_large_family(spark, monkeypatch):
+    """Two clusters of near copies around one template, and loose texts of it, in blocks of ten sets."""
+    monkeypatch.setattr(minhash, "BLOCK_SETS", 10)
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    template, rnd, rows = words(60, 1), random.Random(4), []
+    for i in range(90):
+        own = words(40, 2 if i % 3 == 0 else 3 if i % 3 == 1 else 100 + i)
+        own[rnd.randrange(40)] = f"changed{i}"
+        rows.append((i, " ".join(template + own)))
+    want = brute_near(rows)
+    assert len({x[1] for x in want.values()}) == 32
+    found = minhash.near_duplicates(docs(spark, [(i, t, "s") for i, t in rows]))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()} == want
 
 
 def test_near_duplicates_of_nothing_and_repeats(spark):
@@ -179,12 +222,13 @@ def test_near_duplicates_of_nothing_and_repeats(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_forest_does_not_depend_on_order():
+def test_forest_connects_what_is_linked():
     rng = np.random.default_rng(1)
-    linked = rng.random((30, 30)) < 0.1
-    linked |= linked.T
-    edges = minhash._forest(linked)
-    assert len(edges) < 30 and all(linked[u, v] for u, v in edges)
+    sets = [np.unique(np.r_[np.arange(10 * (i % 5), 10 * (i % 5) + 30), rng.integers(100, 120, 2)]) for i in range(40)]
+    near = {(i, j) for i in range(40) for j in range(40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    whole = minhash._forest(sets)
+    assert len(whole) == 35 and set(whole) <= near
+    assert minhash._forest(sets, np.arange(40) % 5) == [] and len(minhash._forest(sets, np.arange(40) % 10)) == 5
 
 
 def test_signature_estimates_similarity():
