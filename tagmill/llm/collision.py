@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by collision counting.
 
-In each block of vectors every one of M random projections keeps its values in a sorted array. A query opens a window
-around its own projection in each array (query-centred buckets) and widens all windows step by step, which rehashes to
-larger buckets without new tables. A vector that lies in the windows of at least NEED projections is verified with its
-true distance. The search ends when the half-width is at least REACH times the kth distance found: a vector at that
-distance then falls into a window with probability 0.65 or more each, so it has been verified with probability 0.99. No
-cap on candidates is set; at the latest all vectors are verified.
+The index is built once: in each block of vectors every one of M random projections keeps its values in a sorted array. A
+query opens a window around its own projection in each array (query-centred buckets) and widens all windows together,
+which rehashes to larger buckets without new tables. At half-width w a vector at distance w / WIDTH or less lies in a
+window with probability ``near_rate`` or more, hence in at least ``threshold`` of the M windows with probability
+1 - MISS or more. Vectors that reach the threshold are verified with their true distance. The search ends when the
+half-width is WIDTH times the kth distance found: radius and kth distance then meet, and each of the true k nearest has been
+verified with that probability. No cap on candidates is set; where distances hardly differ more vectors are verified, at
+the latest all.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows without id, take no part; an id on
 several rows is as near as its nearest row and never an answer to itself; ties go to the smaller id; only vectors of
@@ -14,6 +16,9 @@ equal length compare; with fewer than k candidates all are returned; empty table
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,48 +26,96 @@ from pyspark.sql import functions as F
 from . import grid
 from .common import table
 
-M, NEED, REACH, WIDEN, FIRST = 64, 32, 0.935, 1.25, 0.02
+M, WIDTH, MISS, WIDEN, FIRST = 192, 1.0, 0.08, 1.15, 0.02
+
+
+def near_rate(width: float = WIDTH) -> float:
+    """The probability that a standard normal projection of a unit difference is at most ``width``."""
+    return math.erf(width / math.sqrt(2))
+
 
+def threshold(m: int = M, width: float = WIDTH, miss: float = MISS) -> int:
+    """The number of collisions that a vector at the radius reaches with probability 1 - miss."""
+    p = near_rate(width)
+    return max(1, math.floor(m * p - NormalDist().inv_cdf(1 - miss) * math.sqrt(m * p * (1 - p))))
 
-def _block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple]:
-    n = len(x)
-    a = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], M))
-    projected = np.ascontiguousarray((x @ a).T)
+
+def _lines(d: int) -> np.ndarray:
+    return np.random.default_rng(d).standard_normal((d, M))
+
+
+def sorted_projections(ids: np.ndarray, x: np.ndarray) -> list[bytes]:
+    """A block of the index: ids, vectors, and for each projection the sorted values and the rows they belong to."""
+    projected = np.ascontiguousarray((x @ _lines(x.shape[1])).T)
     order = np.argsort(projected, axis=1, kind="stable")
     values = np.take_along_axis(projected, order, axis=1)
-    start = max(float(np.median(values[:, -1] - values[:, 0])) * FIRST, float(np.abs(values).max()) * 1e-3, 1e-300)
-    firsts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    out: list[tuple] = []
-    for query_id, vec, centre in zip(query_ids, q, q @ a, strict=True):
-        own = ids == query_id
-        target = min(k, len(firsts) - int(own.any()))
+    return [ids.tobytes(), x.tobytes(), values.tobytes(), order.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes()]
+
+
+def _positions(values: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
+    """For each row of sorted values where the wanted one would stand, before or after its equals: all rows at a time."""
+    rows, low, high = np.arange(len(values)), np.zeros(len(values), np.int64), np.full(len(values), values.shape[1])
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        found = values[rows, np.minimum(middle, values.shape[1] - 1)]
+        beyond = open_ & (found <= wanted if after else found < wanted)
+        low, high = np.where(beyond, middle + 1, low), np.where(open_ & ~beyond, middle, high)
+    return low
+
+
+class Block:
+    """A block of the index. ``verified`` counts the vectors whose true distance was computed."""
+
+    def __init__(self, parts: list[bytes]):
+        self.ids = np.frombuffer(parts[0], np.int64)
+        n = len(self.ids)
+        self.x = np.frombuffer(parts[1]).reshape(n, len(parts[1]) // (8 * n))
+        self.values = np.frombuffer(parts[2]).reshape(M, n)
+        self.order = np.frombuffer(parts[3], np.uint16 if n <= 1 << 16 else np.uint32).reshape(M, n)
+        self.lines, self.need = _lines(self.x.shape[1]), threshold()
+        self.firsts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]])
+        spread = float(np.median(self.values[:, -1] - self.values[:, 0]))
+        self.start = max(spread * FIRST, float(np.abs(self.values).max()) * 1e-3, 1e-300)
+        self.verified = 0
+
+    def nearest(self, query_id: int, vec: np.ndarray, k: int) -> list[tuple]:
+        own, n, centre = self.ids == query_id, len(self.ids), vec @ self.lines
+        target = min(k, len(self.firsts) - int(own.any()))
         if not target:
-            continue
+            return []
         counts, done, dist = np.zeros(n, np.int64), own.copy(), np.full(n, np.inf)
-        left = np.array([np.searchsorted(values[j], centre[j]) for j in range(M)])
-        right, half = left.copy(), start
+        left = _positions(self.values, centre, False)
+        right, half = left.copy(), self.start
         while True:
-            new_left = np.minimum(left, [np.searchsorted(values[j], centre[j] - half, "left") for j in range(M)])
-            new_right = np.maximum(right, [np.searchsorted(values[j], centre[j] + half, "right") for j in range(M)])
-            hit = np.concatenate([order[j, s] for j in range(M) for s in (slice(new_left[j], left[j]), slice(right[j], new_right[j]))])
-            counts += np.bincount(hit, minlength=n)
+            new_left = np.minimum(left, _positions(self.values, centre - half, False))
+            new_right = np.maximum(right, _positions(self.values, centre + half, True))
+            rings = [self.order[j, s] for j in range(M) for s in (slice(new_left[j], left[j]), slice(right[j], new_right[j]))]
+            counts += np.bincount(np.concatenate(rings), minlength=n)
             left, right = new_left, new_right
-            new = np.flatnonzero((counts >= NEED) & ~done)
+            new = np.flatnonzero((counts >= self.need) & ~done)
             done[new] = True
-            dist[new] = np.sqrt(((x[new] - vec) ** 2).sum(axis=1))
-            by_id = np.minimum.reduceat(dist, firsts)
-            if done.all() or half >= REACH * np.partition(by_id, target - 1)[target - 1]:
+            self.verified += len(new)
+            dist[new] = np.sqrt(((self.x[new] - vec) ** 2).sum(axis=1))
+            by_id = np.minimum.reduceat(dist, self.firsts)
+            radius = WIDTH * np.partition(by_id, target - 1)[target - 1]
+            if done.all() or half >= radius:
                 break
-            half *= WIDEN
-        by_id = np.minimum.reduceat(dist, firsts)
-        best = np.lexsort((ids[firsts], by_id))[:target]
-        out += [(int(query_id), int(ids[firsts[i]]), float(by_id[i])) for i in best if np.isfinite(by_id[i])]
-    return out
+            half = min(half * WIDEN, radius)
+        best = np.lexsort((self.ids[self.firsts], by_id))[:target]
+        return [(int(query_id), int(self.ids[self.firsts[i]]), float(by_id[i])) for i in best if np.isfinite(by_id[i])]
+
+
+def _search(k: int):
+    def load(parts: list[bytes]):
+        block = Block(parts)
+        return block.x.shape[1], lambda ids, q: [row for i, vec in zip(ids, q, strict=True) for row in block.nearest(i, vec, k)]
+
+    return load
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest (Euclidean) vectors found. Both have id and v (array<double>)."""
-    found = grid.search(vectors, queries, lambda a, b, c, d: _block(a, b, c, d, k), "double")
+    found = grid.scan(grid.build(vectors, sorted_projections), queries, _search(k), "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return grid.ranked(best, F.col("score"), k)
 

@@ -1,13 +1,14 @@
-"""Searches of many queries over all vectors as a grid of bounded blocks.
+"""Searches of many queries over all vectors by an index of blocks that is built once.
 
-Vectors and queries are dealt into blocks by hash; every pair of a vector block and a query block is one group of
-bounded size, searched in numpy by itself, and each query's best rows over all blocks are merged by a window. Block
-sizes bound a task's memory whatever the tables' sizes.
+Vectors are dealt into blocks by hash; each block becomes one row of a written table, with whatever arrays its searcher
+needs. Queries are streamed past the blocks: a task holds one block and a batch of queries at a time, so block and batch
+sizes bound its memory whatever the tables' sizes. A block is read by one task, or by a few if blocks are fewer than the
+cluster's cores; vectors are never sent to the queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-VECTOR_BLOCK, QUERY_BLOCK = 8192, 2048
+from .common import cut
+
+#: Vectors in a block, on average; queries of a block that make a task of their own worth while.
+VECTOR_BLOCK, QUERY_SPLIT = 1 << 14, 32
 
 
 def usable(vec: Column) -> Column:
@@ -24,36 +28,59 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & F.coalesce(good, F.lit(False))
 
 
-def by_length(pdf: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length to ids and matrix, in order of id."""
-    pdf = pdf.sort_values("id", kind="stable")
-    sizes = pdf["v"].map(len)
-    return {int(d): (part["id"].to_numpy(np.int64), np.stack(part["v"].to_list()).astype(np.float64).reshape(len(part), int(d))) for d, part in pdf.groupby(sizes)}
+def matrix(vectors: pd.Series) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return np.stack(vectors.to_list()).astype(np.float64)
+
+
+def build(vectors: DataFrame, make: Callable[[np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    """The index of ``vectors`` (id, v): block, parts = ``make(ids, matrix)`` for the vectors of each length in a block.
+
+    Ids ascend within a block; rows that repeat both id and vector count once.
+    """
+    distinct = vectors.dropDuplicates(["id", "v"])
+    n = max(1, -(-vectors.count() // VECTOR_BLOCK))
+
+    def block(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        return pd.DataFrame({"block": [key[0]], "parts": [make(pdf["id"].to_numpy(np.int64), matrix(pdf["v"]))]})
+
+    dealt = distinct.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")).withColumn("length", F.size("v"))
+    return cut(dealt.groupBy("block", "length").applyInPandas(block, "block int, parts array<binary>"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], list[tuple]], kind: str) -> DataFrame:
-    """query_id, vec_id, score: what ``one(ids, matrix, query_ids, query_matrix)`` finds in each pair of blocks.
+def scan(index: DataFrame, queries: DataFrame, load: Callable[[list[bytes]], tuple[int, Callable[[np.ndarray, np.ndarray], list[tuple]]]], schema: str) -> DataFrame:
+    """What the index finds for ``queries`` (id, v): rows of ``schema``.
 
-    ``vectors`` and ``queries`` have id (long) and v (array<double>); only vectors of a query's length are compared.
+    ``load(parts)`` gives a block's vector length and its search, a function of the ids and the matrix of some queries.
     """
-    n_vectors = max(1, -(-vectors.count() // VECTOR_BLOCK))
-    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def dealt(df: DataFrame, own: str, n: int, other: str, m: int) -> DataFrame:
-        home = df.withColumn(own, F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
-        return home.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).groupBy("vb", "qb")
-
-    def pair(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            have = by_length(left)
-            for d, (query_ids, q) in by_length(right).items():
-                if d in have:
-                    out += one(*have[d], query_ids, q)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    grid = dealt(vectors, "vb", n_vectors, "qb", n_queries).cogroup(dealt(queries, "qb", n_queries, "vb", n_vectors))
-    return grid.applyInPandas(pair, f"query_id long, vec_id long, score {kind}")
+    columns = [c.split()[0] for c in schema.split(", ")]
+    blocks = index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
+    at_once = 4 * index.sparkSession.sparkContext.defaultParallelism
+    splits = max(1, min(-(-at_once // blocks), queries.count() // QUERY_SPLIT))
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, cell = {}, None
+        for pdf in parts:
+            for key, rows in pdf.groupby(["block", "split"], sort=False):
+                if key != cell:
+                    held, cell = {}, key
+                mine = rows["parts"].notna()
+                for row in rows.loc[mine, "parts"]:
+                    length, one = load(list(row))
+                    held[length] = one
+                asked = rows[~mine]
+                for length, some in asked.groupby(asked["v"].map(len)):
+                    if length in held:
+                        yield pd.DataFrame(held[length](some["id"].to_numpy(np.int64), matrix(some["v"])), columns=columns)
+
+    no_parts, no_vector = F.lit(None).cast("array<binary>").alias("parts"), F.lit(None).cast("array<double>").alias("v")
+    left = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(None).cast("long").alias("id"), no_vector, "parts")
+    own = queries.select(F.pmod(F.xxhash64("id", "v"), F.lit(splits)).cast("int").alias("split"), "id", "v")
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "split", "id", "v", no_parts)
+    placed = left.unionByName(right).repartition(blocks * splits, "block", "split")
+    # A cell's index comes before its queries.
+    return placed.sortWithinPartitions("block", "split", F.col("parts").isNull(), "id").mapInPandas(search, schema)
 
 
 def ranked(found: DataFrame, score: Column, k: int) -> DataFrame:

@@ -1,9 +1,11 @@
 """Exact top-k search by inner product with a vector-approximation file.
 
-Each block of vectors is quantised to 8-bit cells per dimension. A query scans the cells: the inner product with the
-cell's centre, give or take |q| times the largest distance from a centre, bounds the true score. Vectors whose upper
-bound reaches the kth lower bound are read exactly, highest bound first, until the kth score found exceeds every bound
-that is left.
+The file is written once: each of its blocks holds ids, 8-bit cells and the cells' edges in every dimension. A query scans
+the cells only. The cells of a dimension are equally wide, so the sum of a query's table look-ups is a product with the
+cell numbers, and the true score lies within half the widths, weighted by the query, of the one for the cells' centres. A
+block returns the vectors whose upper bound reaches its kth lower bound; the kth lower bound over all blocks leaves a few
+of them. The k with the best upper bounds are then read exactly, which gives a certain kth score, and after them those
+whose bound reaches it. Exact vectors are only ever joined for such pairs.
 
 Cases: vectors that are null or hold null or non-finite components, and rows without id, take no part; an id on several
 rows scores as its best row and is never an answer to itself; ties go to the smaller id; only vectors of equal length
@@ -12,57 +14,99 @@ compare; with fewer than k candidates all are returned; empty tables give an emp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import grid
-from .common import table
+from .common import cut, table
 
-CELLS, CHUNK, READ = 256, 128, 64
+CELLS, CHUNK = 256, 64
 EXACT, LONG = float(1 << 53), (1 << 63) - 1
+#: Up to so many ids (8 bytes each) are broadcast to pick the vectors to be read; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-def _scores(x: np.ndarray, q: np.ndarray) -> list[int]:
-    """Inner products of whole-numbered rows, exact, held to the range of a long."""
-    if len(x) and np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * max(1, len(q)) >= EXACT:
-        big = [int(v) for v in q]
-        return [max(-LONG - 1, min(LONG, sum(int(a) * b for a, b in zip(row, big, strict=True)))) for row in x]
-    return (x @ q).astype(np.int64).tolist()
+def _score(x: np.ndarray, q: np.ndarray) -> int:
+    """The inner product of whole-numbered vectors, exact, held to the range of a long."""
+    if len(x) and np.abs(x).max() * np.abs(q).max() * len(q) >= EXACT:
+        return max(-LONG - 1, min(LONG, sum(int(a) * int(b) for a, b in zip(x, q, strict=True))))
+    return int(x @ q)
 
 
-def _block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple]:
+def approximate(ids: np.ndarray, x: np.ndarray) -> list[bytes]:
+    """A block of the file: ids, lower edges and widths of the cells, cells."""
     low = x.min(axis=0)
-    step = np.maximum((x.max(axis=0) - low) / CELLS, 1e-300)
-    cells = np.minimum((x - low) / step, CELLS - 1).astype(np.uint8)
-    centres = low + (cells + 0.5) * step
-    half = np.abs(x - centres).max(axis=0)
-    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    out: list[tuple] = []
-    for at in range(0, len(q), CHUNK):
-        part, part_ids = q[at : at + CHUNK], query_ids[at : at + CHUNK]
-        near = part @ centres.T
-        slack = np.abs(part) @ (half + 1e-9 * np.abs(x).max(axis=0)) * (1 + 1e-6)
-        near[part_ids[:, None] == ids[None, :]] = -np.inf
-        best = np.maximum.reduceat(near, starts, axis=1)
-        m = min(k, best.shape[1])
-        kth = np.partition(best, best.shape[1] - m, axis=1)[:, best.shape[1] - m]
-        floor = np.where(np.isfinite(kth), kth, -np.finfo(float).max) - 2 * slack
-        for i, query_id in enumerate(part_ids):
-            rows = np.flatnonzero(near[i] >= floor[i])
-            rows = rows[np.argsort(-near[i, rows], kind="stable")]
-            found: dict[int, int] = {}
-            sure = -np.inf
-            for r in range(0, len(rows), READ):
-                some = rows[r : r + READ]
-                if near[i, some[0]] + slack[i] < sure:
-                    break
-                for v, s in zip(ids[some].tolist(), _scores(x[some], part[i]), strict=True):
-                    found[v] = max(s, found.get(v, -LONG - 1))
-                if len(found) >= k:
-                    sure = sorted(found.values())[-k]
-            out += [(int(query_id), v, s) for v, s in sorted(found.items(), key=lambda f: (-f[1], f[0]))[:k]]
-    return out
+    width = np.maximum((x.max(axis=0) - low) / CELLS, 1e-300)
+    cells = np.clip((x - low) / width, 0, CELLS - 1).astype(np.uint8)
+    return [ids.tobytes(), low.tobytes(), width.tobytes(), cells.tobytes()]
+
+
+def bounds(low: np.ndarray, width: np.ndarray, cells: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each query (row of q) the scores of all cells' centres, and how far the true scores may be from them."""
+    scale = q * width
+    reach = np.abs(q) @ (np.abs(low) + CELLS * width)
+    kind = np.float32 if (reach < 1e30).all() and (np.abs(scale) < 1e30).all() else np.float64
+    near = (scale.astype(kind) @ cells.T.astype(kind)).astype(np.float64) + (q @ low + 0.5 * scale.sum(axis=1))[:, None]
+    rounding = (len(low) + 4) * (2.0**-22 * CELLS * np.abs(scale).sum(axis=1) if kind is np.float32 else 0.0) + 1e-9 * reach
+    return near, 0.5 * np.abs(scale).sum(axis=1) + rounding
+
+
+def _search(k: int):
+    def load(parts: list[bytes]):
+        ids, low, width = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1]), np.frombuffer(parts[2])
+        cells = np.frombuffer(parts[3], np.uint8).reshape(len(ids), len(low))
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+
+        def one(query_ids: np.ndarray, q: np.ndarray) -> list[tuple]:
+            out: list[tuple] = []
+            for at in range(0, len(q), CHUNK):
+                own = query_ids[at : at + CHUNK]
+                near, slack = bounds(low, width, cells, q[at : at + CHUNK])
+                near[own[:, None] == ids[None, :]] = -np.inf
+                best = np.maximum.reduceat(near, starts, axis=1)  # one for each id
+                m = min(k, best.shape[1])
+                kth = np.partition(best, best.shape[1] - m, axis=1)[:, best.shape[1] - m]
+                floor = np.where(np.isfinite(kth), kth - 2 * slack, -np.finfo(float).max)
+                for i, j in zip(*np.nonzero(best >= floor[:, None]), strict=True):
+                    out.append((int(own[i]), int(ids[starts[j]]), float(best[i, j] - slack[i]), float(best[i, j] + slack[i])))
+            return out
+
+        return len(low), one
+
+    return load
+
+
+def _read(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``pairs`` (query_id, vec_id) with their exact scores."""
+    pairs = cut(pairs.select("query_id", "vec_id"))
+    ids = pairs.select(F.col("vec_id").alias("id")).distinct()
+    if pairs.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    some = vectors.join(ids, "id", "left_semi").toDF("vec_id", "x")
+    both = pairs.join(some, "vec_id").join(queries.toDF("query_id", "q"), "query_id").where(F.size("x") == F.size("q"))
+
+    def scores(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            found = [_score(np.asarray(x, float), np.asarray(q, float)) for x, q in zip(pdf["x"], pdf["q"], strict=True)]
+            yield pd.DataFrame({"query_id": pdf["query_id"], "vec_id": pdf["vec_id"], "score": np.array(found, np.int64)})
+
+    exact = both.mapInPandas(scores, "query_id long, vec_id long, score long")
+    return exact.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
+def candidates(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, lower, upper: the pairs that the approximation file can't rule out."""
+    index = grid.build(vectors, approximate)
+    found = cut(grid.scan(index, queries, _search(k), "query_id long, vec_id long, lower double, upper double"))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("lower").alias("lower"), F.max("upper").alias("upper"))
+    order = W.partitionBy("query_id").orderBy(F.col("lower").desc(), "vec_id")
+    kth = best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).groupBy("query_id").agg(F.min("lower").alias("floor"), F.count(F.lit(1)).alias("n"))
+    return cut(best.join(kth, "query_id").where((F.col("upper") >= F.col("floor")) | (F.col("n") < k)).select("query_id", "vec_id", "lower", "upper"))
 
 
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -70,9 +114,13 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Both have id (long) and v (array<double>, whole numbers).
     """
-    found = grid.search(vectors, queries, lambda a, b, c, d: _block(a, b, c, d, k), "long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return grid.ranked(best, F.col("score").desc(), k)
+    order = W.partitionBy("query_id").orderBy(F.col("upper").desc(), "vec_id")
+    left = candidates(vectors, queries, k).withColumn("turn", F.row_number().over(order))
+    left = cut(left)
+    first = cut(_read(left.where(F.col("turn") <= k), vectors, queries))
+    sure = first.groupBy("query_id").agg(F.min("score").alias("sure"))
+    more = left.where(F.col("turn") > k).join(sure, "query_id").where(F.col("upper") >= F.col("sure"))
+    return grid.ranked(first.unionByName(_read(more, vectors, queries)), F.col("score").desc(), k)
 
 
 def op1_vafile_topk(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_small_blocks_give_the_same(spark, odd, monkeypatch):
     path, _ = odd
     whole = sorted(map(tuple, vafile.op1_vafile_topk(spark, path).collect()))
     monkeypatch.setattr(grid, "VECTOR_BLOCK", 40)
-    monkeypatch.setattr(grid, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(grid, "QUERY_SPLIT", 1)
     assert sorted(map(tuple, vafile.op1_vafile_topk(spark, path).collect())) == whole
 
 
@@ -86,3 +86,70 @@ def test_collision_search_leaves_out_odd_vectors(spark, odd):
 def test_extra_columns_do_not_matter(spark):
     df = spark.createDataFrame([(0, [1.0], "a", 3), (1, [2.0], "b", 4)], "id long, v array<double>, query_id string, rank int")
     assert vafile.exact_topk(df.select("id", "v"), df.where(F.col("id") == 0).select("id", "v"), 1).count() == 1
+
+
+def shapes(n=20_000, d=64):
+    rng = np.random.default_rng(11)
+    middles = rng.standard_normal((100, d))
+    few = rng.standard_normal((n // 20, d))
+    return {
+        "clusters": middles[rng.integers(0, 100, n)] + 0.3 * rng.standard_normal((n, d)),
+        "uniform": rng.random((n, d)),
+        "repeats": few[rng.integers(0, len(few), n)],
+    }
+
+
+@pytest.mark.parametrize(("shape", "share"), [("clusters", 0.02), ("uniform", 0.2), ("repeats", 0.25)])
+def test_recall_and_share_verified(shape, share):
+    """Over three blocks each: at least nine of ten true neighbours, while few vectors are verified."""
+    x = shapes()[shape]
+    ids, k, hits, wanted, queries = np.arange(len(x)), 10, 0, 0, np.arange(0, len(x), 800)
+    blocks = [collision.Block(collision.sorted_projections(ids[j::3], x[j::3])) for j in range(3)]
+    for q in queries:
+        found = sorted((s, v) for b in blocks for _, v, s in b.nearest(q, x[q], k))[:k]
+        dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        dist[q] = np.inf
+        want = np.lexsort((ids, dist))[:k]
+        assert all(s == pytest.approx(dist[v], abs=1e-12) for s, v in found)
+        hits += sum(s <= dist[want[-1]] + 1e-12 for s, _ in found)
+        wanted += k
+    assert hits / wanted >= 0.9 and sum(b.verified for b in blocks) / (len(queries) * len(x)) <= share
+
+
+def test_collision_search_in_several_blocks(spark, monkeypatch):
+    """Several blocks and splits of queries find what one block of all vectors may find, ties by id included."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((600, 16)).round(1)
+    x[300:310] = x[0]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)] + [(0, x[0].tolist())], "id long, v array<double>")
+    monkeypatch.setattr(grid, "VECTOR_BLOCK", 150)
+    monkeypatch.setattr(grid, "QUERY_SPLIT", 3)
+    rows = collision.nearest(df, df.where("id % 20 = 0").distinct(), 5).orderBy("query_id", "rank").collect()
+    found = {q: [(r.rank, r.vec_id) for r in rows if r.query_id == q] for q in range(0, 600, 20)}
+    assert found[0] == [(i + 1, 300 + i) for i in range(5)]
+    hits = 0
+    for q in found:
+        dist = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        dist[q] = np.inf
+        hits += len({v for _, v in found[q]} & set(np.lexsort((np.arange(600), dist))[:5].tolist()))
+    assert hits >= 0.9 * 150
+
+
+def test_few_vectors_are_read_exactly(spark):
+    """The approximation file leaves a few exact reads a query, over two blocks, and its bounds hold."""
+    rng = np.random.default_rng(3)
+    x = np.floor(256 * rng.standard_normal((3000, 32)))
+    parts = [vafile.approximate(np.arange(j, 3000, 2), x[j::2]) for j in range(2)]
+    near, slack = vafile.bounds(np.frombuffer(parts[0][1]), np.frombuffer(parts[0][2]), np.frombuffer(parts[0][3], np.uint8).reshape(1500, 32), x[:50])
+    assert (np.abs(near - x[:50] @ x[0::2].T) <= slack[:, None]).all()
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    left = vafile.candidates(df, df.where("id % 50 = 0"), 5)
+    assert left.count() <= 12 * 60
+    assert sum(map(len, parts[0])) < 1500 * (32 + 8) + 1000
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    big = [[3e15, 1.0, -1.0], [2e15, 1.0, 5.0], [2e15, 1.0, 4.0], [1e30, 0.0, 0.0]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(big)], "id long, v array<double>")
+    rows = vafile.exact_topk(df, df.where("id = 0"), 3).collect()
+    assert [(r.vec_id, r.score) for r in sorted(rows, key=lambda r: r.rank)] == [(i, (1 << 63) - 1) for i in (1, 2, 3)]
