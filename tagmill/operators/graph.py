@@ -39,14 +39,13 @@ def components(edges: DataFrame) -> DataFrame:
     folder. A label that very many nodes bear is dealt over SALTS keys, and so are the edges of a node by their far end:
     only labels in use, and the labels of nodes that are hubs, are copied for that.
     """
-    one = cut(edges.where("u <> v").select("u", "v"))  # both directions must come from one run of what made the edges
-    both = cut(one.union(one.select("v", "u")).distinct())
+    ways = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("way")
+    both = cut(edges.where("u <> v").select(ways).select("way.u", "way.v").distinct())  # both ways from one run of what made the edges
     ends = both.groupBy("u").agg(F.count(F.lit(1)).alias("degree"), F.min("v").alias("least"))
     nodes = cut(ends.select(F.col("u").alias("node"), F.when(F.col("degree") > HOT_LEAST, SALTS).otherwise(1).alias("salts"), F.least("u", "least").alias("root")))
-    n_salts = nodes.select("node", "salts").where("salts > 1")
-    if n_salts.take(1):
-        salted = both.join(n_salts.withColumnRenamed("node", "v"), "v", "left")
-        both = cut(salted.select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("salts", F.lit(1))).alias("salt")))
+    hubs = nodes.where("salts > 1").select(F.col("node").alias("v"), "salts")
+    if hubs.take(1):
+        both = cut(both.join(hubs, "v", "left").select("u", "v", F.pmod(F.xxhash64("u"), F.coalesce("salts", F.lit(1))).alias("salt")))
     else:
         both = both.withColumn("salt", F.lit(0).cast("long"))
     labels = nodes
