@@ -7,9 +7,9 @@ make a band. A pair of similarity 0.75 shares none of 32 bands with a probabilit
 Documents with equal sets form one class, which acts as a single node from then on. Classes that share a band lie in a
 bucket. In a bucket of up to SMALL classes every two of them are a pair, and a pair that shares LEAST bands or more, in
 whatever buckets, is a candidate (a pair of similarity 0.75 shares fewer with a probability of 7e-6). The classes of a
-larger bucket are dealt again by two bands at a time that are at most NEAR apart (of three shared bands two are that near
-but for a twentieth of such pairs, 2e-6 in all); what still is larger than SMALL is chained to its smallest class. Which
-third class shares a bucket thus never separates two.
+larger bucket are dealt again by 57 bands of five values (a pair of similarity 0.75 shares none of them with a probability
+of 2e-7); what still is larger than SMALL is chained to its smallest class. Which third class shares a bucket thus never
+separates two.
 
 Classes connected by candidates form a family, and families are compared on their full sets with counted intersections
 (inverted lists, no matrix). Small families are packed into tasks. A large one is cut into blocks bounded in shingles and
@@ -38,8 +38,9 @@ from ..operators.graph import components, hot_join
 from .common import cut, table
 
 WIDTH, PERCENT, PERMUTATIONS, ROWS, LEAST = 5, 75, 48, 3, 3
-#: Classes in a bucket that is compared pair by pair, and how far apart two bands may lie that split a larger one.
-SMALL, NEAR = 16, 8
+#: Classes in a bucket that is compared pair by pair; values in a band that splits a larger one, and how often the
+#: signature is dealt into such bands.
+SMALL, FINE_ROWS, FINE_DEALS = 16, 5, 3
 #: Shingles and sets in a block of a family, on average: what bounds the memory and time of a task that compares two
 #: blocks. Small families are packed to PACK shingles, on average.
 BLOCK, BLOCK_SETS, PACK, PIVOTS = 1 << 18, 1 << 12, 1 << 15, 4
@@ -89,14 +90,27 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def fine_bands(sig: np.ndarray) -> np.ndarray:
+    """A 32-bit key for each of the bands of FINE_ROWS values; every deal takes values at another distance."""
+    n, keys = len(sig) // FINE_ROWS, []
+    for deal in range(FINE_DEALS):
+        at = (np.arange(FINE_ROWS)[:, None] * (n + deal) + np.arange(n)) % len(sig)
+        key = np.arange(n, dtype=np.uint64) + np.uint64(deal * n)
+        for part in sig[at]:
+            key = _mix(key * _BASE + part)
+        keys.append(key)
+    return (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _facts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         out = []
         for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             s = shingles(text)
             some = len(s) > 0
-            out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if some else None, bands(signature(s)) if some else None))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "fp", "bands"]).astype({"doc_id": "Int64"})
+            sig = signature(s) if some else None
+            out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if some else None, bands(sig) if some else None, fine_bands(sig) if some else None))
+        yield pd.DataFrame(out, columns=["doc_id", "n", "fp", "bands", "fine"]).astype({"doc_id": "Int64"})
 
 
 def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,36 +146,40 @@ class _Overlaps:
         return np.flatnonzero(100 * common >= PERCENT * (self.sizes[u] + self.sizes - common))
 
 
-def _forest(sets: list[np.ndarray], groups: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges (of positions) that connect what is linked; sets of one group count as connected from the start.
+def _parts(sets: list[np.ndarray], groups: np.ndarray | None = None) -> np.ndarray:
+    """A number for each set, equal for those that links connect; sets of one group count as connected from the start.
 
     A link has two ends, so the largest group's sets need no look of their own, and nothing is left to see once all are
     connected.
     """
     part = np.arange(len(sets)) if groups is None else np.unique(groups, return_inverse=True)[1]
     sizes = np.bincount(part)
-    left, out, overlaps = len(sizes), [], _Overlaps(sets)
+    left, overlaps = len(sizes), _Overlaps(sets)
     for u in np.flatnonzero(part != sizes.argmax()) if groups is not None else range(len(sets)):
         if left == 1:
             break
-        found = overlaps.linked(u)
-        found = found[part[found] != part[u]]
-        for v in found[np.unique(part[found], return_index=True)[1]]:
-            out.append((int(u), int(v)))
-            part[part == part[v]] = part[u]
-            left -= 1
-    return out
+        found = np.unique(part[overlaps.linked(u)])
+        found = found[found != part[u]]
+        if len(found):
+            part[np.isin(part, found)] = part[u]
+            left -= len(found)
+    return part
 
 
 def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The forest edges of a cell: whole small families, a block of a large one with pivots, or two blocks."""
+    """(u, v): what is connected within a cell, as stars: whole small families, a block of a large one with pivots, or two
+    blocks of it. A star's middle is a pivot if it has one, else the smallest node."""
     out = []
-    pdf = pdf.sort_values("node").drop_duplicates("node")  # the same forest whatever order the rows come in
-    for _, part in pdf.groupby("root"):
-        nodes, sets = part["node"].tolist(), [np.asarray(s, np.int64) for s in part["shingles"]]
-        groups = part["grp"].to_numpy(np.int64) if part["grp"].notna().all() else None
-        out += [(nodes[u], nodes[v]) for u, v in _forest(sets, groups)]
-    return pd.DataFrame(out, columns=["u", "v"])
+    pdf = pdf.sort_values(["node", "pivot"], ascending=[True, False]).drop_duplicates("node")
+    for _, family in pdf.groupby("root"):
+        nodes, groups = family["node"].to_numpy(np.int64), family["grp"]
+        part = _parts([np.asarray(s, np.int64) for s in family["shingles"]], groups.to_numpy(np.int64) if groups.notna().all() else None)
+        order = np.lexsort((nodes, ~family["pivot"].to_numpy(bool), part))
+        first = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
+        middle = np.repeat(nodes[order][first], np.diff(np.r_[first, len(order)]))
+        some = nodes[order] != middle
+        out.append(pd.DataFrame({"u": nodes[order][some], "v": middle[some]}))
+    return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
 
 
 def _candidates(nodes: DataFrame) -> DataFrame:
@@ -177,19 +195,14 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         few = rows.where(F.col("n") <= SMALL)
         return few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v")
 
-    first = sized(nodes.select("node", F.posexplode("bands").alias("j", "key")))
-    n_bands = 2 * PERMUTATIONS // ROWS
-    wide = first.where(F.col("n") > SMALL).groupBy("node").agg(F.collect_list(F.struct("j", "key")).alias("of"))
-
-    def beside(x: Column) -> Column:
-        near = F.filter("of", lambda y: F.pmod(y["j"] - x["j"], F.lit(n_bands)).between(1, NEAR))
-        return F.transform(near, lambda y: F.xxhash64(x["key"], y["key"]))
-
-    second = sized(wide.select("node", F.explode(F.flatten(F.transform("of", beside))).alias("key")))
+    first = sized(nodes.select("node", F.explode("bands").alias("key")))
+    wide = first.where(F.col("n") > SMALL).select("node").distinct()
+    fine = nodes.join(wide, "node", "left_semi").select("node", F.posexplode("fine").alias("j", "key"))
+    second = sized(fine.select("node", F.struct("j", "key").alias("key")))
     real = pairs(first).union(pairs(second)).distinct()
     real = real.join(signed.toDF("u", "bu"), "u").join(signed.toDF("v", "bv"), "v").where(F.size(F.array_intersect("bu", "bv")) >= LEAST)
     chained = second.where((F.col("n") > SMALL) & (F.col("node") != F.col("low"))).select(F.col("node").alias("u"), F.col("low").alias("v"))
-    return real.select("u", "v").union(chained).distinct()
+    return real.select("u", "v").union(chained)
 
 
 def _blocks(shingles: Column, sets: Column) -> Column:
@@ -198,67 +211,66 @@ def _blocks(shingles: Column, sets: Column) -> Column:
 
 
 def _compare(placed: DataFrame) -> DataFrame:
-    """(u, v): the links found in each cell of (cell, root, node, grp, shingles)."""
-    return placed.select("cell", "root", "node", "grp", "shingles").groupBy("cell").applyInPandas(_cell, "u long, v long")
+    """(u, v): what is connected in each cell of (cell, root, node, pivot, grp, shingles)."""
+    return placed.select("cell", "root", "node", "pivot", "grp", "shingles").groupBy("cell").applyInPandas(_cell, "u long, v long")
 
 
 def _large_links(large: DataFrame) -> DataFrame:
-    """The links within families of several blocks: (root, node, n, blocks, shingles)."""
-    own = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    lowest = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"].alias(f"p{k}") for k in range(PIVOTS)]
-    pivots = large.groupBy("root").agg(*lowest).select("root", F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("node"))
-    everywhere = large.join(pivots, ["root", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    """What is connected within families of several blocks: (root, node, n, blocks, shingles)."""
+    own = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("pivot", F.lit(False))
+    lowest = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(PIVOTS)]
+    pivots = cut(large.groupBy("root").agg(F.array_distinct(F.array(*lowest)).alias("of")).select("root", F.explode("of").alias("node")))
+    everywhere = large.join(pivots, ["root", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(True))
     placed = own.unionByName(everywhere).withColumn("cell", F.concat_ws(":", "root", "block")).withColumn("grp", F.lit(None).cast("long"))
     links = cut(_compare(placed))
 
-    grouped = large.select("root", "node", "n").join(components(links).withColumnRenamed("root", "grp"), "node", "left").withColumn("grp", F.coalesce("grp", "node"))
-    grouped = cut(grouped)
-    sizes = grouped.groupBy("root", "grp").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).withColumn("own", _blocks(F.col("total"), F.col("sets")))
-    rest = sizes.where("own = 1").groupBy("root").agg(_blocks(F.sum("total"), F.sum("sets")).alias("bins"))
-    sizes = sizes.join(rest, "root", "left")
-    # A cluster of several blocks has blocks of its own; smaller ones share bins.
-    labelled = grouped.join(sizes.select("root", "grp", "own", "bins"), ["root", "grp"])
-    mine = F.concat_ws(":", F.lit("own"), "grp", F.pmod(F.xxhash64("node"), F.col("own")))
-    label = F.when(F.col("own") > 1, mine).otherwise(F.concat_ws(":", F.lit("bin"), F.pmod(F.xxhash64("grp"), F.col("bins"))))
-    labelled = cut(labelled.select("root", "node", "grp", label.alias("label"), F.when(F.col("own") > 1, F.col("grp")).alias("cluster")))
-    a = labelled.select("root", "label", "cluster").distinct()
-    b = a.toDF("root", "other", "cluster_b")
-    met = a.join(b, "root").where((F.col("label") <= F.col("other")) & ~F.coalesce(F.col("cluster") == F.col("cluster_b"), F.lit(False)))
+    # A pivot's cluster is a group; all others are loose sets. Groups and loose sets have blocks of their own.
+    middles = links.join(pivots.select(F.col("node").alias("v")), "v", "left_semi").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("middle"))
+    middles = middles.union(pivots.join(middles, "node", "left_anti").select("node", "node"))
+    grouped = cut(large.join(middles, "node", "left").select("root", "node", "n", "middle", "shingles"))
+    grouped = grouped.withColumn("whose", F.coalesce(F.col("middle").cast("string"), F.lit("loose")))
+    sizes = grouped.groupBy("root", "whose").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("own"))
+    labelled = grouped.join(sizes, ["root", "whose"]).withColumn("label", F.concat_ws(":", "whose", F.pmod(F.xxhash64("node"), F.col("own"))))
+    a = cut(labelled.select("root", "label", "middle").distinct())
+    b = a.toDF("root", "other", "middle_b")
+    met = a.join(b, "root").where((F.col("label") <= F.col("other")) & ~F.coalesce(F.col("middle") == F.col("middle_b"), F.lit(False)))
     met = met.withColumn("cell", F.concat_ws("|", "root", "label", "other"))
-    sides = met.select("root", "label", "cell").union(met.select("root", F.col("other").alias("label"), "cell")).distinct()
-    placed = labelled.join(large.select("node", "shingles"), "node").join(sides, ["root", "label"])
+    sides = met.select("root", F.explode(F.array_distinct(F.array("label", "other"))).alias("label"), "cell")
+    placed = labelled.join(sides, ["root", "label"]).withColumn("grp", F.coalesce("middle", "node")).withColumn("pivot", F.lit(False))
     return links.union(_compare(placed))
 
 
 def _family_links(families: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): edges that connect what is linked within each family (node, root)."""
-    wanted = cut(nodes.select("node", "fp", "rep", "n").join(families, "node"))
-    totals = wanted.groupBy("root").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"))
-    many = wanted.count()
-    wanted = cut(wanted.join(totals, "root"))
+    found = nodes.select("node", "fp", "rep", "n").join(families, "node")
+    totals = found.groupBy("root").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"))
+    wanted = cut(found.join(totals, "root"))
+    many, total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()
     ids = wanted.select("rep").distinct()
     if many <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
     sets = cut(texts.mapInPandas(_sets, "fp binary, shingles array<long>").join(wanted, "fp").dropDuplicates(["fp"]))
-    small, large = sets.where("blocks = 1"), sets.where("blocks > 1").select("root", "node", "n", "blocks", "shingles")
-    total = small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    packed = small.withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(1 + total // PACK)).cast("string")).withColumn("grp", F.lit(None).cast("long"))
-    links = _compare(packed)
+    large = sets.where("blocks > 1").select("root", "node", "n", "blocks", "shingles")
+    packed = sets.where("blocks = 1").withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(1 + total // PACK)).cast("string"))
+    links = _compare(packed.withColumn("grp", F.lit(None).cast("long")).withColumn("pivot", F.lit(False)))
     return links if large.isEmpty() else links.union(_large_links(large))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    facts = cut(docs.mapInPandas(_facts, "doc_id long, n long, fp binary, bands array<long>"))
-    classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    facts = cut(docs.mapInPandas(_facts, "doc_id long, n long, fp binary, bands array<long>, fine array<int>"))
+    classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fine").alias("fine"))
     nodes = cut(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fp"))))
     labels = components(_family_links(components(_candidates(nodes)), nodes, docs))
 
-    roots = cut(nodes.select("fp", "node", "rep").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    firsts = roots.groupBy("root").agg(F.min("rep").alias("component"))
-    named = cut(hot_join(roots, firsts, "root", roots.count()).select("fp", "component"))
+    named = nodes.select("fp", "node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("root", "node"))
+    if nodes.where("rep is null").take(1):  # else a class's node is its smallest doc_id, and a component's root too
+        roots = cut(named)
+        firsts = roots.groupBy("component").agg(F.min("rep").alias("first"))
+        named = hot_join(roots, firsts, "component", roots.count()).withColumn("component", F.col("first"))
+    named = cut(named.select("fp", "component"))
     full = facts.where("n > 0").select("doc_id", "n", "fp")
     out = hot_join(full, named, "fp", full.count()).select("doc_id", "n", "component")
     out = out.union(facts.where("n = 0").select("doc_id", "n", "doc_id"))

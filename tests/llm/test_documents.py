@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,10 +167,10 @@ def test_memory_of_two_blocks_of_short_texts():
 
     sets = [minhash.shingles(t).view(np.int64) for _, t in template_rows(2 * 4096)]
     tracemalloc.start()
-    edges = minhash._forest(sets)
+    part = minhash._parts(sets)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(edges) == len(sets) - 1 and peak < 100e6
+    assert len(set(part)) == 1 and peak < 100e6
 
 
 def test_memory_of_many_short_texts_without_links():
@@ -178,10 +179,10 @@ def test_memory_of_many_short_texts_without_links():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 200_000, 10)) for _ in range(30_000)]
     tracemalloc.start()
-    edges = minhash._forest(sets)
+    part = minhash._parts(sets)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert len(edges) < 10 and peak < 300e6
+    assert len(set(part)) > 29_990 and peak < 300e6
 
 
 def test_third_parties_do_not_separate_two_copies(spark, monkeypatch):
@@ -222,13 +223,22 @@ def test_near_duplicates_of_nothing_and_repeats(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_forest_connects_what_is_linked():
+def test_parts_connect_what_is_linked():
     rng = np.random.default_rng(1)
     sets = [np.unique(np.r_[np.arange(10 * (i % 5), 10 * (i % 5) + 30), rng.integers(100, 120, 2)]) for i in range(40)]
-    near = {(i, j) for i in range(40) for j in range(40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
-    whole = minhash._forest(sets)
-    assert len(whole) == 35 and set(whole) <= near
-    assert minhash._forest(sets, np.arange(40) % 5) == [] and len(minhash._forest(sets, np.arange(40) % 10)) == 5
+    want = np.arange(40) % 5
+    assert all(((a := minhash._parts(sets, g)) [:, None] == a).tolist() == (want[:, None] == want).tolist() for g in (None, want, np.arange(40) % 10))
+    cell = pd.DataFrame({"node": np.arange(40), "root": 0, "pivot": np.arange(40) == 7, "grp": None, "shingles": sets})
+    edges = minhash._cell(cell.sample(frac=1, random_state=1))
+    assert {(u, v) for u, v in zip(edges["u"], edges["v"])} == {(i, 7 if i % 5 == 2 else i % 5) for i in range(40) if i > 4 and i != 7 or i == 2}
+
+
+def test_fine_bands_catch_what_is_similar():
+    rng, missed = np.random.default_rng(9), 0
+    for _ in range(300):
+        s = rng.integers(0, 1 << 63, 350).astype(np.uint64)
+        missed += not (minhash.fine_bands(minhash.signature(s[:300])) == minhash.fine_bands(minhash.signature(s[50:]))).any()  # similarity 5 / 7
+    assert missed == 0 and len(minhash.fine_bands(minhash.signature(s))) == 57
 
 
 def test_signature_estimates_similarity():
