@@ -49,35 +49,35 @@ def test_mixed_rows_repeat_as_they_are_taken(spark):
     assert got == {i: n for i, n in plan.items() if n}
 
 
-def brute_lines(rows):
-    """The rule in plain Python: chunks end at marked lines; a chunk met before, of enough words, goes."""
+def brute_lines(rows, min_words=12):
+    """The rule in plain Python: chunks of lines and shortest runs of 50 words, met before in the corpus, go."""
     import hashlib
 
-    def chunks(text):
-        ls = text.split("\n")
-        n = [len(x.split()) for x in ls]
-        h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in ls]
-        out, now = [], []
-        for i, x in enumerate(ls):
-            now.append(x)
-            if i == len(ls) - 1 or n[i] >= 50 or n[i + 1] >= 50 or (h[i] * 31 + (h[i - 1] if i else 0)) % 3 == 0:
-                out.append(now)
-                now = []
-        return out
-
-    seen, result = set(), {}
-    for i, t in sorted(rows):
-        kept, gone = [], 0
-        for c in chunks(t):
-            key, n = "\n".join(c), sum(len(x.split()) for x in c)
-            if n >= 12 and (len(c) > 1 or n >= 50):
-                if key in seen:
-                    gone += 1
-                    continue
-                seen.add(key)
-            kept.append(key)
-        result[i] = (gone, "\n".join(kept))
-    return result
+    def spans(ls):
+        of = [(p, x, len(x.split()), int(hashlib.md5(x.encode()).hexdigest()[:7], 16)) for p, x in enumerate(ls) if x.split()]
+        out, start = set(), 0
+        for i, (_, _, _, h) in enumerate(of):
+            if i == len(of) - 1 or (h * 31 + (of[i - 1][3] if i else 0)) % 3 == 0:
+                if i > start and sum(x[2] for x in of[start : i + 1]) >= min_words:
+                    out.add((start, i))
+                start = i + 1
+            ends = [j for j in range(i, len(of)) if sum(x[2] for x in of[i : j + 1]) >= 50]
+            begins = [j for j in range(i + 1) if sum(x[2] for x in of[j : i + 1]) >= 50]
+            out |= {(i, min(ends))} if ends else set()
+            out |= {(max(begins), i)} if begins else set()
+        return [(of[s][0], of[e][0], "\n".join(x[1] for x in of[s : e + 1])) for s, e in sorted(out)]
+
+    places: dict = {}
+    for i, t in rows:
+        for s, e, text in spans(t.split("\n")):
+            places.setdefault(text, []).append((i, s, e))
+    gone: dict = {i: set() for i, _ in rows}
+    for found in places.values():
+        first, *others = sorted(found)
+        for i, s, e in others:
+            if not (i == first[0] and s <= first[2]):
+                gone[i] |= set(range(s, e + 1))
+    return {i: (len(gone[i]), "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i])) for i, t in rows}
 
 
 def test_line_dedup(spark):
@@ -95,15 +95,53 @@ def test_line_dedup(spark):
     assert all(shared[3] not in t for i, (_, t) in found.items() if i > 0 and shared[3] in dict(rows)[i] and any(shared[3] in dict(rows)[j] for j in range(i)))
 
 
+def test_passages_go_whole(spark):
+    """Passages of over 50 words in 2 to 20 short lines, between private lines: all lines go, and only those."""
+    rows, passages = [], {}
+    for k, (n, each) in enumerate([(2, 40), (3, 20), (5, 12), (6, 10), (10, 10), (20, 3), (2, 26), (60, 1)]):
+        passage = [" ".join(words(each, 7000 + 100 * k + j)) for j in range(n)]
+        for copy in range(4):
+            private = [[" ".join(words(7, 100_000 + 1000 * k + 100 * copy + 10 * side + j)) for j in range(copy + 1)] for side in range(2)]
+            if copy == 3:
+                passage = [x for line in passage for x in (line, "")][:-1]  # the same lines with blank ones between
+            rows.append((10 * k + copy, "\n".join(private[0] + passage + private[1])))
+            passages[10 * k + copy] = (n, "\n".join(private[0] + private[1]))
+    found = {r.doc_id: r.text for r in lines.dedup_chunks(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert all(found[i] == (dict(rows)[i] if i % 10 == 0 else alone) for i, (_, alone) in passages.items())
+
+
+def test_repeats_within_a_document(spark):
+    """A later copy in the same text goes; lines that repeat themselves keep the run they overlap."""
+    passage, line = "\n".join(" ".join(words(30, j)) for j in range(3)), " ".join(words(26, 9))
+    rows = [(1, f"{passage}\nown words here\n{passage}"), (2, "\n".join([line] * 3)), (3, "\n".join([line] * 5))]
+    found = {r.doc_id: (r._n_removed, r.text) for r in lines.dedup_chunks(docs(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert found == brute_lines(rows) and found[1] == (3, f"{passage}\nown words here") and found[3][1] == ""
+
+
+def test_equal_hashes_of_different_bytes_stay(spark, monkeypatch):
+    monkeypatch.setattr(lines.F, "xxhash64", lambda *c: F.lit(7).cast("long") if len(c) == 1 or isinstance(c[0], str) else F.lit(8).cast("long"))
+    rows = [(i, " ".join(words(60, i)), "s") for i in range(4)]
+    assert {r.doc_id: r.text for r in lines.dedup_chunks(docs(spark, rows)).collect()} == {i: t for i, t, _ in rows}
+
+
 def test_line_dedup_odd_rows(spark):
     text = "\n".join(" ".join(words(8, k)) for k in range(9))
-    df = docs(spark, [(1, text, "a"), (1, text, "b"), (2, None, "a"), (3, "", "a"), (4, "x" * 200000, "a"), (None, "\n\n", "a"), (9, text, "c")])
+    df = docs(spark, [(1, text, "a"), (1, text, "b"), (2, None, "a"), (3, "", "a"), (4, "x" * 200000, "a"), (None, "\n\n", "a"), (9, text, "c"), (10, "a b\n" * 20_000, "a")])
     rows = lines.dedup_chunks(df).collect()
-    assert len(rows) == 7 and {r.source: r.text for r in rows if r.doc_id == 1} == {"a": text, "b": text}
-    assert next(r for r in rows if r.doc_id == 9)._n_removed > 0 and next(r for r in rows if r.doc_id == 2).text is None
+    assert len(rows) == 8 and {r.source: r.text for r in rows if r.doc_id == 1} == {"a": text, "b": text}
+    assert next(r for r in rows if r.doc_id == 9).text == "" and next(r for r in rows if r.doc_id == 2).text is None
     assert lines.dedup_chunks(df.limit(0)).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    text = "\n".join(" ".join(words(20, k)) for k in range(4))
+    names = ["_th", "_kept", "_gone", "_gid", "_gth", "th", "c0", "id", "gone", "u", "a.b"]
+    df = spark.createDataFrame([(1, text, *range(11)), (2, text, *range(11, 22))], ["doc_id", "text", *names])
+    out = lines.dedup_chunks(df)
+    assert out.columns == [*df.columns, "_n_removed"]
+    assert {tuple(r) for r in out.collect()} == {(1, text, *range(11), 0), (2, "", *range(11, 22), 4)}
+
+
 def brute_near(rows):
     sets = {}
     for i, t in rows:
