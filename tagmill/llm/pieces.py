@@ -1,18 +1,24 @@
-"""SentencePiece encoding and decoding by a backtracking search over admissible pairs of pieces.
+"""SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Spaces become U+2581 and one stands before the text. A pair of neighbouring pieces is admissible if merging their joint
-text leaves exactly these two. One path of pieces (or single characters, which become byte pieces where no piece covers
-them) has admissible pairs only, and that is the model's own segmentation: no merge of the whole text can cross a border
-that the two pieces beside it keep. (Summing piece scores, as for unigram models, would not give a merge model's result;
-with pairs that are admissible or not, there is nothing to minimise, so no transducers are composed and no shortest path
-is sought.) The path is searched depth-first, longest piece first, and dead states are remembered, so the search is
-linear in the text.
+A model is compiled to three machines: the normaliser, one state whose arcs rewrite characters (spaces become U+2581); the
+pieces, a trie whose states list their arcs by character and whose accepting states give a piece and its weight, with
+byte fallback for characters that no arc leads over; and the acceptor of pairs of neighbouring pieces. They are composed
+with each input as far as the search asks for it, and the path of least weight is taken, weights being added along a path
+and the least chosen between paths (the tropical semiring).
+
+For a unigram model a piece weighs its negative score, every pair is accepted, and states are positions, relaxed in order.
+For a merge model scores are ranks, not costs: what counts is whether merging the joint text of two neighbours leaves
+exactly these two. Accepted pairs then weigh nothing and all others infinitely much; states are (position, last piece),
+and the farthest is expanded first. One path has finite weight, the model's own segmentation: no merge of the whole text can
+cross a border that the two pieces beside it keep.
 
 No piece crosses certain borders, such as the one before a space; texts are cut there, and each distinct part is
 searched once in a worker as long as it is remembered.
 
-Cases: null texts count as empty; an empty text has no pieces; unknown characters become byte pieces; decoding gives the
-text back except that U+2581 becomes a space; rows that repeat are rows of their own; empty tables give an empty result.
+Cases: null texts count as empty; an empty text has no pieces; unknown characters become byte pieces (in models without
+them a run of unknown characters becomes one unknown piece); decoding gives the text back except that U+2581 becomes a space;
+rows that repeat are rows of their own; empty tables give an empty result; other columns are carried along by
+``encode_pieces``, but for those called like its results, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from heapq import heappop, heappush
+from math import inf
 
 import numpy as np
 import pandas as pd
@@ -48,26 +56,52 @@ class Transducer:
         model = pb.ModelProto()
         with open(path, "rb") as file:
             model.ParseFromString(file.read())
-        spec = model.normalizer_spec
-        if spec.precompiled_charsmap or model.trainer_spec.model_type != pb.TrainerSpec.BPE or model.trainer_spec.treat_whitespace_as_suffix:
-            raise ValueError("only merge models without a character map are supported")
+        spec, kinds = model.normalizer_spec, pb.ModelProto.SentencePiece
+        self.merges = model.trainer_spec.model_type == pb.TrainerSpec.BPE
+        if spec.precompiled_charsmap or not (self.merges or model.trainer_spec.model_type == pb.TrainerSpec.UNIGRAM) or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only merge and unigram models without a character map are supported")
+        #: The normaliser's arcs.
+        self.rewrites = {" ": SPACE}
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        kinds = pb.ModelProto.SentencePiece
         self.score = {p.piece: p.score for p in model.pieces if p.type == kinds.NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == kinds.NORMAL}
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == kinds.UNKNOWN)
+        #: What an unknown character weighs: the lowest score and a fixed penalty.
+        self.unknown_weight = 10.0 - min(self.score.values(), default=0.0)
         bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.bytes_of = [bytes_of.get(i, p.piece.encode() if p.type == kinds.NORMAL else b"") for i, p in enumerate(model.pieces)]
-        #: Longest piece for each beginning of up to three characters.
-        self.longest: dict[str, int] = {}
-        for p in self.score:
-            for begin in (p[:1], p[:2], p[:3]):
-                self.longest[begin] = max(len(p), self.longest.get(begin, 1))
+        self.arcs, self.weights = self._trie()
         self.split = self._borders()
         self.pairs = Memo(lambda pair: self._merged(pair[0] + pair[1]) == list(pair), PAIRS)
         self.parts = Memo(self._part, PARTS)
 
+    def _trie(self) -> tuple[list[dict[str, int]], list[float | None]]:
+        """The machine of pieces: each state's arcs, and the weight of the piece that it accepts (None: no piece)."""
+        arcs: list[dict[str, int]] = [{}]
+        weights: list[float | None] = [None]
+        for piece, score in self.score.items():
+            state = 0
+            for c in piece:
+                if c not in arcs[state]:
+                    arcs[state][c] = len(arcs)
+                    arcs.append({})
+                    weights.append(None)
+                state = arcs[state][c]
+            weights[state] = 0.0 if self.merges else -score
+        return arcs, weights
+
+    def _outgoing(self, text: str, at: int) -> list[tuple[int, float]]:
+        """The ends and weights of the pieces from a position on; byte fallback where no piece is one character long."""
+        arcs, weights, state, out, end = self.arcs, self.weights, 0, [], at
+        while end < len(text) and (state := arcs[state].get(text[end], 0)):
+            end += 1
+            if weights[state] is not None:
+                out.append((end, weights[state]))
+        if not out or out[0][0] != at + 1:
+            out.insert(0, (at + 1, 0.0 if self.merges else self.unknown_weight))
+        return out
+
     def _borders(self):
         """A pattern that cuts a text where no piece has two such characters side by side.
 
@@ -97,31 +131,47 @@ class Transducer:
         return part
 
     def _path(self, text: str) -> list[str]:
-        """The pieces (or single unknown characters) on the path of admissible pairs: depth first, the longest piece first."""
-        score, pairs, longest, n = self.score, self.pairs, self.longest, len(text)
-        # For each state on the path: where it ends, and the size of the next piece to try.
-        path, ends, sizes, dead = [], [0], [min(n, longest.get(text[:3], 2))], set()
-        while ends[-1] < n:
-            at, size = ends[-1], sizes[-1]
-            while size:
-                piece = text[at : at + size]
-                if (size == 1 or piece in score) and (not path or pairs[path[-1], piece]) and (at + size, piece) not in dead:
-                    break
-                size -= 1
-            sizes[-1] = size - 1
-            if size:
-                end = at + size
-                path.append(piece)
-                ends.append(end)
-                sizes.append(min(n - end, longest.get(text[end : end + 3], 2)))
-            else:
-                sizes.pop()
-                dead.add((ends.pop(), path.pop()))
-        return path
+        """The pieces (or single unknown characters) on the path of least weight."""
+        return self._accepted_path(text) if self.merges else self._cheapest_path(text)
+
+    def _accepted_path(self, text: str) -> list[str]:
+        """Best first over states (position, last piece), composed as they are reached."""
+        n, pairs, start = len(text), self.pairs, (0, "")
+        before: dict[tuple[int, str], tuple[int, str]] = {start: start}
+        queue = [(0.0, 0, "")]
+        while queue:
+            weight, at, last = heappop(queue)
+            at = -at
+            if at == n:
+                break
+            for end, more in self._outgoing(text, at):
+                piece = text[at:end]
+                if (end, piece) not in before and (not at or pairs[last, piece]):
+                    before[end, piece] = (at, last)
+                    heappush(queue, (weight + more, -end, piece))
+        path, state = [], (at, last)
+        while state != start:
+            path.append(state[1])
+            state = before[state]
+        return path[::-1]
+
+    def _cheapest_path(self, text: str) -> list[str]:
+        """Relaxation of the positions in order; of equal weights the longer last piece stays."""
+        n = len(text)
+        least, before = [0.0] + [inf] * n, [0] * (n + 1)
+        for at in range(n):
+            for end, weight in self._outgoing(text, at):
+                if least[at] + weight < least[end]:
+                    least[end], before[end] = least[at] + weight, at
+        path, end = [], n
+        while end:
+            path.append(text[before[end] : end])
+            end = before[end]
+        return path[::-1]
 
     def _part(self, text: str) -> bytes:
         ids: list[int] = []
-        for piece in self._path(text.replace(" ", SPACE)):
+        for piece in self._path("".join([self.rewrites.get(c, c) for c in text])):
             i = self.ids.get(piece)
             if i is not None:
                 ids.append(i)
@@ -138,7 +188,11 @@ class Transducer:
         if not text:
             return b""
         text = (" " if self.prefix else "") + text.replace(SPACE, " ")
-        return b"".join(map(self.parts.__getitem__, self.split(text)))
+        coded = b"".join(map(self.parts.__getitem__, self.split(text)))
+        if not self.byte_ids:
+            ids = np.frombuffer(coded, "<u4")
+            coded = ids[np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]].tobytes()
+        return coded
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
@@ -156,6 +210,7 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", ids_col:
 
     Rows pass in slices of ROWS, so that a worker holds few texts at once, and both directions share one transducer.
     """
+    docs = docs.drop(ids_col, *[spelled_col] * bool(spelled_col))
     more = [StructField(ids_col, ArrayType(IntegerType())), *([StructField(spelled_col, StringType())] if spelled_col else [])]
     schema = StructType([*docs.schema.fields, *more])
 
