@@ -2,7 +2,8 @@
 
 A text's hidden vector is the mean of the embeddings of its hashed character grams (as in fastText); a linear softmax
 gives the languages' probabilities. Embeddings and softmax are trained by stochastic gradient descent in numpy on a
-bounded sample of the labelled rows, on whole texts and on short pieces of them. A temperature fitted on a third of the
+bounded sample of the labelled rows of every language, on whole texts and on short pieces of them. Tasks turn the sample
+into numbers of hashed grams; no text reaches the driver. A temperature fitted on a third of the
 sample kept aside calibrates the probabilities; a prediction below the least calibrated probability at which nine of ten
 answers of that third are right is marked as rejected.
 
@@ -24,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import table
+from .common import cut, table
 from .features import grams, summed
 
 ORDERS, BUCKETS, WIDTH = (1, 2, 3), 1 << 14, 16
-#: The sample: so many rows of each language, of so many languages, the most frequent ones, and characters of a text.
-ROWS_EACH, LANGUAGES, EPOCHS, RATE, RIGHT = 500, 200, 6, 2.0, 0.9
+#: The sample: at most so many rows of each language, and SAMPLE_GRAMS distinct grams (12 bytes each) in all; beyond, fewer
+#: rows of each language, at least one.
+ROWS_EACH, SAMPLE_GRAMS, EPOCHS, RATE, RIGHT = 500, 20_000_000, 6, 2.0, 0.9
 PIECES, LEAST_WORDS, MOST_WORDS = 4, 1, 25
 
 
@@ -42,28 +44,41 @@ class Model:
     least: float = 0.0
 
 
-def sample(labelled: DataFrame, key: Column, rows_each: int = ROWS_EACH, languages: int = LANGUAGES) -> list[tuple[str, str]]:
-    """At most rows_each (text, lang) of each of the most frequent languages, by a hash of the key: the same rows each run."""
+#: Of a sampled text and its pieces: ids of the grams and their shares.
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def sample(labelled: DataFrame, key: Column, rows_each: int = ROWS_EACH) -> list[tuple[list[Bag], str]]:
+    """(bags, lang) of at most rows_each rows of every language, chosen by a hash of the key: the same rows each run."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64(key, F.lit("language")).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(languages)
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(3.0 * rows_each) / F.col("n"))  # leaves a few rows for the window, not a language
-    near = rows.join(F.broadcast(counts), "lang").where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share)
-    first = near.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("k") <= rows_each)
-    return [(r.text, r.lang) for r in first.orderBy("lang", "k").select("text", "lang").collect()]
+    near = rows.join(counts, "lang").where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share)
+    order = W.partitionBy("lang").orderBy("h", "text")
+    first = near.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_each)
+
+    def bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for lang, k, h, text in zip(pdf["lang"], pdf["k"], pdf["h"], pdf["text"], strict=True):
+                of = _text_bags(text, np.random.default_rng(h & (1 << 63) - 1))
+                yield pd.DataFrame({"lang": [lang], "k": [k], "n": [sum(len(x) for x, _ in of)], "ids": [[x.astype(np.int32) for x, _ in of]], "shares": [[w for _, w in of]]})
 
+    found = cut(first.mapInPandas(bags, "lang string, k int, n long, ids array<array<int>>, shares array<array<float>>"))
+    n_languages = found.select("lang").distinct().count()
+    upto = F.sum("n").over(W.partitionBy("lang").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    within = found.withColumn("upto", F.coalesce(upto, F.lit(0))).where((F.col("upto") + F.col("n") <= SAMPLE_GRAMS // max(1, n_languages)) | (F.col("k") == 1))
+    picked = within.orderBy("lang", "k").select("lang", "ids", "shares").toLocalIterator()
+    return [([(np.array(x, np.int64), np.array(w, np.float32)) for x, w in zip(r.ids, r.shares, strict=True)], r.lang) for r in picked]
 
-def _pieces(texts: list[str], langs: list[str], rng: np.random.Generator) -> tuple[list[str], list[str]]:
-    out, own = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        words = text.split()
-        out.append(text)
-        own.append(lang)
-        for _ in range(PIECES if words else 0):
-            n = int(rng.integers(LEAST_WORDS, MOST_WORDS + 1))
-            at = int(rng.integers(0, max(1, len(words) - n + 1)))
-            out.append(" ".join(words[at : at + n]))
-            own.append(lang)
-    return out, own
+
+def _text_bags(text: str, rng: np.random.Generator) -> list[Bag]:
+    """The bags of a text and of PIECES short pieces of it."""
+    words, out = text.split(), [text]
+    for _ in range(PIECES if words else 0):
+        n = int(rng.integers(LEAST_WORDS, MOST_WORDS + 1))
+        at = int(rng.integers(0, max(1, len(words) - n + 1)))
+        out.append(" ".join(words[at : at + n]))
+    return _bags(out)
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -87,15 +102,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
+    """A model of (text, lang) rows."""
+    rng = np.random.default_rng(seed)
+    return fit_bags([(_text_bags(t, rng), lang) for t, lang in rows], seed)
+
+
+def fit_bags(rows: list[tuple[list[Bag], str]], seed: int = 7) -> Model:
     """Train on two thirds of the rows, calibrate on the others."""
     languages = sorted({lang for _, lang in rows})
     index, rng = {lang: i for i, lang in enumerate(languages)}, np.random.default_rng(seed)
     if not rows:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    aside = [r for i, r in enumerate(rows) if i % 3 == 2]
-    learn = [r for i, r in enumerate(rows) if i % 3 != 2]
-    texts, langs = _pieces([t for t, _ in learn], [v for _, v in learn], rng)
-    y, bags = np.array([index[v] for v in langs]), _bags(texts)
+    aside = [(b, index[lang]) for i, (of, lang) in enumerate(rows) if i % 3 == 2 for b in of]
+    learn = [(b, index[lang]) for i, (of, lang) in enumerate(rows) if i % 3 != 2 for b in of]
+    y, bags = np.array([v for _, v in learn]), [b for b, _ in learn]
     share = np.bincount(y, minlength=len(languages))
     emb = (rng.standard_normal((BUCKETS, WIDTH)) / WIDTH).astype(np.float32)
     out, bias = np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages), np.float32)
@@ -116,9 +136,8 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Model:
             emb[ids] -= (rate * w)[:, None] * back
     model = Model(languages, (emb @ out).astype(np.float64), bias.astype(np.float64))
     if aside:
-        texts, langs = _pieces([t for t, _ in aside], [v for _, v in aside], rng)
-        y = np.array([index[v] for v in langs])
-        z = _logits(model, texts)
+        y = np.array([v for _, v in aside])
+        z = np.stack([w @ model.logits[ids] for (ids, w), _ in aside]) + model.bias
         loss = {t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.1, 10, 61)}
         model.temperature = float(min(loss, key=loss.get))
         p = _softmax(z / model.temperature)
@@ -157,7 +176,7 @@ def held_out(doc_id: Column) -> Column:
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text", "lang")
-    model = fit(sample(docs.where(~held_out(F.col("id"))), F.col("id")))
+    model = fit_bags(sample(docs.where(~held_out(F.col("id"))), F.col("id")))
     found = identify(docs, model)
     return found.select(F.col("id").alias("doc_id"), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "rejected")
 

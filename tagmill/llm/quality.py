@@ -5,11 +5,13 @@ up the weights of the hashed features of a text's distinct words (the word, its
 and of the share of words that repeat the one before. A weight is never positive: features are signs that lower the grade,
 and a text without any, however short or long, gets the highest. Weights and thresholds are fitted in numpy, by the likelihood's
 gradient with per-coordinate rates and an L1 penalty (FTRL), on a bounded sample of the rated documents. The model gives
-the expected grade and the probability of the upper grades, by which documents are selected.
+the expected grade and the probability of the upper grades, by which documents are selected. Texts become features in the
+tasks: the driver gets numbers, never texts, at most SAMPLE_FEATURES of them.
 
 Cases: ratings that are null, and rated ids without a text, teach nothing; of several ratings of a document the lowest
 counts; a null text has no words; without ratings every document gets probability 1 and is kept; rows that repeat are
-rows of their own; empty tables give an empty result; other columns are carried along by ``with_grades``.
+rows of their own; empty tables give an empty result; other columns are carried along by ``with_grades``, but for those
+called like its results, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.window import Window as W
 
-from .common import Memo, table
+from .common import Memo, cut, table
 
 #: The sample: at most so many documents of each grade, by hash; passes over them; the selection's least probability.
 ROWS_EACH, EPOCHS, LEAST = 3000, 4, 0.5
 BUCKETS, RATE, L1 = 1 << 18, 0.15, 4.0
+#: Features of all sampled documents together that the driver learns from (8 bytes each); beyond, fewer documents of each grade.
+SAMPLE_FEATURES = 20_000_000
 #: Words of a kind in each of the two generations whose weights a worker remembers.
 CACHED_WORDS = 100_000
 
@@ -84,10 +89,15 @@ def _logistic(x: float) -> float:
 
 def fit(rows: list[tuple[str, int]], n_grades: int, seed: int = 3) -> Model:
     """Weights and thresholds from (text, grade)."""
+    return fit_features([(features(t), g) for t, g in rows], n_grades, seed)
+
+
+def fit_features(rows: list[tuple[np.ndarray, int]], n_grades: int, seed: int = 3) -> Model:
+    """Weights and thresholds from (features, grade)."""
     cuts = -2.0 * np.arange(n_grades - 1, 0, -1.0)  # a text without telling features gets the highest grade
     if not rows:
         return Model(np.zeros(BUCKETS), np.full(n_grades - 1, -500.0))
-    bags = [features(t) for t, _ in rows]
+    bags = [b for b, _ in rows]
     grades = [g for _, g in rows]
     w, z, n = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     rng = np.random.default_rng(seed)
@@ -113,8 +123,8 @@ def fit(rows: list[tuple[str, int]], n_grades: int, seed: int = 3) -> Model:
     return Model(w, cuts)
 
 
-def rated_sample(docs: DataFrame, ratings: DataFrame, n_grades: int, rows_each: int = ROWS_EACH) -> list[tuple[str, int]]:
-    """(text, grade) of at most rows_each documents of each grade, chosen by hash among ``ratings`` (doc_id, grade)."""
+def rated_sample(docs: DataFrame, ratings: DataFrame, n_grades: int, rows_each: int = ROWS_EACH) -> list[tuple[np.ndarray, int]]:
+    """(features, grade) of at most rows_each documents of each grade, chosen by hash among ``ratings`` (doc_id, grade)."""
     one = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     h = F.xxhash64("doc_id", F.lit("rated"))
     picked = None
@@ -127,13 +137,23 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, n_grades: int, rows_each:
     few = F.broadcast(docs.sparkSession.createDataFrame(picked, "doc_id long, grade int"))
     texts = docs.where("text is not null").select("doc_id", "text").join(few, "doc_id")
     first = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
-    return [(r.text, r.grade) for r in first.orderBy("doc_id").collect()]
+
+    def bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            of = [features(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "n": [len(x) for x in of], "bag": of})
+
+    found = cut(first.mapInPandas(bags, "doc_id long, grade int, n long, bag array<long>"))
+    order = W.partitionBy("grade").orderBy(h, "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    within = found.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= SAMPLE_FEATURES // n_grades)
+    return [(np.array(r.bag, np.int64), r.grade) for r in within.orderBy("doc_id").select("bag", "grade").collect()]
 
 
 def with_grades(docs: DataFrame, model: Model, text_col: str = "text", upper: int | None = None) -> DataFrame:
     """``docs`` with expected_grade and tail_prob: the probability of ``upper`` (the highest grade) or more."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
     at = len(model.thresholds) if upper is None else upper
+    docs = docs.drop("expected_grade", "tail_prob")
     schema = StructType([*docs.schema.fields, StructField("expected_grade", DoubleType()), StructField("tail_prob", DoubleType())])
 
     def predict(parts: Iterator) -> Iterator:
@@ -157,7 +177,7 @@ def grade(quality: Column, toxic: Column) -> Column:
 def graded_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with expected_grade, tail_prob and keep, by a model fitted on ``labels``."""
     ratings = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade(F.col("quality"), F.col("toxic")).alias("grade"))
-    model = fit(rated_sample(docs, ratings, 3), 3)
+    model = fit_features(rated_sample(docs, ratings, 3), 3)
     return with_grades(docs, model).withColumn("keep", F.col("tail_prob") >= LEAST)
 
 
