@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -39,6 +39,8 @@ MAGIC, BLOCK = b"TGMDAC01", 512
 FILE_IDS = 2_000_000
 #: Words in each of the two generations that a worker remembers: some 250 MB in all.
 CACHED_WORDS = 600_000
+#: Longer words (bytes) are not remembered.
+LONGEST_WORD = 64
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -108,6 +110,56 @@ class Codes:
         return self.book[rank] if self.n_ids else np.zeros(0, np.uint32)
 
 
+class RangedCodes:
+    """Single tokens of a file that stays in its store: each takes a few reads of at most BLOCK / 8 bytes a level.
+
+    ``read_at(size, offset)`` reads a range, as that of a file opened by pyarrow does.
+    """
+
+    def __init__(self, read_at: Callable[[int, int], bytes]):
+        self._read = read_at
+        magic, n_docs, self.n_ids, n_book, n_levels = struct.unpack("<8s4Q", read_at(40, 0))
+        if magic != MAGIC:
+            raise ValueError("not a file of token codes")
+        self._starts = 40 + 9 * n_docs
+        self._book = self._starts + 8 * (n_docs + 1)
+        at, self._levels = self._book + 4 * n_book, []
+        for _ in range(n_levels):
+            n = self._number("<Q", at)
+            bits = at + 8 + n
+            self._levels.append((at + 8, bits, bits + -(-n // 8)))
+            at = bits + -(-n // 8) + 8 * (n // BLOCK + 1)
+
+    def _number(self, kind: str, at: int) -> int:
+        return struct.unpack(kind, self._read(struct.calcsize(kind), at))[0]
+
+    def start(self, document: int) -> int:
+        """Where the ids of the document with this number begin."""
+        return self._number("<Q", self._starts + 8 * document)
+
+    def token(self, i: int) -> int:
+        """The id at position i of the file."""
+        if not 0 <= i < self.n_ids:
+            raise IndexError(i)
+        rank = 0
+        for k, (chunks, bits, before) in enumerate(self._levels):
+            rank |= self._number("<B", chunks + i) << (8 * k)
+            first = i // BLOCK * (BLOCK // 8)
+            part = np.frombuffer(self._read(i // 8 - first + 1, bits + first), np.uint8)
+            if not part[-1] >> (i & 7) & 1:
+                break
+            i = self._number("<Q", before + 8 * (i // BLOCK)) + int(_ONES[part[:-1]].sum()) + int(_ONES[part[-1] & ((1 << (i & 7)) - 1)])
+        return self._number("<I", self._book + 4 * rank)
+
+
+def open_codes(file: str) -> RangedCodes:
+    """A file of the manifest, for single tokens."""
+    from pyarrow import fs
+
+    where, path = fs.FileSystem.from_uri(file)
+    return RangedCodes(where.open_input_file(path).read_at)
+
+
 class WordEncoder:
     """Ids of whole texts. Words between ASCII white space are encoded on their own: no rule of the tokenizer looks across.
 
@@ -140,6 +192,9 @@ class WordEncoder:
             young = self._young
             for i in gaps:
                 found[i] = young[words[i]]
+            for w in absent:
+                if len(w) > LONGEST_WORD:
+                    del young[w]  # memory is bounded in bytes too
         return b"".join(found)
 
     def _remembered(self, words: set[bytes]) -> set[bytes]:

@@ -49,13 +49,17 @@ class Memo(dict):
     """Results of ``make`` by key, in two generations of at most ``most`` keys.
 
     When the young generation is full it becomes the old one, and a key that is asked for again moves on: what is frequent
-    stays, and memory is bounded.
+    stays. Keys longer than LONGEST are not remembered, so memory is bounded in bytes.
     """
 
+    LONGEST = 64
+
     def __init__(self, make: Callable[[Any], Any], most: int):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key: Any) -> Any:
+        if len(key) > self.LONGEST:
+            return self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

@@ -90,16 +90,22 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _fine_places() -> np.ndarray:
+    """Which values of a signature make each of the bands of FINE_ROWS; every deal takes values at another distance."""
+    size = 2 * PERMUTATIONS
+    n = size // FINE_ROWS
+    return np.concatenate([(np.arange(FINE_ROWS)[:, None] * (n + deal) + np.arange(n)) % size for deal in range(FINE_DEALS)], axis=1)
+
+
+_FINE = _fine_places()
+
+
 def fine_bands(sig: np.ndarray) -> np.ndarray:
-    """A 32-bit key for each of the bands of FINE_ROWS values; every deal takes values at another distance."""
-    n, keys = len(sig) // FINE_ROWS, []
-    for deal in range(FINE_DEALS):
-        at = (np.arange(FINE_ROWS)[:, None] * (n + deal) + np.arange(n)) % len(sig)
-        key = np.arange(n, dtype=np.uint64) + np.uint64(deal * n)
-        for part in sig[at]:
-            key = _mix(key * _BASE + part)
-        keys.append(key)
-    return (np.concatenate(keys) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    """A 32-bit key for each of the bands of FINE_ROWS values."""
+    key = np.arange(_FINE.shape[1], dtype=np.uint64)
+    for part in sig[_FINE]:
+        key = _mix(key * _BASE + part)
+    return (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _facts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,7 +5,8 @@ which its budget runs out; only that bucket is split further, until the full has
 by comparing their hash to their source's threshold: no sort, and thresholds nest (a larger budget takes a superset).
 
 Cases: a null text has size 0; null sources form one source, the last; rows that repeat a doc_id share its hash and so
-are taken together; an empty table gives an empty result; other columns of the input are ignored.
+are taken together; an empty table gives an empty result; other columns of the input are ignored by ``mix_sources`` and
+carried along, whatever their names, by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -109,10 +110,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3) -> DataFrame:
     """``docs`` (doc_id, text, source and more) as the mix takes them: each row as often as it is taken."""
     mix = plan_mix(sizes(docs), weights, most)
-    plan = Mix(mix.sources.select("source", F.struct("whole", "limit").alias("_mix")), mix.few)
-    copies = F.col("_mix.whole") + F.when(hash60(F.col("doc_id")) <= F.coalesce("_mix.limit", F.lit(-1)), 1).otherwise(0)
-    rounds = plan.join(docs).withColumn("_copies", copies.cast("int")).where("_copies > 0")
-    return rounds.withColumn("_round", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # Columns go within one, so that no name clashes.
+    rows = docs.select("source", hash60(F.col("doc_id")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    taken = mix.join(rows).withColumn("copies", F.expr(COPIES).cast("int")).where("copies > 0")
+    taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

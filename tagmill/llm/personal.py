@@ -207,7 +207,7 @@ def _digits(tape: Tape) -> None:
 
 def _walk(text: str, at: int, state: str, step: re.Pattern, accept: set[str]) -> tuple[str, int, list[tuple[int, int, str]]]:
     """The last accepting state reached over ADDRESS from ``at`` on, its end, and the edits on the way."""
-    edits, found = [], ("", at, [])
+    edits, found = [], ("", at, 0)
     while m := step.match(text, at):
         arc = ADDRESS.get((state, "." if m.lastgroup == "point" else m.lastgroup))
         if arc is None:
@@ -216,8 +216,8 @@ def _walk(text: str, at: int, state: str, step: re.Pattern, accept: set[str]) ->
             edits.append((*m.span(), arc[1]))
         state, at = arc[0], m.end()
         if state in accept:
-            found = (state, at, list(edits))
-    return found
+            found = (state, at, len(edits))
+    return found[0], found[1], edits[: found[2]]
 
 
 def _addresses(tape: Tape) -> None:

@@ -49,6 +49,20 @@ def test_mixed_rows_repeat_as_they_are_taken(spark):
     assert got == {i: n for i, n in plan.items() if n}
 
 
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["_mix", "_source", "_copies", "_round", "h", "row", "limit", "whole", "col", "copies"]
+    df = spark.createDataFrame([(1, "a b", "s", *range(10)), (1, "a b", "s", *range(10)), (2, "c d", "t", *range(10))], ["doc_id", "text", "source", *names])
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {tuple(range(10))}
+
+
+def test_mix_of_ties_at_the_border(spark):
+    """Rows of one id share a hash: all are taken, or none, also where the budget runs out."""
+    df = docs(spark, [(i // 5, "w w", "ab"[i // 5 % 2]) for i in range(400)])
+    rows = mixing.mix_sources(df).collect()
+    assert len(rows) == 400 and all(len({r.taken for r in rows if r.doc_id == i}) == 1 for i in range(80))
+
+
 def brute_lines(rows, min_words=12):
     """The rule in plain Python: chunks of lines and shortest runs of 50 words, met before in the corpus, go."""
     import hashlib

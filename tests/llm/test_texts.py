@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tagmill.llm import codes, language, personal, pieces, quality
 
@@ -204,6 +205,28 @@ def test_codes_round_trip_and_random_access(docs):
         found.token(len(ids))
 
 
+def test_ranged_reads_take_few_bytes(spark, word_file, tmp_path, monkeypatch):
+    ids = np.random.default_rng(1).zipf(1.3, 200_000).clip(0, 60_000).astype("<u4")
+    data, taken = codes.pack([5, None], [150_000, 50_000], ids), []
+
+    def read_at(size, offset):
+        taken.append(size)
+        return data[offset : offset + size]
+
+    found = codes.RangedCodes(read_at)
+    assert [found.start(k) for k in range(3)] == [0, 150_000, 200_000]
+    for i in range(0, len(ids), 1999):
+        assert found.token(i) == ids[i]
+    assert max(taken) <= 64 and len(taken) < 20 * (len(ids) // 1999 + 2)
+    df = spark.createDataFrame([(1, "one two three"), (2, "x" * 300)], "doc_id long, text string")
+    for r in codes.write_tokens(df, f"file://{tmp_path}/r", word_file).collect():
+        whole = codes.Codes(open(r.file.removeprefix("file://"), "rb").read()).tokens().tolist()
+        assert [codes.open_codes(r.file).token(i) for i in range(r.n_ids)] == whole
+    encoder = codes.WordEncoder(word_file)
+    encoder.encode("x" * 300 + " y")
+    assert not any(len(w) > codes.LONGEST_WORD for w in encoder._young)
+
+
 def test_many_ids_reach_the_third_level():
     ids = np.random.default_rng(0).permutation(np.repeat(np.arange(70_000), 2)).astype("<u4")
     found = codes.Codes(codes.pack([1], [len(ids)], ids))
@@ -249,6 +272,42 @@ def test_pieces_are_the_models_own(processor, text):
     assert t.decode(np.frombuffer(coded, "<u4")) == text.replace("▁", " ")
 
 
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """The pieces with their scores as a unigram model, with and without byte pieces."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    out = []
+    for name in ("bytes", "none"):
+        model = pb.ModelProto()
+        model.ParseFromString(open(pieces.model_path(), "rb").read())
+        model.trainer_spec.model_type = pb.TrainerSpec.UNIGRAM
+        if name == "none":
+            model.trainer_spec.byte_fallback = False
+            kept = [p for p in model.pieces if p.type != pb.ModelProto.SentencePiece.BYTE]
+            del model.pieces[:]
+            model.pieces.extend(kept)
+        path = tmp_path_factory.mktemp("unigram") / f"{name}.model"
+        path.write_bytes(model.SerializeToString())
+        out.append((sentencepiece.SentencePieceProcessor(model_file=str(path)), pieces.Transducer(str(path))))
+    return out
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXTS)
+def test_pieces_of_unigram_models(unigram, text):
+    for own, t in unigram:
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == own.encode(text)
+
+
+def test_pieces_of_long_and_odd_texts(processor):
+    own, t = processor
+    for text in ("a" * 20_000, "字" * 3000, " " * 500 + "x", "Thlyouble inesea ononedth " * 200, "\U0001f600" * 50):
+        assert np.frombuffer(t.encode(text), "<u4").tolist() == own.encode(text)
+    assert all(len(k) <= t.parts.LONGEST for k in t.parts)
+
+
 def test_piece_queries(spark, processor):
     own, _ = processor
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
@@ -257,6 +316,12 @@ def test_piece_queries(spark, processor):
     assert {r.doc_id: (r.n_pieces, r.ids_crc32) for r in rows} == {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in ((i, own.encode(t)) for i, t in docs.items())}
 
 
+def test_encode_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([("a b", [7], "x", 1)], "text string, piece_ids array<int>, spelled string, n int")
+    coded = pieces.encode_pieces(df, pieces.model_path(), spelled_col="spelled")
+    assert coded.columns == ["text", "n", "piece_ids", "spelled"] and coded.first().spelled == "a b"
+
+
 def test_encode_keeps_columns_and_decodes(spark):
     df = spark.createDataFrame([("a b", "k", 1), (None, "k", 2), ("", None, 3)], "text string, piece string, ids int")
     coded = pieces.encode_pieces(df, pieces.model_path(), spelled_col="spelled")
@@ -297,6 +362,72 @@ def test_quality_grades(spark):
     assert (np.diff(model.thresholds) > 0).all()
 
 
+def test_every_language_is_learned(spark):
+    """Also more languages than 200, by bags instead of texts; few grams leave fewer rows, not fewer languages."""
+    rows = [(i, f"{chr(0x4E00 + i % 250)}{chr(0x5E00 + i % 250)} " * 5, f"l{i % 250}", "x") for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string, score string")
+    got = language.sample(df, F.col("id"), 3)
+    assert len(got) == 750 and len({v for _, v in got}) == 250
+    model = language.fit_bags(got)
+    assert len(model.languages) == 250
+    few = language.identify(df.where("id < 50"), model).collect()
+    assert np.mean([r.lang_pred == f"l{r.id % 250}" for r in few]) > 0.8
+
+
+def test_few_grams_leave_every_language(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_GRAMS", 100)
+    df = spark.createDataFrame([(i, "abc def " * (1 + i), "ab"[i % 2]) for i in range(40)], "id long, text string, lang string")
+    got = language.sample(df, F.col("id"))
+    assert {v for _, v in got} == {"a", "b"} and len(got) < 40
+
+
+def test_language_scores_by_a_plain_loop(spark):
+    """The score of a text is the softmax of the mean of its grams' logits, one gram at a time."""
+    model = language.fit([("abc def abc", "x"), ("uvw xyz", "y"), ("mno", "z")] * 20)
+    for text in ("abc xyz", "Mno", "a", "ü abc"):
+        padded, z, n = f" {text} ".lower(), np.zeros(3), 0
+        for order in language.ORDERS:
+            for i in range(len(padded) - order + 1):
+                codes_ = [np.uint32(ord(c)) for c in padded[i : i + order]]
+                with np.errstate(over="ignore"):
+                    h = codes_[0]
+                    for c in codes_[1:]:
+                        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) + c
+                    g = (h ^ np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0x9E3779B1)
+                z += model.logits[int(g >> np.uint32(7)) % language.BUCKETS]
+                n += 1
+        p = np.exp((z / n + model.bias) / model.temperature)
+        p /= p.sum()
+        r = language.identify(spark.createDataFrame([(1, text)], "id long, text string"), model).first()
+        assert r.lang_pred == model.languages[int(p.argmax())] and r.score == pytest.approx(p.max(), abs=1e-9)
+
+
+def test_language_of_repeated_rows_and_other_columns(spark):
+    model = language.fit([("abc", "x"), ("xyz", "y")] * 20)
+    df = spark.createDataFrame([(1, "abc", "q", 1.0), (1, "abc", "q", 2.0), (None, "abc xyz", None, None)], "id long, text string, lang_pred string, score double")
+    rows = language.identify(df, model).collect()
+    assert len(rows) == 3 and len({(r.lang_pred, r.score) for r in rows if r.id == 1}) == 1
+    rows = language.identify(spark.createDataFrame([(1, "q q")], "id long, text string"), language.fit([("abc", "y"), ("abc", "x")] * 9)).collect()
+    assert rows[0].lang_pred in ("x", "y")
+
+
+def test_quality_scores_by_a_plain_loop(spark):
+    model = quality.fit([("good text here", 2), ("buy now NOW", 1), ("awful awful", 0)] * 30, 3)
+    df = spark.createDataFrame([(1, "buy awful text"), (2, ""), (3, None), (4, "good " * 200_000)], "doc_id long, text string")
+    for r in quality.with_grades(df, model).collect():
+        z = sum(np.float32(model.weights)[quality.bucket(kind, x)] for kind, names in quality.feature_sets(r.text or "").items() for x in names)
+        upto = [*(1 / (1 + np.exp(-(t - z))) for t in model.thresholds), 1.0]
+        p = [upto[0], upto[1] - upto[0], upto[2] - upto[1]]
+        assert r.expected_grade == pytest.approx(p[1] + 2 * p[2], abs=1e-5) and r.tail_prob == pytest.approx(p[2], abs=1e-5)
+
+
+def test_quality_replaces_columns_of_its_names(spark):
+    df = spark.createDataFrame([(1, "a", "z", 1)], "doc_id long, text string, tail_prob string, expected_grade int")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    out = quality.graded_documents(df, labels)
+    assert out.columns == ["doc_id", "text", "expected_grade", "tail_prob", "keep"] and out.first().keep
+
+
 def test_quality_without_ratings(spark):
     docs = spark.createDataFrame([(1, "a", "z"), (1, None, "z")], "doc_id long, text string, quality string")
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
