@@ -3,7 +3,7 @@
 Boxes meet on (image, tile): a box is dealt to the tiles of a grid that it covers, and a pair counts in the one tile
 that holds the upper left corner of its overlap. So only boxes near each other are compared, no pair is seen twice, and
 an image with very many boxes is spread over many groups. What reaches the threshold is then assigned greedily; the
-fold over an image's candidates runs in the JVM.
+fold over an image's candidates runs in the JVM, and very crowded images are matched by rounds of joins.
 """
 
 from __future__ import annotations
@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import error_score, iou
+from ..session import cut
 
 CORNERS = ("x1", "y1", "x2", "y2")
+#: Candidates of a group that one fold walks through; larger groups are matched by rounds of joins.
+CROWD = 20_000
 
 
 def _side(boxes: DataFrame, prefix: str, keys: list[str], tile: float | None) -> DataFrame:
@@ -40,14 +43,46 @@ def greedy(candidates: DataFrame, keys: list[str], first: str, second: str) -> D
     """One-to-one pairs: ``first`` in ascending order takes the free ``second`` of the largest iou, the smallest of equals.
 
     As candidates hold only pairs at or above the threshold, walking them in the order (first, -iou, second) and taking
-    each whose two sides are free gives just that.
+    each whose two sides are free gives just that: one fold a group. Groups of more than CROWD candidates are matched by
+    rounds of joins instead, with the same result, so that none has to fit in a row.
     """
+    candidates = cut(candidates.select(*keys, first, second, "iou"))
+    crowded = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select(*keys)
+    if not crowded.take(1):
+        return _fold(candidates, keys, first, second)
+    crowded = cut(crowded)
+    return _fold(candidates.join(crowded, keys, "left_anti"), keys, first, second).unionByName(_rounds(candidates.join(crowded, keys), keys, first, second))
+
+
+def _fold(candidates: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
     order = F.struct(F.col(first).alias("i"), (-F.col("iou")).alias("v"), F.col(second).alias("j"))
     rows = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("c"))
-    taken = F.aggregate("c", F.slice("c", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda y: (y["i"] == x["i"]) | (y["j"] == x["j"])), acc).otherwise(F.array_append(acc, x)))
+    # What is taken: the places in order, the seconds, and the last first; a first is free unless it is that one.
+    none = F.lit(None).cast(dict(candidates.dtypes)[first])
+    start = F.struct(F.array().cast("array<int>").alias("at"), F.slice(F.transform("c", lambda x: x["j"]), 1, 0).alias("js"), none.alias("i"))
+
+    def take(acc, x, k):
+        free = ~F.array_contains(acc["js"], x["j"]) & ~acc["i"].eqNullSafe(x["i"])
+        return F.when(free, F.struct(F.array_append(acc["at"], k).alias("at"), F.array_append(acc["js"], x["j"]).alias("js"), x["i"].alias("i"))).otherwise(acc)
+
+    numbered = F.transform("c", lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+    taken = F.transform(F.aggregate(numbered, start, lambda acc, y: take(acc, y["x"], y["k"]), lambda acc: acc["at"]), lambda k: F.get(F.col("c"), k))
     return rows.select(*keys, F.inline(taken)).select(*keys, F.col("i").alias(first), F.col("j").alias(second), (-F.col("v")).alias("iou"))
 
 
+def _rounds(candidates: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+    """A round takes each pair that is best for its ``first`` and whose ``second`` no smaller first can claim any more."""
+    left, out = cut(candidates), None
+    while not left.isEmpty():
+        best = left.groupBy(*keys, first).agg(F.min(F.struct((-F.col("iou")).alias("v"), F.col(second).alias("j"))).alias("b"))
+        claim = left.groupBy(*keys, second).agg(F.min(first).alias("_low"))
+        best = best.select(*keys, first, F.col("b.j").alias(second), (-F.col("b.v")).alias("iou"))
+        taken = cut(best.join(claim, [*keys, second]).where(F.col(first) == F.col("_low")).select(*keys, first, second, "iou"))
+        left = left.join(taken.select(*keys, first), [*keys, first], "left_anti").join(taken.select(*keys, second), [*keys, second], "left_anti")
+        left, out = cut(left.select(*keys, first, second, "iou")), taken if out is None else out.unionByName(taken)
+    return candidates.limit(0).select(*keys, first, second, "iou") if out is None else out
+
+
 def match(gt: DataFrame, pred: DataFrame, least: float = 0.5, tile: float | None = 256.0) -> DataFrame:
     """One row for each prediction (tp, conf or fp) and each true box left over (fn).
 

@@ -8,6 +8,7 @@ key of some e bands; among these keys the pair counts under the first one only,
 from __future__ import annotations
 
 import hashlib
+import json
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +27,7 @@ SIMHASH_BITS = 60
 @F.pandas_udf(LongType())
 def simhash(texts: pd.Series) -> pd.Series:
     """60 bits of a text: bit i is set if more than half of its distinct words have it set in their MD5. Null stays null."""
-    known: dict[str, int] = {}
+    known: dict[str, bytes] = {}
     out = []
     for text in texts:
         if text is None:
@@ -37,10 +38,10 @@ def simhash(texts: pd.Series) -> pd.Series:
             known.clear()
         for w in words:
             if w not in known:
-                known[w] = int(hashlib.md5(w.encode()).hexdigest()[:15], 16)
-        values = np.array([known[w] for w in words], np.uint64)
-        ones = np.array([int(((values >> np.uint64(i)) & np.uint64(1)).sum()) for i in range(SIMHASH_BITS)])
-        out.append(sum(1 << i for i in range(SIMHASH_BITS) if 2 * ones[i] > len(values)))
+                known[w] = hashlib.md5(w.encode()).digest()[:8]
+        bits = np.unpackbits(np.frombuffer(b"".join([known[w] for w in words]), np.uint8).reshape(len(words), 8), axis=1)
+        set_ = 2 * bits[:, :SIMHASH_BITS].sum(axis=0, dtype=np.int64) > len(words)
+        out.append(int.from_bytes(np.packbits(set_).tobytes(), "big") >> (64 - SIMHASH_BITS))
     return pd.Series(out, dtype="Int64")
 
 
@@ -71,14 +72,15 @@ def hamming_pairs(hashes: DataFrame, most: int, extra: int = 2, bits: int = 64)
     """a, b (a < b as signed numbers) and distance of all different hashes at a distance of ``most`` or less. Input: h."""
     nodes = hashes.where("h IS NOT NULL").select("h").distinct()
     bands = most + extra
-    keys = list(combinations(range(bands), extra))
-    dealt = nodes.select("h", F.explode(F.array(*[F.struct(F.lit(n).alias("key"), F.xxhash64(*[_band(F.col("h"), k, bands, bits) for k in ks]).alias("v")) for n, ks in enumerate(keys)])).alias("x"))
-    dealt = dealt.select("h", "x.key", "x.v")
+    # The keys' bands as one literal: there may be many, and code generated for each would be too long to compile.
+    keys = F.from_json(F.lit(json.dumps(list(combinations(range(bands), extra)))), "array<array<int>>")
+    cut_up = nodes.select("h", F.array(*[_band(F.col("h"), k, bands, bits) for k in range(bands)]).alias("of"))
+    dealt = cut_up.select("h", F.posexplode(F.transform(keys, lambda ks: F.xxhash64(F.transform(ks, lambda k: F.get("of", k))))).alias("key", "v"))
     met = dealt.withColumnRenamed("h", "a").join(dealt.withColumnRenamed("h", "b"), ["key", "v"])
     a, b = F.col("a"), F.col("b")
     met = met.where((a < b) & (hamming(a, b) <= most))
     agree = F.filter(F.array(*[F.when(_band(a, k, bands, bits) == _band(b, k, bands, bits), k) for k in range(bands)]), lambda x: x.isNotNull())
-    own = F.element_at(F.array(*[F.array(*[F.lit(k) for k in ks]) for ks in keys]), F.col("key") + 1)
+    own = F.get(keys, F.col("key"))
     return met.where(F.slice(agree, 1, extra) == own).select("a", "b", hamming(a, b).alias("distance"))
 
 

@@ -42,6 +42,19 @@ def audit_summary(audited: DataFrame, n_orphans: DataFrame) -> DataFrame:
     return rows.crossJoin(n_orphans)  # two single rows
 
 
+def first_errors(lines: DataFrame, n: int) -> DataFrame:
+    """image_id, line_no, first_error of the first ``n`` lines with errors (joined by commas), for a report."""
+    rows = lines.where("errors <> ''").orderBy("image_id", "line_no").limit(n)
+    return rows.select("image_id", "line_no", F.split("errors", ",")[0].alias("first_error"))
+
+
+def in_turn(listing: DataFrame, n: int) -> DataFrame:
+    """run (0 to n - 1) and the listed row whose turn it is: ``listing`` (with index from 0) is gone through again and again."""
+    size = listing.count()
+    runs = listing.sparkSession.range(n if size else 0).select(F.col("id").alias("run"), F.pmod("id", F.lit(max(1, size))).alias("index"))
+    return runs.join(listing, "index").drop("index")
+
+
 #: Which images a view of the audit shows.
 AUDIT_VIEWS = {
     "all": "true", "err": "n_errors > 0", "warn": "n_warns > 0 AND n_errors = 0", "nolbl": "NOT has_label", "dup": "dup_group IS NOT NULL", "ok": "mark = '✓'",

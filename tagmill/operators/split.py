@@ -19,12 +19,12 @@ BLOCK_GROUPS = 100_000
 PYTHON_KEYS = 1_000_000
 
 
-def _fill(filled: dict[str, int], target: dict[str, float], sizes: Iterable[int]) -> Iterator[str]:
-    """The part of each group in turn; ``filled`` is kept up to date."""
+def _fill(room: list[float], sizes: Iterable[int]) -> Iterator[int]:
+    """The number of each group's part in turn: the one with most room, the first of equals. ``room`` is kept up to date."""
     for n in sizes:
-        pick = max(target, key=lambda name: target[name] - filled[name])  # the first of equals
-        filled[pick] += n
-        yield pick
+        part = room.index(max(room))
+        room[part] -= n
+        yield part
 
 
 def _filled_in_order(ranked: DataFrame, ratios: Sequence[float], slice_groups: int) -> DataFrame:
@@ -34,16 +34,17 @@ def _filled_in_order(ranked: DataFrame, ratios: Sequence[float], slice_groups: i
     before; then all slices fill side by side, each from its own start.
     """
     count, total = ranked.agg(F.count(F.lit(1)), F.sum("n")).first()
-    target = {name: r * (total or 0) for name, r in zip(NAMES, ratios, strict=True) if r > 0} or {"train": 0.0}
+    wanted = [name for name, r in zip(NAMES, ratios, strict=True) if r > 0] or ["train"]
+    room = [ratios[NAMES.index(name)] * (total or 0) for name in wanted]
     slices = -(-count // slice_groups) or 1
     placed = cut(ranked.repartitionByRange(slices, "rank", "key").sortWithinPartitions("rank", "key").withColumn("slice", F.spark_partition_id()))
-    sizes, starts = placed.select("n").rdd, [dict.fromkeys(target, 0)]
+    sizes, starts = placed.select("n").rdd, [room]
 
-    def after(start: dict[str, int]):
-        def run(rows: Iterable) -> list[dict[str, int]]:
-            filled = dict(start)
-            deque(_fill(filled, target, (r.n for r in rows)), maxlen=0)
-            return [filled]
+    def after(start: list[float]):
+        def run(rows: Iterable) -> list[list[float]]:
+            left = list(start)
+            deque(_fill(left, (r.n for r in rows)), maxlen=0)
+            return [left]
 
         return run
 
@@ -51,11 +52,11 @@ def _filled_in_order(ranked: DataFrame, ratios: Sequence[float], slice_groups: i
         starts += ranked.sparkSession.sparkContext.runJob(sizes, after(starts[-1]), [k])
 
     def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filled = None
+        left = None
         for pdf in parts:
             if len(pdf):
-                filled = filled or dict(starts[pdf["slice"].iat[0]])
-                yield pdf[["key", "n", "rank"]].assign(split=list(_fill(filled, target, pdf["n"].tolist())))
+                left = left or list(starts[pdf["slice"].iat[0]])
+                yield pdf[["key", "n", "rank"]].assign(split=[wanted[k] for k in _fill(left, pdf["n"].tolist())])
 
     return placed.mapInPandas(fill, "key string, n long, rank string, split string")
 
@@ -68,8 +69,7 @@ def assign_splits(keys: DataFrame, ratios: Sequence[float] = (0.8, 0.2, 0.0), se
     ``block_groups`` groups and hands its sums on, so the rule is that of one pass at any size. If a validation part was
     asked for and stays empty, it gets the smallest training group.
     """
-    total = float(sum(ratios)) or 1.0
-    ratios = [r / total for r in ratios]
+    ratios = [r / (sum(ratios) or 1) for r in ratios]
     groups = keys.groupBy("key").agg((F.sum("n") if "n" in keys.columns else F.count(F.lit(1))).alias("n"))
     if order == "python":
         known = sorted(r.key for r in groups.select("key").limit(PYTHON_KEYS + 1).collect())
@@ -82,9 +82,8 @@ def assign_splits(keys: DataFrame, ratios: Sequence[float] = (0.8, 0.2, 0.0), se
         ranked = groups.withColumn("rank", F.md5(F.concat_ws("|", F.lit(str(seed)), "key").cast("binary")))
     filled = cut(_filled_in_order(cut(ranked), ratios, block_groups))
     if ratios[1] > 0 and filled.where("split = 'val'").isEmpty():
-        lent = filled.where("split = 'train'").orderBy("n", "rank", "key").limit(1).select(F.col("key").alias("_key"))
-        filled = filled.join(F.broadcast(lent), F.col("key") == F.col("_key"), "left")
-        filled = filled.withColumn("split", F.when(F.col("_key").isNotNull(), "val").otherwise(F.col("split")))
+        lent = filled.where("split = 'train'").agg(F.min_by("key", F.struct("n", "rank", "key"))).first()[0]
+        filled = filled.withColumn("split", F.when(F.col("key").eqNullSafe(F.lit(lent)) & (F.col("split") == "train"), "val").otherwise(F.col("split")))
     return filled.select("key", "n", "split")
 
 

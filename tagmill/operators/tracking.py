@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,6 +14,8 @@ from ..functions.geometry import chain_confidence
 
 #: Least likeness to the first frame's patch, and least confidence of a step.
 LIKENESS, STEP = 0.40, 0.35
+# Least number of good points, largest error of a point that is followed back, range of scales, least side.
+POINTS, BACK, SCALES, LEAST_SIDE = 6, 2.0, (0.75, 1.35), 4
 
 
 def take_while(frames: DataFrame, keys: list[str], order: str, stop: str, most: int | None = None) -> DataFrame:
@@ -36,6 +38,18 @@ def chain_scores(steps: DataFrame, keys: list[str], order: str) -> DataFrame:
     return kept.withColumn("step", number.cast("int")).withColumn("confidence", chain_confidence(F.col("flow"), F.col("likeness")))
 
 
+def accepted_steps(points: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame:
+    """``steps`` (keys, scale, width, height of the carried box) with n_good, scale and accepted.
+
+    ``points``: keys, found (followed there and back) and back (how far from its start it came back, in pixels). A step
+    needs POINTS good points and a box of LEAST_SIDE pixels; a scale outside SCALES counts as none.
+    """
+    good = points.groupBy(*keys).agg(F.count_if(F.col("found") & (F.col("back") < BACK)).alias("n_good"))
+    rows = steps.join(good, keys, "left").withColumn("n_good", F.coalesce("n_good", F.lit(0)))
+    rows = rows.withColumn("scale", F.when(F.col("scale").between(*SCALES), F.col("scale")).otherwise(1.0))
+    return rows.withColumn("accepted", (F.col("n_good") >= POINTS) & (F.least("width", "height") >= LEAST_SIDE))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Normalised cross-correlation of two grey patches; 0 if one is empty or flat."""
     if a.size == 0 or a.shape != b.shape:
@@ -48,23 +62,29 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def track(frames: DataFrame, step: Callable[[object, object, tuple], tuple[tuple | None, float]], key: str = "clip_id") -> DataFrame:
     """Boxes carried through each clip by ``step(previous, next, box) -> (box or None, confidence)``.
 
-    ``frames``: the key, frame_no, content and box (array<double>, set on frames labelled by hand). A clip is one group:
-    its frames are in order, and the chain starts at a labelled frame and ends where the box is lost or the next one stands.
+    ``frames``: the key, frame_no, content and box (array<double>, set on frames labelled by hand). A clip's frames pass in
+    order, a batch of a partition at a time, so no clip is held as a whole; the chain starts at a labelled frame and ends
+    where the box is lost or the next one stands.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, box, last = [], None, None
-        for row in pdf.sort_values("frame_no").itertuples():
-            if row.box is not None:
-                box = tuple(row.box)
-            elif box is not None:
-                box, confidence = step(last, row.content, box)
-                if box is not None and confidence < STEP:
-                    box = None
-                if box is not None:
-                    out.append((getattr(row, key), row.frame_no, *map(float, box), float(confidence)))
-            last = row.content
-        return pd.DataFrame(out, columns=[key, "frame_no", "x1", "y1", "x2", "y2", "confidence"])
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clip, box, last = object(), None, None
+        for pdf in parts:
+            out = []
+            for own, frame_no, content, drawn in zip(pdf[key], pdf["frame_no"], pdf["content"], pdf["box"], strict=True):
+                if own != clip:
+                    clip, box, last = own, None, None
+                if drawn is not None:
+                    box = tuple(drawn)
+                elif box is not None:
+                    box, confidence = step(last, content, box)
+                    if box is not None and confidence < STEP:
+                        box = None
+                    if box is not None:
+                        out.append((own, frame_no, *map(float, box), float(confidence)))
+                last = content
+            yield pd.DataFrame(out, columns=[key, "frame_no", "x1", "y1", "x2", "y2", "confidence"])
 
     kind = dict(frames.dtypes)[key]
-    return frames.select(key, "frame_no", "content", "box").groupBy(key).applyInPandas(run, f"{key} {kind}, frame_no long, x1 double, y1 double, x2 double, y2 double, confidence double")
+    ordered = frames.select(key, "frame_no", "content", "box").repartition(key).sortWithinPartitions(key, "frame_no")
+    return ordered.mapInPandas(run, f"{key} {kind}, frame_no long, x1 double, y1 double, x2 double, y2 double, confidence double")

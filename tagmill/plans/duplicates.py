@@ -10,7 +10,10 @@ from ..operators import numbering as S
 from ..operators import split as P
 from . import views as V
 
-TEXT_MOST, VECTOR_MOST = 3, 12
+# Fixed value: up to this distance two hashes are near-duplicates.
+TEXT_MOST = 5
+#: Vectors hash less evenly: at a distance of up to 15 of 63 bits they are near-duplicates.
+VECTOR_MOST, VECTOR_EXTRA = 15, 3
 
 
 def _texts(spark, sf_dir):
@@ -35,7 +38,7 @@ def hamming_pairs_banded(spark, sf_dir):
 
 
 def hamming_pairs_vectors(spark, sf_dir):
-    return N.hamming_pairs(_vectors(spark, sf_dir), VECTOR_MOST, extra=1, bits=63)
+    return N.hamming_pairs(_vectors(spark, sf_dir), VECTOR_MOST, extra=VECTOR_EXTRA, bits=63)
 
 
 def _groups(spark, sf_dir):

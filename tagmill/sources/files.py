@@ -47,10 +47,15 @@ def list_labels(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root, ("txt",)).unionByName(rows.select(*[x.alias(k) for k, x in _placed("path", root).items()], "length"))
 
 
+def hidden_folder(rel_dir: Column, names: tuple[str, ...] = ("labels", "__pycache__")) -> Column:
+    """Whether a folder, or one it lies in, is hidden (begins with a dot) or has one of the names."""
+    return F.exists(F.split(rel_dir, "/"), lambda x: x.startswith(".") | x.isin(*names) if names else x.startswith("."))
+
+
 def list_images(spark: SparkSession, root: str, skip_hidden: bool = False) -> DataFrame:
     """Images below ``root``; with ``skip_hidden`` not those in label or hidden folders (Spark itself lists no names with a leading dot or underscore)."""
     rows = list_files(spark, root, IMAGE_ENDINGS)
-    return rows.where(~F.concat(F.lit("/"), "rel_dir", F.lit("/")).rlike(r"/(labels|__pycache__|\.[^/]*)/")) if skip_hidden else rows
+    return rows.where(~hidden_folder(F.col("rel_dir"))) if skip_hidden else rows
 
 
 def read_label_lines(spark: SparkSession, root: str) -> DataFrame:
@@ -94,10 +99,40 @@ def _jpeg(b: bytes):
     return None
 
 
+def _webp(b: bytes):
+    if b[:4] != b"RIFF" or b[8:12] != b"WEBP" or len(b) < 30:
+        return None
+    if b[12:16] == b"VP8X":
+        return 1 + int.from_bytes(b[24:27], "little"), 1 + int.from_bytes(b[27:30], "little")
+    if b[12:16] == b"VP8L" and b[20] == 0x2F:
+        bits = int.from_bytes(b[21:25], "little")
+        return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+    if b[12:16] == b"VP8 " and b[23:26] == b"\x9d\x01\x2a":
+        w, h = struct.unpack("<HH", b[26:30])
+        return w & 0x3FFF, h & 0x3FFF
+    return None
+
+
+def _tiff(b: bytes):
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(b[:4])
+    if order is None or len(b) < 8:
+        return None
+    at = struct.unpack(order + "I", b[4:8])[0]
+    if len(b) < at + 2:
+        return None
+    found = {}
+    for k in range(struct.unpack(order + "H", b[at : at + 2])[0]):
+        entry = b[at + 2 + 12 * k : at + 14 + 12 * k]
+        if len(entry) == 12:
+            tag, kind = struct.unpack(order + "HH", entry[:4])
+            found[tag] = struct.unpack(order + ("H" if kind == 3 else "I"), entry[8 : 10 if kind == 3 else 12])[0]
+    return (found[256], found[257]) if 256 in found and 257 in found else None
+
+
 def header_size(content: bytes | None) -> tuple[int, int]:
-    """Width and height from a PNG, BMP or JPEG header; (0, 0) if there is none."""
-    if content:
-        for read in (_png, _bmp, _jpeg):
+    """Width and height from a PNG, BMP, JPEG, WebP or TIFF header; (0, 0) if there is none."""
+    if content is not None and len(content):
+        for read in (_png, _bmp, _jpeg, _webp, _tiff):
             found = read(bytes(content))
             if found:
                 return int(found[0]), int(found[1])
@@ -105,7 +140,10 @@ def header_size(content: bytes | None) -> tuple[int, int]:
 
 
 def image_sizes(spark: SparkSession, root: str) -> DataFrame:
-    """path, width, height of images below ``root``, from their headers."""
+    """path, width, height of images below ``root``, from their headers.
+
+    A file's first HEAD bytes go to Python; the whole of it only where its header lies later.
+    """
 
     @F.pandas_udf("width int, height int")
     def size(content: pd.Series) -> pd.DataFrame:
@@ -113,8 +151,11 @@ def image_sizes(spark: SparkSession, root: str) -> DataFrame:
 
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ending = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
-    found = rows.where(ending.isin(*IMAGE_ENDINGS)).select(F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path"), size("content").alias("s"))
-    return found.select("path", "s.width", "s.height")
+    plain = F.regexp_replace("path", "^[a-z]+:/*", "/").alias("path")
+    found = rows.where(ending.isin(*IMAGE_ENDINGS)).select(plain, "length", "content", size(F.substring("content", 1, HEAD)).alias("s"))
+    later = (F.col("s.width") == 0) & (F.col("length") > HEAD)
+    found = found.select("path", "s", size(F.when(later, F.col("content"))).alias("t"))
+    return found.select("path", *[F.greatest(f"s.{x}", f"t.{x}").alias(x) for x in ("width", "height")])
 
 
 def frame_filter(frames: DataFrame, start: Column, end: Column, stride: Column) -> DataFrame:

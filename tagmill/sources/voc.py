@@ -44,8 +44,9 @@ def boxes_of(voc: DataFrame) -> DataFrame:
 
 
 def guess_format(spark: SparkSession, root: str) -> str:
-    """voc if there are XML files below ``root``, else coco if there are JSON files, else nothing."""
+    """voc or coco, by the first folder from ``root`` down with XML or JSON files; XML comes before JSON. Else nothing."""
     from .files import list_files
 
-    found = {r.ext for r in list_files(spark, root, ("xml", "json")).select("ext").distinct().collect()}  # two at most
-    return "voc" if "xml" in found else "coco" if "json" in found else ""
+    found = list_files(spark, root, ("xml", "json")).groupBy("rel_dir").agg(F.max("ext").alias("ext"))
+    first = found.orderBy(F.split("rel_dir", "/")).select("ext").first()
+    return {None: "", "xml": "voc", "json": "coco"}[first and first.ext]

@@ -137,3 +137,16 @@ def test_order_statistics_with_a_hot_key(spark):
     found = {r.k: (r.n, r.median, r.p95) for r in S.order_statistics(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
     hot = sorted(v for k, v in rows if k == "hot")
     assert found == {"hot": (500, (hot[249] + hot[250]) / 2, hot[int(0.95 * 499)]), "one": (1, 5.0, 5.0), "two": (2, 2.5, 1.0)}
+
+
+def test_hubs_and_common_labels(spark, monkeypatch):
+    """A hub with most edges, and a label that most nodes bear, are dealt over salted keys."""
+    from tagmill.operators import graph as G
+
+    monkeypatch.setattr(G, "HOT_LEAST", 5)
+    edges = [(0, i) for i in range(1, 80)] + [(100 + i, 101 + i) for i in range(30)] + [(79, 100), (500, 501), (7, 7)]
+    found = {r.node: r.root for r in G.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert found == {i: 0 for i in [*range(80), *range(100, 131)]} | {500: 500, 501: 500}
+    rows = spark.createDataFrame([(7, i) for i in range(50)] + [(i, i) for i in range(20)], "k long, x long")
+    by = spark.createDataFrame([(i, i * i) for i in range(15)], "k long, y long")
+    assert sorted(map(tuple, G.hot_join(rows, by, "k", 70).collect())) == sorted((k, x, k * k) for k, x in [(7, i) for i in range(50)] + [(i, i) for i in range(15)])

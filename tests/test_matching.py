@@ -57,9 +57,10 @@ def frames(spark, gts, preds):
     return g, p
 
 
-@pytest.mark.parametrize("tile", [None, 64.0, 256.0])
+@pytest.mark.parametrize(("tile", "crowd"), [(None, 20_000), (64.0, 20_000), (256.0, 20_000), (256.0, 5)])
 @pytest.mark.parametrize("least", [0.3, 0.5])
-def test_match_is_greedy(spark, scene, tile, least):
+def test_match_is_greedy(spark, scene, monkeypatch, tile, crowd, least):
+    monkeypatch.setattr(M, "CROWD", crowd)  # above it, rounds of joins give the same pairs
     gts, preds = scene
     g, p = frames(spark, gts, preds)
     rows = M.match(g, p, least, tile).collect()

@@ -48,6 +48,21 @@ def test_listing_and_sizes(spark, dataset):
     assert sizes == {"a.jpg": (200, 100), "b.PNG": (64, 32), "c.bmp": (7, 9), "d.png": (0, 0)}
 
 
+def test_sizes_of_other_formats(spark, tmp_path):
+    tiff = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 256, 4, 1, 640) + struct.pack("<HHIHH", 257, 3, 1, 480, 0)
+    big = b"MM\0*" + struct.pack(">IH", 8, 2) + struct.pack(">HHIHH", 256, 3, 1, 32, 0) + struct.pack(">HHII", 257, 4, 1, 16)
+    riff = lambda kind, data: b"RIFF" + bytes(4) + b"WEBP" + kind + bytes(4) + data + bytes(20)
+    late = b"\xff\xd8" + (b"\xff\xe1" + struct.pack(">H", 40_002) + bytes(40_000)) * 3 + b"\xff\xc0\x00\x0b\x08" + struct.pack(">HH", 11, 22) + bytes(9)
+    far = b"II*\0" + struct.pack("<I", 100_000) + bytes(99_992) + tiff[8:]
+    for name, content in {
+        "a.tif": tiff, "b.tiff": big, "c.webp": riff(b"VP8X", bytes(4) + (99).to_bytes(3, "little") + (49).to_bytes(3, "little")), "d.webp": riff(b"VP8L", b"\x2f" + (7 | 8 << 14).to_bytes(4, "little")),
+        "e.webp": riff(b"VP8 ", bytes(3) + b"\x9d\x01\x2a" + struct.pack("<HH", 320, 240)), "f.jpg": late, "g.tif": far, "h.webp": b"RIFF", "i.tif": b"II*\0" + bytes(4),
+    }.items():
+        (tmp_path / name).write_bytes(content)
+    sizes = {r.path[-6:]: (r.width, r.height) for r in files.image_sizes(spark, str(tmp_path)).collect()}
+    assert sizes == {"/a.tif": (640, 480), "b.tiff": (32, 16), "c.webp": (100, 50), "d.webp": (8, 9), "e.webp": (320, 240), "/f.jpg": (22, 11), "/g.tif": (640, 480), "h.webp": (0, 0), "/i.tif": (0, 0)}
+
+
 def test_label_files(spark, dataset):
     lines = files.read_label_lines(spark, str(dataset / "labels"))
     rows = {(r.rel_dir, r.stem, r.line_no, r.line) for r in lines.where("line <> ''").collect()}
@@ -74,6 +89,48 @@ def test_names(spark, tmp_path):
     assert classes.names_table(spark, {1: "v"}, "s").collect()[0].asDict() == {"source": "s", "cls": 1, "name": "v"}
 
 
+def test_descriptions():
+    text = "# a set\npath: /d\ntrain: images/train\nval:\n  - a.txt\n  - 'b.txt'\nnames:\n  0: x\n  7: 'y z'\n  8:\nnc: 3\n"
+    assert classes.read_description(text) == {"path": "/d", "train": "images/train", "val": ["a.txt", "b.txt"], "names": {"0": "x", "7": "y z", "8": None}, "nc": "3"}
+    assert classes.parse_names(text) == {0: "x", 7: "y z"} and classes.read_description("- a\n") == {} and classes.parse_names("") == {}
+
+
+def test_large_lists_of_names_are_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "classes.txt").write_text("\n".join(f"a class called {i}" for i in range(100_000)))
+    assert len(classes.load_names(spark, str(tmp_path / "none"), str(tmp_path))) == 100_000
+    monkeypatch.setattr(classes, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError):
+        classes.load_names(spark, str(tmp_path))
+
+
+def test_folders_of_a_dataset(spark, tmp_path):
+    for name in ("a/img", "a/image", "a/etiketler", "b", "c/Images", "c/labels", "d/labels", "e/.hidden", "e/x/y", "e/z"):
+        (tmp_path / name).mkdir(parents=True)
+    root = str(tmp_path)
+    assert classes.dataset_folders(spark, f"{root}/a") == (f"{root}/a/image", f"{root}/a/etiketler")
+    assert classes.dataset_folders(spark, f"{root}/b") == (f"{root}/b", f"{root}/b")
+    assert [classes.label_folder(spark, f"{root}/{x}") for x in ("c/Images/", "d", "b")] == [f"{root}/c/labels", f"{root}/d/labels", f"{root}/b"]
+    for name in ("e/.hidden/data.yaml", "e/x/y/data.yaml", "e/z/data.yml", "e/x/y/other.yaml"):
+        (tmp_path / name).write_text("names: [a]")
+    assert classes.find_description(spark, f"{root}/e") == f"{root}/e/x/y/data.yaml"
+    (tmp_path / "b" / "n.txt").write_text("x")
+    assert classes.find_description(spark, f"{root}/b") is None
+
+
+def test_coloured_classes_round_trip(spark, tmp_path):
+    named = [("çelik", (1, 2, 3)), ("b", (255, 0, 9))]
+    (tmp_path / classes.CLASS_FILE).write_text(classes.coloured_json(named))
+    assert classes.load_coloured(spark, str(tmp_path / "none.json"), str(tmp_path)) == named
+    assert classes.load_coloured(spark, str(tmp_path / "none")) == []
+
+
+def test_format_by_folder(spark, tmp_path):
+    for name in ("a/x.json", "a/y.json", "b/c/x.xml", "d/x.json", "d/y.xml", "e/t.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    assert [voc.guess_format(spark, str(tmp_path / x)) for x in ("", "b", "d", "e")] == ["coco", "voc", "voc", ""]
+
+
 def test_split_entries(spark, dataset):
     (dataset / "train.txt").write_text("/x/1.jpg\n\n/x/2.jpg\n")
     assert classes.resolve_split(spark, None, str(dataset)).count() == 0
