@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.geometry import area_bucket
 from ..functions.text import status_mark, text_bar
+from ..session import cut
 
 
 def audit(images: DataFrame, labels: DataFrame, parsed: DataFrame, groups: DataFrame | None = None) -> DataFrame:
@@ -44,7 +45,8 @@ def audit_summary(audited: DataFrame, n_orphans: DataFrame) -> DataFrame:
 
 def first_errors(lines: DataFrame, n: int) -> DataFrame:
     """image_id, line_no, first_error of the first ``n`` lines with errors (joined by commas), for a report."""
-    rows = lines.where("errors <> ''").orderBy("image_id", "line_no").limit(n)
+    parsed = cut(lines.select("image_id", "line_no", "errors"))  # a filter would be pushed down and parse every line again
+    rows = parsed.where("errors <> ''").orderBy("image_id", "line_no").limit(n)
     return rows.select("image_id", "line_no", F.split("errors", ",")[0].alias("first_error"))
 
 
