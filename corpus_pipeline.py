@@ -13,19 +13,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def grade_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the ordinal classifier selects: the most probable grade is the highest."""
+    """The documents that the ordinal classifier selects: the most probable grade is the highest.
+
+    A null or empty text has no sign of a low grade and is kept; rows that repeat are graded alike; without labels all are
+    kept; an empty table stays empty.
+    """
     graded = quality.graded_documents(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
     return graded.where("keep").select(COLUMNS)
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without passages that stand in an earlier one; those that were nothing else go."""
+    """The documents without passages that stand in an earlier one; those that were nothing else go.
+
+    Null and empty texts, and texts of blanks, stay; rows that repeat both id and text are treated alike; n_chars follows a
+    text that changes, and is left as it is otherwise, null included.
+    """
     out = lines.dedup_chunks(docs.select(COLUMNS)).where("_n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, and one of rows that repeat an id and a text."""
+    """One document of each group of near-duplicates, and one of rows that repeat an id and a text.
+
+    Null and empty texts are linked with nothing and stay. Rows with a null id stay one for each text, but for copies of
+    identified documents.
+    """
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
     first = docs.select(COLUMNS).join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
     same = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
@@ -33,12 +45,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them."""
+    """The documents as often as the mix takes them.
+
+    Null and empty texts have size 0 and come along as their hash decides; null sources are one source; rows of one id are
+    taken alike, by its hash; ties at the border too.
+    """
     return mixing.mixed_documents(docs.select(COLUMNS))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's piece ids, and the text that they spell."""
+    """Every document's piece ids, and the text that they spell: null becomes empty, and U+2581 a space."""
     coded = pieces.encode_pieces(docs.select("doc_id", "source", "lang", "text"), pieces.model_path(), spelled_col="_spelled")
     return coded.withColumn("text", F.col("_spelled")).drop("_spelled").withColumn("n_pieces", F.size("piece_ids").cast("long"))
 
