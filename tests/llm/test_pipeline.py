@@ -33,3 +33,26 @@ def test_stages(spark):
 def test_run_gives_the_same_rows_twice(spark):
     first, second = (sorted((r.doc_id, r.n_pieces, r.text) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert first == second and first
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and empty texts, null ids and repeated rows pass every stage; no stage fails on an empty table."""
+    import random
+
+    rnd = random.Random(1)
+    text = "\n".join(" ".join(rnd.choice("abcdefgh") * rnd.randrange(3, 9) for _ in range(20)) for _ in range(4))
+    rows = [(1, text, None, "s", None), (1, text, None, "s", None), (2, None, None, None, 0), (3, "", "x", "s", 0), (None, "own words", None, "t", 9), (4, text, None, "t", 1), (5, "x" * 100_000, None, "t", 5), (6, "▁ 字 \n\n", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for start in (docs, docs.limit(0)):
+        now, counts = start, []
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, SF)
+            counts.append(now.count())
+            assert name == "tokenize" or now.columns == corpus_pipeline.COLUMNS
+        assert counts == [0] * 5 if start is not docs else counts[0] >= 6
+        assert start is not docs or {2, 3} <= {r.doc_id for r in stage_rows(spark, docs)}
+
+
+def stage_rows(spark, docs):
+    stages = dict(corpus_pipeline.STAGES)
+    return stages["near_duplicates"](spark, stages["lines"](spark, docs, SF), SF).collect()
