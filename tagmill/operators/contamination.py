@@ -11,10 +11,11 @@ def word_shingles(text: Column, width: int) -> Column:
     words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def runs(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, width), " ")))
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (width - 1)), lambda i: F.xxhash64(F.slice(w, i, width)))
 
     none = F.slice(F.array(F.lit(0).cast("long")), 1, 0)
-    return F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) >= width, runs(w)).otherwise(none)), F.lit(0))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))  # each word once
+    return F.get(F.transform(F.array(hashed), lambda w: F.when(F.size(w) >= width, runs(w)).otherwise(none)), F.lit(0))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 8, share: float = 0.5) -> DataFrame:
