@@ -56,6 +56,7 @@ def text_bar(n: Column, most: Column, width: int = 22) -> Column:
 
 def group_key(mode: str, path: Column, root: Column, dup_group: Column, index: Column) -> Column:
     """What must stay together in a split: near-duplicates, folders, name prefixes or nothing."""
+    # The prefixes of keys of single images and of groups of copies.
     alone = F.concat(F.lit("tek"), index.cast("string"))
     if mode == "dup":
         return F.when(dup_group.isNotNull(), F.concat(F.lit("dup"), dup_group.cast("string"))).otherwise(alone)

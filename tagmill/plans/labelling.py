@@ -9,7 +9,7 @@ from ..operators import profile as P
 from ..operators import resolve as R
 from . import views as V
 
-NAMES = "kamyon tir dorse otobus minibus motor".split()
+NAMES = "lorry wagon trailer bus minibus motor".split()
 
 #: Label text made of the boxes, with faults planted by residues. The same text in both dialects.
 _DIGITS = "cast({v} as string)"
@@ -92,18 +92,18 @@ def inferred_classes(spark, sf_dir):
 
 #: Label files: of the images of finished orders flat ones, of others in folders; some are empty, some have no image.
 _LABELS = """labels_dir AS (
-  SELECT 'kare_' || o_orderkey AS stem, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END AS rel_dir,
-         CASE WHEN o_orderstatus = 'F' THEN '/data/labels/kare_' || o_orderkey || '.txt' ELSE '/data/labels/' || o_orderstatus || '/kare_' || o_orderkey || '.txt' END AS path,
+  SELECT 'frame_' || o_orderkey AS stem, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END AS rel_dir,
+         CASE WHEN o_orderstatus = 'F' THEN '/data/labels/frame_' || o_orderkey || '.txt' ELSE '/data/labels/' || o_orderstatus || '/frame_' || o_orderkey || '.txt' END AS path,
          o_custkey % 11 AS length
   FROM orders WHERE o_orderkey % 7 <> 3
   UNION ALL SELECT 'yok_' || o_orderkey, '', '/data/labels/yok_' || o_orderkey || '.txt', 10 FROM orders WHERE o_orderkey % 97 = 1
   UNION ALL SELECT 'classes', '', '/data/labels/classes.txt', 40 FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)
-  UNION ALL SELECT 'kare_' || o_orderkey, o_orderstatus, '/data/' || o_orderstatus || '/labels/kare_' || o_orderkey || '.txt', 10 FROM orders WHERE o_orderkey % 5 = 0)"""
+  UNION ALL SELECT 'frame_' || o_orderkey, o_orderstatus, '/data/' || o_orderstatus || '/labels/frame_' || o_orderkey || '.txt', 10 FROM orders WHERE o_orderkey % 5 = 0)"""
 
 
 def _labels_dir(spark, sf_dir):
     o = V.table(spark, sf_dir, "orders")
-    name = F.concat(F.lit("kare_"), F.col("o_orderkey").cast("string"))
+    name = F.concat(F.lit("frame_"), F.col("o_orderkey").cast("string"))
     flat = F.col("o_orderstatus") == "F"
     folder = F.when(flat, "").otherwise(F.col("o_orderstatus"))
     path = F.when(flat, F.concat(F.lit("/data/labels/"), name, F.lit(".txt"))).otherwise(F.concat(F.lit("/data/labels/"), "o_orderstatus", F.lit("/"), name, F.lit(".txt")))
@@ -173,7 +173,7 @@ def split_eligible(spark, sf_dir):
 
 
 def _names(spark):
-    return spark.createDataFrame(list(enumerate(NAMES)) + [(20, "bisiklet"), (21, "tir")], "cls int, name string")
+    return spark.createDataFrame(list(enumerate(NAMES)) + [(20, "bicycle"), (21, "wagon")], "cls int, name string")
 
 
 def class_histogram_imbalance(spark, sf_dir):
@@ -229,7 +229,7 @@ aud0 AS (
   FROM images i LEFT JOIN has USING (image_id) LEFT JOIN per USING (image_id) LEFT JOIN grp USING (image_id)),
 aud AS (SELECT *, CASE WHEN n_errors > 0 THEN '!' WHEN NOT has_label THEN '○' WHEN dup_group IS NOT NULL AND NOT dup_rep THEN '»' WHEN n_warns > 0 THEN '?' ELSE '✓' END AS mark FROM aud0)"""
 _PLACES = f"WITH {V.IMAGES}, {_LABELS}"
-_NAMED = ", ".join(f"({i}, '{n}')" for i, n in [*enumerate(NAMES), (20, "bisiklet"), (21, "tir")])
+_NAMED = ", ".join(f"({i}, '{n}')" for i, n in [*enumerate(NAMES), (20, "bicycle"), (21, "wagon")])
 _CLASSES = f"WITH {V.GT}, names AS (SELECT * FROM (VALUES {_NAMED}) t(cls, name))"
 _ORPHANS = "SELECT stem, path FROM labels_dir WHERE path NOT LIKE '%/classes.txt' AND stem NOT IN (SELECT stem FROM images)"
 

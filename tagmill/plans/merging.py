@@ -11,7 +11,7 @@ from . import labelling as L
 from . import views as V
 
 #: Two sources' classes; the target is their ordered union, of which A's class 3 is left out.
-SOURCES = [("A", 0, i, n) for i, n in enumerate(("kamyon", "tir", "dorse", "otobus"))] + [("B", 1, i, n) for i, n in enumerate(("tir", "dorse", "minibus", "kamyon", "motor"))]
+SOURCES = [("A", 0, i, n) for i, n in enumerate(("lorry", "wagon", "trailer", "bus"))] + [("B", 1, i, n) for i, n in enumerate(("wagon", "trailer", "minibus", "lorry", "motor"))]
 _VALUES = ", ".join(f"('{s}', {k}, {i}, '{n}')" for s, k, i, n in SOURCES)
 _CLASSES = f"""cl AS (SELECT * FROM (VALUES {_VALUES}) t(source, source_no, cls, name)),
 target AS (SELECT name, (row_number() OVER (ORDER BY min(source_no * 1000 + cls)) - 1)::INT AS cls FROM cl GROUP BY name),

@@ -16,7 +16,7 @@ def safe_names(spark, sf_dir):
 
 def out_stems(spark, sf_dir):
     i = V.images(spark, sf_dir)
-    deep = F.regexp_replace("path", "/kare_", "/kamera/kare.x_")
+    deep = F.regexp_replace("path", "/frame_", "/camera/frame.x_")
     return i.select("image_id", X.out_stem(F.when(F.expr("image_id % 2 = 0"), deep).otherwise(F.col("path")), F.lit("/data")).alias("inside"), X.out_stem(F.col("path"), F.lit("/other")).alias("outside"))
 
 
@@ -74,13 +74,13 @@ _CLIP = "'a_clip_' || CASE WHEN length({n}) < 3 THEN lpad({n}, 3, '0') ELSE {n}
 ORACLE = {
     "safe_names": r"""WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 50 = 7 THEN '  ' ELSE p_name || ' / ' || p_brand || CASE WHEN p_partkey % 5 = 0 THEN ' / é  ü' ELSE '' END END AS t FROM part),
 q AS (SELECT p_partkey, regexp_replace(trim(regexp_replace(trim(t), '[^\p{L}\p{N}\-_ ]', '_', 'g')), ' +', '_', 'g') AS n FROM p) SELECT p_partkey, CASE WHEN n = '' THEN 'model' ELSE n END AS name FROM q""",
-    "out_stems": f"""WITH {V.IMAGES} SELECT image_id, CASE WHEN image_id % 2 = 0 THEN rel_dir || '_kamera_kare.x_' || image_id ELSE rel_dir || '_' || stem END AS inside, stem AS outside FROM images""",
+    "out_stems": f"""WITH {V.IMAGES} SELECT image_id, CASE WHEN image_id % 2 = 0 THEN rel_dir || '_camera_frame.x_' || image_id ELSE rel_dir || '_' || stem END AS inside, stem AS outside FROM images""",
     "label_paths": f"WITH {V.IMAGES} SELECT image_id, '/labels/' || rel_dir || '/' || stem || '.txt' AS label FROM images",
     "human_sizes": """WITH e AS (SELECT event_id, ((event_id * event_id * event_id) % 4000000000000)::BIGINT AS n FROM events)
 SELECT event_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM e""",
     "text_bars": "WITH n AS (SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand) SELECT p_brand, repeat('█', round_even(18 * n / max(n) OVER (), 0)::INT) AS bar FROM n",
     "hex_bgr": "WITH p AS (SELECT p_partkey, substr(md5(p_partkey::VARCHAR), 1, 6) AS c FROM part) SELECT p_partkey, ('0x' || substr(c, 5, 2))::INT AS b, ('0x' || substr(c, 3, 2))::INT AS g, ('0x' || substr(c, 1, 2))::INT AS r FROM p",
-    "group_keys": f"""WITH {V.IMAGES} SELECT image_id, CASE WHEN image_id % 3 = 0 THEN 'dup' || (image_id % 100) ELSE 'tek' || image_id END AS dup, rel_dir AS folder, 'kare' AS prefix, 'tek' || image_id AS "none" FROM images""",
+    "group_keys": f"""WITH {V.IMAGES} SELECT image_id, CASE WHEN image_id % 3 = 0 THEN 'dup' || (image_id % 100) ELSE 'tek' || image_id END AS dup, rel_dir AS folder, 'frame' AS prefix, 'tek' || image_id AS "none" FROM images""",
     "unique_names_suffix": """WITH p AS (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) - 1 AS k, CASE WHEN p_partkey % 40 = 3 THEN 'Model' ELSE p_brand END AS base FROM part),
 q AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS j FROM p)
 SELECT p_partkey, CASE WHEN k = 0 THEN p_name ELSE p_name || '__' || k END AS name, CASE WHEN j = 1 THEN base ELSE base || ' (' || j || ')' END AS label FROM q""",

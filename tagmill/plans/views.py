@@ -72,7 +72,7 @@ def pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, path and folder of every order."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    stem = F.concat(F.lit("kare_"), F.col("o_orderkey").cast("string"))
+    stem = F.concat(F.lit("frame_"), F.col("o_orderkey").cast("string"))
     path = F.concat(F.lit("/data/"), F.col("o_orderstatus"), F.lit("/"), stem, F.lit(".jpg"))
     return o.select(F.col("o_orderkey").alias("image_id"), path.alias("path"), F.col("o_orderstatus").alias("rel_dir"), stem.alias("stem"))
 
@@ -95,7 +95,7 @@ PRED = f"""pred AS (
   FROM (SELECT {_sql(_PRED)} FROM r WHERE (l_partkey + l_suppkey) % 10 <> 0))"""
 BOTH = f"{GT}, {PRED}"
 IMAGES = """images AS (
-  SELECT o_orderkey AS image_id, '/data/' || o_orderstatus || '/kare_' || o_orderkey || '.jpg' AS path, o_orderstatus AS rel_dir, 'kare_' || o_orderkey AS stem FROM orders)"""
+  SELECT o_orderkey AS image_id, '/data/' || o_orderstatus || '/frame_' || o_orderkey || '.jpg' AS path, o_orderstatus AS rel_dir, 'frame_' || o_orderkey AS stem FROM orders)"""
 DETECTIONS = """detections AS (
   SELECT ['A', 'B', 'C'][(user_id % 3)::INT + 1] AS model, (user_id % 5)::VARCHAR AS video_id, event_id AS frame_no, ts, event_type AS cls,
          least(value / 500, 1.0::DOUBLE) AS conf, value AS infer_ms, user_id, event_type <> 'error' AS found FROM events)"""

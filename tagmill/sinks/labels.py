@@ -85,7 +85,11 @@ def top_n_manifest(ranked: DataFrame, score: str, n: int) -> DataFrame:
     return top.select((F.row_number().over(W.orderBy(F.col(score).desc(), "image_id"))).alias("place"), "image_id", score)
 
 
-def frame_manifest(videos: DataFrame, interval_ms: int, pattern: str = "kare_%05d.jpg") -> DataFrame:
+# Fixed value: names of extracted frames.
+FRAME_NAME = "kare_%05d.jpg"
+
+
+def frame_manifest(videos: DataFrame, interval_ms: int, pattern: str = FRAME_NAME) -> DataFrame:
     """video_id, number, ts_ms, name of frames taken every ``interval_ms`` between start_ms and end_ms."""
     times = F.posexplode(F.sequence(F.col("start_ms"), F.col("end_ms") - 1, F.lit(interval_ms).cast("long"))).alias("pos", "ts_ms")
     rows = videos.where("end_ms > start_ms").select("video_id", times)

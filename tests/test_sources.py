@@ -140,7 +140,7 @@ def test_split_entries(spark, dataset):
 
 COCO = {
     "images": [{"id": 1, "file_name": "a.jpg", "width": 200, "height": 100}, {"id": 2, "filename": "b.jpg", "width": 200, "height": 100}, {"id": 3, "width": 5, "height": 5}],
-    "categories": [{"id": 7, "name": "kamyon"}, {"id": 9, "name": "tir"}, {"id": 11}],
+    "categories": [{"id": 7, "name": "lorry"}, {"id": 9, "name": "wagon"}, {"id": 11}],
     "annotations": [
         {"image_id": 1, "category_id": 7, "bbox": [50, 25, 100, 50], "iscrowd": 0}, {"image_id": 2, "category_id": 9, "bbox": [180, 80, 60, 60]}, {"image_id": 1, "category_id": 9, "bbox": [0, 0, 5, 5], "iscrowd": 1},
         {"image_id": 99, "category_id": 9, "bbox": [0, 0, 5, 5]}, {"image_id": 1, "category_id": 9, "bbox": [0, 0, 5]}, {"image_id": 3, "category_id": 9, "bbox": [0, 0, 5, 5]}, {"category_id": 9, "bbox": [0, 0, 5, 5]},
@@ -149,10 +149,10 @@ COCO = {
 
 
 def test_coco(spark, tmp_path):
-    for name, text in {"a.json": json.dumps(COCO), "b.json": "{}", "c.json": "{ bozuk json"}.items():
+    for name, text in {"a.json": json.dumps(COCO), "b.json": "{}", "c.json": "{ broken json"}.items():
         (tmp_path / name).write_text(text)
     found = coco.read_coco(spark, str(tmp_path))
-    assert {(r.cls, r.name) for r in coco.classes_of(found).collect()} == {(7, "kamyon"), (9, "tir"), (11, "11")}
+    assert {(r.cls, r.name) for r in coco.classes_of(found).collect()} == {(7, "lorry"), (9, "wagon"), (11, "11")}
     raw = coco.boxes_of(coco.images_of(found), coco.annotations_of(found))
     assert raw.count() == 3
     class_map = spark.createDataFrame([("s", 7, 0), ("s", 9, 1)], CLASS_MAP)
@@ -165,16 +165,16 @@ def test_coco(spark, tmp_path):
 
 
 VOC = """<annotation><filename>{name}</filename><size><width>200</width><height>100</height><depth>3</depth></size>
-<object><name>dorse</name><difficult>0</difficult><bndbox><xmin>50</xmin><ymin>25</ymin><xmax>150</xmax><ymax>75</ymax></bndbox></object>
-<object><name>kamyon</name><difficult>1</difficult><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>5</xmax><ymax>5</ymax></bndbox></object></annotation>"""
+<object><name>trailer</name><difficult>0</difficult><bndbox><xmin>50</xmin><ymin>25</ymin><xmax>150</xmax><ymax>75</ymax></bndbox></object>
+<object><name>lorry</name><difficult>1</difficult><bndbox><xmin>1</xmin><ymin>1</ymin><xmax>5</xmax><ymax>5</ymax></bndbox></object></annotation>"""
 
 
 def test_voc(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.xml").write_text(VOC.format(name="a.jpg"))
-    (tmp_path / "sub" / "b.xml").write_text(VOC.format(name="").replace("dorse", "tir"))
+    (tmp_path / "sub" / "b.xml").write_text(VOC.format(name="").replace("trailer", "wagon"))
     found = voc.read_voc(spark, str(tmp_path))
-    assert [(r.cls, r.name) for r in voc.classes_of(found).orderBy("cls").collect()] == [(0, "dorse"), (1, "kamyon"), (2, "tir")]
+    assert [(r.cls, r.name) for r in voc.classes_of(found).orderBy("cls").collect()] == [(0, "trailer"), (1, "lorry"), (2, "wagon")]
     rows = {(r.image_id, r.src_cls): (r.x, r.y, r.w, r.h, r.flagged) for r in voc.boxes_of(found).collect()}
     assert rows[("a.jpg", 0)] == (50.0, 25.0, 100.0, 50.0, False) and rows[("b.jpg", 1)][4] is True
     assert voc.guess_format(spark, str(tmp_path)) == "voc"
@@ -185,9 +185,9 @@ def test_merge_of_two_sources(spark):
     lines = [("A", f"a{i}", 1, f"{i % 2} 0.5 0.5 0.2 0.3") for i in range(6)] + [("B", f"b{i}", 1, f"{i % 2} 0.5 0.5 0.2 0.3") for i in range(4)]
     df = L.parse_merge(spark.createDataFrame([x[1:] for x in lines], "image_id string, line_no int, line string")).withColumn("source", F.upper(F.substring("image_id", 1, 1)))
     images = df.select("source", "image_id")
-    named = spark.createDataFrame([("A", 0, 0, "kamyon"), ("A", 0, 1, "tir"), ("B", 1, 0, "tir"), ("B", 1, 1, "dorse")], "source string, source_no int, cls int, name string")
+    named = spark.createDataFrame([("A", 0, 0, "lorry"), ("A", 0, 1, "wagon"), ("B", 1, 0, "wagon"), ("B", 1, 1, "trailer")], "source string, source_no int, cls int, name string")
     target = R.ordered_union(named)
-    assert [r.name for r in target.orderBy("cls").collect()] == ["kamyon", "tir", "dorse"]
+    assert [r.name for r in target.orderBy("cls").collect()] == ["lorry", "wagon", "trailer"]
     merged = R.merge_lines(df, R.auto_map(named, target))
     assert {r.c: r.n for r in merged.groupBy(F.substring("line", 1, 1).alias("c")).agg(F.count("*").alias("n")).collect()} == {"0": 3, "1": 5, "2": 2}
     dropped = R.auto_map(named, target).withColumn("dst_cls", F.when(F.col("dst_cls") < 2, F.col("dst_cls")))
