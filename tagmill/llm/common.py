@@ -9,6 +9,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import cut as cut  # noqa: PLC0414  (shared by the operators)
+
 #: A word, for Java's, DuckDB's and Python's regular expressions alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -30,12 +32,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, written to the shared folder and read from there: lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """The address of a folder of its own for ``name`` in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
