@@ -61,14 +61,14 @@ def sample(labelled: DataFrame, key: Column, rows_each: int = ROWS_EACH) -> list
         for pdf in parts:
             for lang, k, h, text in zip(pdf["lang"], pdf["k"], pdf["h"], pdf["text"], strict=True):
                 of = _text_bags(text, np.random.default_rng(h & (1 << 63) - 1))
-                yield pd.DataFrame({"lang": [lang], "k": [k], "n": [sum(len(x) for x, _ in of)], "ids": [[x.astype(np.int32) for x, _ in of]], "shares": [[w for _, w in of]]})
+                yield pd.DataFrame({"lang": [lang], "k": [k], "n": [sum(len(x) for x, _ in of)], "ids": [[x.astype("<i4").tobytes() for x, _ in of]], "shares": [[w.astype("<f4").tobytes() for _, w in of]]})
 
-    found = cut(first.mapInPandas(bags, "lang string, k int, n long, ids array<array<int>>, shares array<array<float>>"))
+    found = cut(first.mapInPandas(bags, "lang string, k int, n long, ids array<binary>, shares array<binary>"))
     n_languages = found.select("lang").distinct().count()
     upto = F.sum("n").over(W.partitionBy("lang").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
     within = found.withColumn("upto", F.coalesce(upto, F.lit(0))).where((F.col("upto") + F.col("n") <= SAMPLE_GRAMS // max(1, n_languages)) | (F.col("k") == 1))
-    picked = within.orderBy("lang", "k").select("lang", "ids", "shares").toLocalIterator()
-    return [([(np.array(x, np.int64), np.array(w, np.float32)) for x, w in zip(r.ids, r.shares, strict=True)], r.lang) for r in picked]
+    picked = within.orderBy("lang", "k").select("lang", "ids", "shares").collect()
+    return [([(np.frombuffer(x, "<i4"), np.frombuffer(w, "<f4")) for x, w in zip(r.ids, r.shares, strict=True)], r.lang) for r in picked]
 
 
 def _text_bags(text: str, rng: np.random.Generator) -> list[Bag]:

@@ -140,13 +140,13 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, n_grades: int, rows_each:
 
     def bags(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            of = [features(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "n": [len(x) for x in of], "bag": of})
+            of = [features(t).astype("<i4") for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "grade": pdf["grade"], "n": [len(x) for x in of], "bag": [x.tobytes() for x in of]})
 
-    found = cut(first.mapInPandas(bags, "doc_id long, grade int, n long, bag array<long>"))
+    found = cut(first.mapInPandas(bags, "doc_id long, grade int, n long, bag binary"))
     order = W.partitionBy("grade").orderBy(h, "doc_id").rowsBetween(W.unboundedPreceding, 0)
     within = found.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") <= SAMPLE_FEATURES // n_grades)
-    return [(np.array(r.bag, np.int64), r.grade) for r in within.orderBy("doc_id").select("bag", "grade").collect()]
+    return [(np.frombuffer(r.bag, "<i4").astype(np.int64), r.grade) for r in within.orderBy("doc_id").select("bag", "grade").collect()]
 
 
 def with_grades(docs: DataFrame, model: Model, text_col: str = "text", upper: int | None = None) -> DataFrame:
