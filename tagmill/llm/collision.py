@@ -52,17 +52,6 @@ def sorted_projections(ids: np.ndarray, x: np.ndarray) -> list[bytes]:
     return [ids.tobytes(), x.tobytes(), values.tobytes(), order.astype(np.uint16 if len(ids) <= 1 << 16 else np.uint32).tobytes()]
 
 
-def _positions(values: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
-    """For each row of sorted values where the wanted one would stand, before or after its equals: all rows at a time."""
-    rows, low, high = np.arange(len(values)), np.zeros(len(values), np.int64), np.full(len(values), values.shape[1])
-    while (open_ := low < high).any():
-        middle = (low + high) >> 1
-        found = values[rows, np.minimum(middle, values.shape[1] - 1)]
-        beyond = open_ & (found <= wanted if after else found < wanted)
-        low, high = np.where(beyond, middle + 1, low), np.where(open_ & ~beyond, middle, high)
-    return low
-
-
 class Block:
     """A block of the index. ``verified`` counts the vectors whose true distance was computed."""
 
@@ -72,32 +61,44 @@ class Block:
         self.x = np.frombuffer(parts[1]).reshape(n, len(parts[1]) // (8 * n))
         self.values = np.frombuffer(parts[2]).reshape(M, n)
         self.order = np.frombuffer(parts[3], np.uint16 if n <= 1 << 16 else np.uint32).reshape(M, n)
+        self.order = list(self.order.astype(np.intp))
         self.lines, self.need = _lines(self.x.shape[1]), threshold()
         self.firsts = np.flatnonzero(np.r_[True, self.ids[1:] != self.ids[:-1]])
         spread = float(np.median(self.values[:, -1] - self.values[:, 0]))
-        self.start = max(spread * FIRST, float(np.abs(self.values).max()) * 1e-3, 1e-300)
+        farthest = float(np.abs(self.values).max())
+        self.start = max(spread * FIRST, farthest * 1e-3, 1e-300)
+        #: All arrays one after the other as one sorted array, so that one search finds a place in each of them.
+        self.shifts = np.arange(M) * max(4 * farthest, 1e-300)
+        self.flat = (self.values + self.shifts[:, None]).ravel()
         self.verified = 0
 
+    def positions(self, wanted: np.ndarray, side: str) -> np.ndarray:
+        """Where in each sorted array the wanted value stands, before (left) or after (right) its equals."""
+        limit = self.shifts[1] / 2
+        return np.searchsorted(self.flat, np.clip(wanted, -limit, limit) + self.shifts, side) - np.arange(M) * len(self.ids)
+
     def nearest(self, query_id: int, vec: np.ndarray, k: int) -> list[tuple]:
         own, n, centre = self.ids == query_id, len(self.ids), vec @ self.lines
         target = min(k, len(self.firsts) - int(own.any()))
         if not target:
             return []
         counts, done, dist = np.zeros(n, np.int64), own.copy(), np.full(n, np.inf)
-        left = _positions(self.values, centre, False)
-        right, half = left.copy(), self.start
+        left = self.positions(centre, "left")
+        right, half, by_id, radius = left.copy(), self.start, np.full(len(self.firsts), np.inf), np.inf
         while True:
-            new_left = np.minimum(left, _positions(self.values, centre - half, False))
-            new_right = np.maximum(right, _positions(self.values, centre + half, True))
-            rings = [self.order[j, s] for j in range(M) for s in (slice(new_left[j], left[j]), slice(right[j], new_right[j]))]
+            new_left = np.minimum(left, self.positions(centre - half, "left"))
+            new_right = np.maximum(right, self.positions(centre + half, "right"))
+            ends = zip(self.order, new_left.tolist(), left.tolist(), right.tolist(), new_right.tolist(), strict=True)
+            rings = [part for rows, a, b, c, d in ends for part in (rows[a:b], rows[c:d])]
             counts += np.bincount(np.concatenate(rings), minlength=n)
             left, right = new_left, new_right
             new = np.flatnonzero((counts >= self.need) & ~done)
-            done[new] = True
-            self.verified += len(new)
-            dist[new] = np.sqrt(((self.x[new] - vec) ** 2).sum(axis=1))
-            by_id = np.minimum.reduceat(dist, self.firsts)
-            radius = WIDTH * np.partition(by_id, target - 1)[target - 1]
+            if len(new):
+                done[new] = True
+                self.verified += len(new)
+                dist[new] = np.sqrt(((self.x[new] - vec) ** 2).sum(axis=1))
+                by_id = np.minimum.reduceat(dist, self.firsts)
+                radius = WIDTH * np.partition(by_id, target - 1)[target - 1]
             if done.all() or half >= radius:
                 break
             half = min(half * WIDEN, radius)
