@@ -33,6 +33,8 @@ ORDERS, BUCKETS, WIDTH = (1, 2, 3), 1 << 14, 16
 #: rows of each language, at least one.
 ROWS_EACH, SAMPLE_GRAMS, EPOCHS, RATE, RIGHT = 500, 20_000_000, 6, 2.0, 0.9
 PIECES, LEAST_WORDS, MOST_WORDS = 4, 1, 25
+#: Up to so many languages (a name and a number each, a few MB) their counts are broadcast, so that no text is shuffled.
+BROADCAST_LANGUAGES = 100_000
 
 
 @dataclass
@@ -51,7 +53,8 @@ Bag = tuple[np.ndarray, np.ndarray]
 def sample(labelled: DataFrame, key: Column, rows_each: int = ROWS_EACH) -> list[tuple[list[Bag], str]]:
     """(bags, lang) of at most rows_each rows of every language, chosen by a hash of the key: the same rows each run."""
     rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64(key, F.lit("language")).alias("h"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_LANGUAGES else counts
     share = F.least(F.lit(1.0), F.lit(3.0 * rows_each) / F.col("n"))  # leaves a few rows for the window, not a language
     near = rows.join(counts, "lang").where((F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))) < share)
     order = W.partitionBy("lang").orderBy("h", "text")
