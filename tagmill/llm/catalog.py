@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import codes, collision, language, lines, minhash, mixing, personal, pieces, quality, vafile
+from . import codes, collision, language, lines, minhash, mixing, personal, pieces, quality, vafile, whitening
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (vafile, mixing, language, minhash, quality, codes, lines, personal, collision, pieces):
+for _module in (vafile, mixing, language, minhash, quality, codes, lines, personal, collision, pieces, whitening):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)
