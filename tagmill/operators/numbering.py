@@ -15,11 +15,14 @@ from ..session import cut
 _SHIFT = 33  # of monotonically_increasing_id: the partition's number stands above the row's
 
 
-def numbered(rows: DataFrame, *order: Column | str, name: str = "index") -> DataFrame:
-    """``rows`` with their number (from 0) by ``order``, which should be total."""
+def numbered(rows: DataFrame, *order: Column | str, name: str = "index", drop: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with their number (from 0) by ``order``, which should be total, without the columns ``drop``.
+
+    Those columns may decide the order (long texts, say) but are not written with the numbers.
+    """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = rows.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_m", F.monotonically_increasing_id())
-    placed = cut(placed).withColumn("_p", F.shiftright("_m", _SHIFT))
+    placed = cut(placed.drop(*drop)).withColumn("_p", F.shiftright("_m", _SHIFT))
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
     before = F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("_p", before.alias("_start"))
