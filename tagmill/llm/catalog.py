@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import codes, collision, language, lines, minhash, mixing, personal, pieces, quality, repair, vafile, whitening
+from . import codes, collision, language, lines, minhash, mixing, personal, pieces, prefixes, quality, repair, vafile, whitening
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (vafile, mixing, language, minhash, quality, codes, lines, personal, collision, pieces, repair, whitening):
+for _module in (vafile, mixing, language, minhash, quality, codes, lines, personal, collision, pieces, prefixes, repair, whitening):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(_module.ORACLE)

@@ -26,7 +26,7 @@ set is not a copy of an identified one); an empty table gives an empty result; o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -119,13 +119,18 @@ def _facts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "n", "fp", "bands", "fine"]).astype({"doc_id": "Int64"})
 
 
-def _sets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        out = []
-        for text in pdf["text"]:
-            s = shingles(text)
-            out.append((xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)))
-        yield pd.DataFrame(out, columns=["fp", "shingles"])
+def sets_of(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Texts to (fp, shingles)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = []
+            for text in pdf["text"]:
+                s = shingles(text, width)
+                out.append((xxhash.xxh3_128_digest(s.tobytes()), s.view(np.int64)))
+            yield pd.DataFrame(out, columns=["fp", "shingles"])
+
+    return run
 
 
 class _Overlaps:
@@ -143,16 +148,16 @@ class _Overlaps:
         self.ends = np.cumsum(times)
         self.starts = self.ends - times
 
-    def linked(self, u: int) -> np.ndarray:
+    def linked(self, u: int, percent: int = PERCENT) -> np.ndarray:
         """The sets that are similar enough to the u-th."""
         starts, ends = self.starts[self.columns[u]], self.ends[self.columns[u]]
         lengths = ends - starts
         at = np.arange(int(lengths.sum())) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
         common = np.bincount(self.owners[at], minlength=len(self.sizes))
-        return np.flatnonzero(100 * common >= PERCENT * (self.sizes[u] + self.sizes - common))
+        return np.flatnonzero(100 * common >= percent * (self.sizes[u] + self.sizes - common))
 
 
-def _parts(sets: list[np.ndarray], groups: np.ndarray | None = None) -> np.ndarray:
+def _parts(sets: list[np.ndarray], groups: np.ndarray | None = None, percent: int = PERCENT) -> np.ndarray:
     """A number for each set, equal for those that links connect; sets of one group count as connected from the start.
 
     A link has two ends, so the largest group's sets need no look of their own, and nothing is left to see once all are
@@ -164,7 +169,7 @@ def _parts(sets: list[np.ndarray], groups: np.ndarray | None = None) -> np.ndarr
     for u in np.flatnonzero(part != sizes.argmax()) if groups is not None else range(len(sets)):
         if left == 1:
             break
-        found = np.unique(part[overlaps.linked(u)])
+        found = np.unique(part[overlaps.linked(u, percent)])
         found = found[found != part[u]]
         if len(found):
             part[np.isin(part, found)] = part[u]
@@ -172,14 +177,14 @@ def _parts(sets: list[np.ndarray], groups: np.ndarray | None = None) -> np.ndarr
     return part
 
 
-def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
+def _cell(pdf: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """(u, v): what is connected within a cell, as stars: whole small families, a block of a large one with pivots, or two
     blocks of it. A star's middle is a pivot if it has one, else the smallest node."""
     out = []
     pdf = pdf.sort_values(["node", "pivot"], ascending=[True, False]).drop_duplicates("node")
     for _, family in pdf.groupby("root"):
         nodes, groups = family["node"].to_numpy(np.int64), family["grp"]
-        part = _parts([np.asarray(s, np.int64) for s in family["shingles"]], groups.to_numpy(np.int64) if groups.notna().all() else None)
+        part = _parts([np.asarray(s, np.int64) for s in family["shingles"]], groups.to_numpy(np.int64) if groups.notna().all() else None, percent)
         order = np.lexsort((nodes, ~family["pivot"].to_numpy(bool), part))
         first = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0])
         middle = np.repeat(nodes[order][first], np.diff(np.r_[first, len(order)]))
@@ -188,15 +193,16 @@ def _cell(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
 
 
+def sized(rows: DataFrame) -> DataFrame:
+    """Rows (key, node and others) of buckets of two or more, with the bucket's size ``n`` and its smallest class ``low``."""
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
+    return cut(rows.join(sizes, "key"))  # a hot key's rows are split by adaptive execution
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
     """(u, v): edges that connect, among others, every two classes that share enough bands."""
     signed = nodes.select("node", "bands")
 
-    def sized(rows: DataFrame) -> DataFrame:
-        """Rows of buckets of two or more, with the bucket's size ``n`` and its smallest class ``low``."""
-        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low")).where("n > 1")
-        return cut(rows.join(sizes, "key"))  # a hot key's rows are split by adaptive execution
-
     def pairs(rows: DataFrame) -> DataFrame:
         few = rows.where(F.col("n") <= SMALL)
         return few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").where("u < v").select("u", "v")
@@ -216,19 +222,19 @@ def _blocks(shingles: Column, sets: Column) -> Column:
     return F.ceil(F.greatest(shingles / BLOCK, sets / BLOCK_SETS)).cast("int")
 
 
-def _compare(placed: DataFrame) -> DataFrame:
+def _compare(placed: DataFrame, percent: int) -> DataFrame:
     """(u, v): what is connected in each cell of (cell, root, node, pivot, grp, shingles)."""
-    return placed.select("cell", "root", "node", "pivot", "grp", "shingles").groupBy("cell").applyInPandas(_cell, "u long, v long")
+    return placed.select("cell", "root", "node", "pivot", "grp", "shingles").groupBy("cell").applyInPandas(lambda pdf: _cell(pdf, percent), "u long, v long")
 
 
-def _large_links(large: DataFrame) -> DataFrame:
+def _large_links(large: DataFrame, percent: int) -> DataFrame:
     """What is connected within families of several blocks: (root, node, n, blocks, shingles)."""
     own = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("pivot", F.lit(False))
     lowest = [F.min(F.struct(F.xxhash64("node", F.lit(k)), "node"))["node"] for k in range(PIVOTS)]
     pivots = cut(large.groupBy("root").agg(F.array_distinct(F.array(*lowest)).alias("of")).select("root", F.explode("of").alias("node")))
     everywhere = large.join(pivots, ["root", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("pivot", F.lit(True))
     placed = own.unionByName(everywhere).withColumn("cell", F.concat_ws(":", "root", "block")).withColumn("grp", F.lit(None).cast("long"))
-    links = cut(_compare(placed))
+    links = cut(_compare(placed, percent))
 
     # A pivot's cluster is a group; all others are loose sets. Groups and loose sets have blocks of their own.
     middles = links.join(pivots.select(F.col("node").alias("v")), "v", "left_semi").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("middle"))
@@ -243,34 +249,33 @@ def _large_links(large: DataFrame) -> DataFrame:
     met = met.withColumn("cell", F.concat_ws("|", "root", "label", "other"))
     sides = met.select("root", F.explode(F.array_distinct(F.array("label", "other"))).alias("label"), "cell")
     placed = labelled.join(sides, ["root", "label"]).withColumn("grp", F.coalesce("middle", "node")).withColumn("pivot", F.lit(False))
-    return links.union(_compare(placed))
+    return links.union(_compare(placed, percent))
 
 
-def _family_links(families: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def texts_of(ids: DataFrame, many: int, docs: DataFrame) -> DataFrame:
+    """The texts of the ``many`` documents ``ids`` (rep): ids travel to the texts as long as they are few enough."""
+    if many <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
+
+
+def family_links(families: DataFrame, nodes: DataFrame, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(u, v): edges that connect what is linked within each family (node, root)."""
     found = nodes.select("node", "fp", "rep", "n").join(families, "node")
     totals = found.groupBy("root").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks"))
     wanted = cut(found.join(totals, "root"))
     many, total = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n"))), F.lit(0))).first()
-    ids = wanted.select("rep").distinct()
-    if many <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, docs.doc_id.eqNullSafe(ids.rep), "left_semi").select("text")
-    sets = cut(texts.mapInPandas(_sets, "fp binary, shingles array<long>").join(wanted, "fp").dropDuplicates(["fp"]))
+    texts = texts_of(wanted.select("rep").distinct(), many, docs)
+    sets = cut(texts.mapInPandas(sets_of(width), "fp binary, shingles array<long>").join(wanted, "fp").dropDuplicates(["fp"]))
     large = sets.where("blocks > 1").select("root", "node", "n", "blocks", "shingles")
     packed = sets.where("blocks = 1").withColumn("cell", F.pmod(F.xxhash64("root"), F.lit(1 + total // PACK)).cast("string"))
-    links = _compare(packed.withColumn("grp", F.lit(None).cast("long")).withColumn("pivot", F.lit(False)))
-    return links if large.isEmpty() else links.union(_large_links(large))
+    links = _compare(packed.withColumn("grp", F.lit(None).cast("long")).withColumn("pivot", F.lit(False)), percent)
+    return links if large.isEmpty() else links.union(_large_links(large, percent))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    facts = cut(docs.mapInPandas(_facts, "doc_id long, n long, fp binary, bands array<long>, fine array<int>"))
-    classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fine").alias("fine"))
-    nodes = cut(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fp"))))
-    labels = components(_family_links(components(_candidates(nodes)), nodes, docs))
-
+def with_components(facts: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, n, component of every row of ``facts`` (doc_id, n, fp), by the ``links`` between classes ``nodes`` (node, fp, rep)."""
+    labels = components(links)
     named = nodes.select("fp", "node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("root", "node"))
     if nodes.where("rep is null").take(1):  # else a class's node is its smallest doc_id, and a component's root too
         roots = cut(named)
@@ -279,7 +284,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = cut(named.select("fp", "component"))
     full = facts.where("n > 0").select("doc_id", "n", "fp")
     out = hot_join(full, named, "fp", full.count()).select("doc_id", "n", "component")
-    out = out.union(facts.where("n = 0").select("doc_id", "n", "doc_id"))
+    return out.union(facts.where("n = 0").select("doc_id", "n", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    facts = cut(docs.mapInPandas(_facts, "doc_id long, n long, fp binary, bands array<long>, fine array<int>"))
+    classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fine").alias("fine"))
+    nodes = cut(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fp"))))
+    out = with_components(facts, nodes, family_links(components(_candidates(nodes)), nodes, docs))
     kept = F.when(F.col("component").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
 
