@@ -142,9 +142,9 @@ def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def cheapest(turns: DataFrame) -> DataFrame:
     """conv_id, illegal, cost, audit of each conversation in ``turns`` (conv_id, index over the whole table, initial, fault)."""
-    n = turns.count()
-    units = turns.withColumn("place", F.floor(F.col("index") / PIECE)).withColumn("batch", F.pmod(F.xxhash64("place"), F.lit(1 + n // BATCH)))
-    parts = cut(units.groupBy("batch").applyInPandas(_turns, _PARTS))
+    batches = 1 + turns.count() // BATCH
+    units = turns.withColumn("place", F.floor(F.col("index") / PIECE)).withColumn("batch", F.pmod(F.xxhash64("place"), F.lit(batches)))
+    parts = cut(units.repartition(batches, "batch").groupBy("batch").applyInPandas(_turns, _PARTS))
     whole: list[DataFrame] = []
     while True:
         firsts = parts.groupBy(F.col("conv_id").alias("_conv")).agg(F.min("place").alias("_low"), F.count(F.lit(1)).alias("_n"))
@@ -154,8 +154,9 @@ def cheapest(turns: DataFrame) -> DataFrame:
         m = left.count()
         if not m:
             break
-        dealt = left.withColumn("batch", F.pmod(F.xxhash64("conv_id", "group"), F.lit(1 + m * 16 // BATCH)))
-        parts = cut(dealt.groupBy("batch").applyInPandas(_joined, _PARTS))
+        batches = 1 + m * 16 // BATCH  # a part has up to 16 ways
+        dealt = left.withColumn("batch", F.pmod(F.xxhash64("conv_id", "group"), F.lit(batches)))
+        parts = cut(dealt.repartition(batches, "batch").groupBy("batch").applyInPandas(_joined, _PARTS))
     ends = F.array(*[F.struct(F.lit(c).cast("long").alias("cost"), F.lit(a).alias("audit")) for _, c, a in endings()])
     begun = F.filter("ways", lambda w: w["begun"] == START)
 
