@@ -7,7 +7,7 @@ lines, and a passage of few lines may hold no whole chunk; so the shortest runs
 that begin or end at a line are looked up as well. Together they reach every line of a repeated passage of that many words.
 
 A chunk or run that occurs more than once is compared byte for byte with its other occurrences; its first occurrence (by
-doc_id, hash of the text, position) stays, and the lines of all others are removed, but for those that overlap the first.
+doc_id, position, MD5 of the text) stays, and the lines of all others are removed, but for those that overlap the first.
 
 Cases: null and empty texts stay as they are; rows that repeat both doc_id and text count as one document and are
 treated alike; a null doc_id sorts first; an empty table gives an empty result; other columns are carried along, whatever
@@ -98,7 +98,7 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     base = base.withColumn("th", F.xxhash64(text))
     found = base.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), "th", F.explode(units(F.col(text), long_words, min_words, divisor)).alias("u"))
-    found = cut(found.select("id", "th", "u.s", "u.e", "u.h", "u.g"))
+    found = cut(found.select("id", "th", "u.s", "u.e", "u.h", "u.g").distinct())  # rows that repeat are one document from here on
     n = found.count()
     hot = hot_keys(found, "h", n)
     hot = cut(hot) if hot.take(1) else None
@@ -117,10 +117,10 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def same_document(other: DataFrame, i: str, t: str) -> Column:
         return F.col(key).eqNullSafe(other[i]) & (F.col("th") == other[t])
 
-    seen = base.join(asked, same_document(asked, "aid", "ath")).select(F.col(key).alias("id"), "th", F.split(text, "\n", -1).alias("lines"), F.explode("of").alias("u"))
+    seen = base.join(asked, same_document(asked, "aid", "ath")).select(F.col(key).alias("id"), "th", F.md5(text).alias("md5"), F.split(text, "\n", -1).alias("lines"), F.explode("of").alias("u"))
     bytes_ = F.array_join(F.filter(F.slice("lines", F.col("u.s") + 1, F.col("u.e") - F.col("u.s") + 1), lambda x: x.rlike(WORD)), "\n")
-    seen = seen.select("id", "th", "u.s", "u.e", "u.h", "u.g", bytes_.alias("t"))
-    place = F.struct("id", "th", "s", "e")
+    seen = seen.select("id", "th", "md5", "u.s", "u.e", "u.h", "u.g", bytes_.alias("t"))
+    place = F.struct("id", "s", "e", "md5", "th")
     first = seen.groupBy("h", "g").agg(F.min(place).alias("first"), F.min("t").alias("low"), F.max("t").alias("high")).where("low = high").select("h", "g", "first")
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     late = met(first).where(~(own & (F.col("s") <= F.col("first.e"))))
@@ -162,7 +162,7 @@ whole AS (
   FROM spans s JOIN facts f ON s.doc_id IS NOT DISTINCT FROM f.doc_id AND s.text = f.text AND f.k BETWEEN s.s AND s.e GROUP BY s.doc_id, s.text, s.s, s.e),
 ordered AS (
   SELECT *, row_number() OVER o AS n, first_value(doc_id) OVER o AS first_id, first_value(text) OVER o AS first_text, first_value(e) OVER o AS first_e
-  FROM whole WINDOW o AS (PARTITION BY t ORDER BY doc_id NULLS FIRST, s)),
+  FROM whole WINDOW o AS (PARTITION BY t ORDER BY doc_id NULLS FIRST, s, e, md5(text))),
 gone AS (
   SELECT DISTINCT doc_id, text, unnest(range(s, e + 1)) AS p FROM ordered
   WHERE n > 1 AND NOT (doc_id IS NOT DISTINCT FROM first_id AND text = first_text AND s <= first_e)),

@@ -138,6 +138,33 @@ def test_equal_hashes_of_different_bytes_stay(spark, monkeypatch):
     assert {r.doc_id: r.text for r in lines.dedup_chunks(docs(spark, rows)).collect()} == {i: t for i, t, _ in rows}
 
 
+def test_many_rows_that_repeat(spark):
+    """5,000 rows with the same null id and text are one document; the time grows with rows, not with their square."""
+    import time
+
+    text = "\n".join(" ".join(words(7, k)) for k in range(60))
+    other = "\n".join([*(" ".join(words(9, 900 + k)) for k in range(5)), *text.split("\n")[10:40]])
+    df = docs(spark, [(None, text, "s")] * 5000 + [(4, other, "s"), (4, text[:200], "t"), (4, other, "s")])
+    start = time.monotonic()
+    got = lines.dedup_chunks(df).groupBy("doc_id", F.md5("text").alias("m"), "_n_removed").count().collect()
+    assert time.monotonic() - start < 60
+    assert sorted((r.doc_id or 0, r._n_removed, r["count"]) for r in got) == [(0, 0, 5000), (4, 0, 1), (4, 30, 2)]
+
+
+def test_two_texts_of_one_id(spark, tmp_path):
+    """Where one id has several texts, code and SQL keep the same occurrence."""
+    import duckdb
+
+    from ..oracle import same_rows
+
+    shared = [" ".join(words(60, 700 + k)) for k in range(3)]
+    rows = [(i // 3 if i % 7 else None, "\n".join([*(f"own {i} {j}" for j in range(i % 4)), shared[i % 3], shared[(i + 1) % 3]]), "s") for i in range(40)]
+    docs(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    same_rows(lines.op7_line_dedup(spark, str(tmp_path)), con, lines.ORACLE["op7_line_dedup"])
+
+
 def test_line_dedup_odd_rows(spark):
     text = "\n".join(" ".join(words(8, k)) for k in range(9))
     df = docs(spark, [(1, text, "a"), (1, text, "b"), (2, None, "a"), (3, "", "a"), (4, "x" * 200000, "a"), (None, "\n\n", "a"), (9, text, "c"), (10, "a b\n" * 20_000, "a")])
