@@ -34,8 +34,9 @@ def hot_join(rows: DataFrame, by: DataFrame, key: str, n: int, hot: DataFrame |
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) to (node, root): the smallest node reachable, for every node of an edge.
 
-    A round hands the smallest label over every edge and then replaces each label by its own label, which halves the
-    paths, so rounds grow with the logarithm of the longest chain. What a round gives is checkpointed in the shared
+    A round hands the smallest label over every edge; what a node hears also goes to the node that its old label names,
+    so that whole trees are hooked and not their leaves alone; then each label is replaced by its own label, which halves
+    the paths. Rounds thus grow with the logarithm of the longest chain. What a round gives is checkpointed in the shared
     folder. A label that very many nodes bear is dealt over SALTS keys, and so are the edges of a node by their far end:
     only labels in use, and the labels of nodes that are hubs, are copied for that.
     """
@@ -52,7 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         said = labels.select(F.col("node").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("root").alias("said"))
         heard = both.join(said, ["v", "salt"]).groupBy(F.col("u").alias("node")).agg(F.min("said").alias("said"))
-        near = labels.join(heard, "node").select("node", "salts", F.col("root").alias("was"), F.least("root", "said").alias("root"))
+        near = cut(labels.join(heard, "node").select("node", "salts", F.col("root").alias("was"), F.least("root", "said").alias("root")))
+        hooks = near.where("root < was").groupBy(F.col("was").alias("node")).agg(F.min("root").alias("hook"))
+        near = near.join(hooks, "node", "left").select("node", "salts", "was", F.least("root", "hook").alias("root"))
         used = near.select("root").distinct()
         far = used.join(near.select(F.col("node").alias("root"), F.col("root").alias("beyond")), "root")
         far = far.select("root", "beyond", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1))).alias("salt"))
