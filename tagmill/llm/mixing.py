@@ -77,7 +77,7 @@ def plan_mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3
     """The mix of ``sized`` (source, size, h).
 
     A source with target t and size s takes every document floor(t / s) times, and once more those whose hash is at or
-    below the limit at which their sizes come nearest to the rest of the target.
+    below the limit at which their sizes come nearest to the rest of the target; without a rest none, empty ones included.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -85,7 +85,7 @@ def plan_mix(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3
     sources = cut(sources.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     mix = Mix(sources, sources.count() <= BROADCAST_SOURCES)
     # Of each source: the bucket (a prefix of the hash) in which the budget runs out, and the sum of sizes before it.
-    found = sources.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
+    found = sources.where("rest > 0").select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     bits = 0
     for step in (level_bits, level_bits, HASH_BITS - 2 * level_bits):
         inside = mix.join(sized, found).where(F.col("prefix") == F.shiftright("h", HASH_BITS - bits) if bits else F.lit(True))
@@ -144,7 +144,7 @@ steps AS (
   FROM sized s JOIN parts p ON s.source IS NOT DISTINCT FROM p.source GROUP BY s.source, s.h, p.target, p.whole, p.source_size),
 limits AS (
   SELECT source, CASE WHEN upto - rest < rest - (upto - n) THEN h ELSE h - 1 END AS lim
-  FROM steps WHERE upto > rest AND upto - n <= rest)
+  FROM steps WHERE rest > 0 AND upto > rest AND upto - n <= rest)
 SELECT s.doc_id, s.size, p.source_size, p.target,
        (s.size * (p.whole + CASE WHEN s.h <= coalesce(l.lim, -1) THEN 1 ELSE 0 END))::BIGINT AS taken,
        (p.whole + CASE WHEN s.h <= coalesce(l.lim, -1) THEN 1 ELSE 0 END)::BIGINT AS copies{more}
