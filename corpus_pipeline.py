@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from tagmill.llm import lines, minhash, mixing, pieces, quality
 from tagmill.llm.common import new_folder, table
@@ -35,13 +34,16 @@ def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and one of rows that repeat an id and a text.
 
-    Null and empty texts are linked with nothing and stay. Rows with a null id stay one for each text, but for copies of
-    identified documents.
+    Null and empty texts are linked with nothing and stay, as one row for each id and text. Rows with a null id stay one for
+    each text, but for copies and near copies of identified documents, which go. Of rows that repeat id and text the one with
+    the least source, lang and n_chars stays; texts are compared whole. An empty table stays empty.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    first = docs.select(COLUMNS).join(kept, docs.doc_id.eqNullSafe(F.col("_kept")), "left_semi")
-    same = W.partitionBy("doc_id", F.xxhash64("text")).orderBy("source", "lang")
-    return first.withColumn("_k", F.row_number().over(same)).where("_k = 1").select(COLUMNS)
+    docs = docs.select(COLUMNS)
+    marks = minhash.near_duplicates(docs, marked=True).groupBy("doc_id", "mark").agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
+    marks = marks.where("_kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_rows")
+    kept = docs.join(marks, docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_mark")))
+    several = kept.where("_rows > 1").groupBy("doc_id", "text").agg(F.min(F.struct("source", "lang", "n_chars")).alias("_first"))  # copies meet before they are shuffled
+    return kept.where("_rows = 1").select(COLUMNS).unionByName(several.select("doc_id", "text", "_first.lang", "_first.source", "_first.n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -111,12 +111,12 @@ def fine_bands(sig: np.ndarray) -> np.ndarray:
 def _facts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         out = []
-        for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for i, text, mark in zip(pdf["doc_id"], pdf["text"], pdf["mark"], strict=True):
             s = shingles(text)
             some = len(s) > 0
             sig = signature(s) if some else None
-            out.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes()) if some else None, bands(sig) if some else None, fine_bands(sig) if some else None))
-        yield pd.DataFrame(out, columns=["doc_id", "n", "fp", "bands", "fine"]).astype({"doc_id": "Int64"})
+            out.append((i, mark, len(s), xxhash.xxh3_128_digest(s.tobytes()) if some else None, bands(sig) if some else None, fine_bands(sig) if some else None))
+        yield pd.DataFrame(out, columns=["doc_id", "mark", "n", "fp", "bands", "fine"]).astype({"doc_id": "Int64"})
 
 
 def sets_of(width: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -273,8 +273,8 @@ def family_links(families: DataFrame, nodes: DataFrame, docs: DataFrame, width:
     return links if large.isEmpty() else links.union(_large_links(large, percent))
 
 
-def with_components(facts: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, n, component of every row of ``facts`` (doc_id, n, fp), by the ``links`` between classes ``nodes`` (node, fp, rep)."""
+def with_components(facts: DataFrame, nodes: DataFrame, links: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n, component and ``extra`` of every row of ``facts`` (doc_id, n, fp), by the ``links`` between classes ``nodes`` (node, fp, rep)."""
     labels = components(links)
     named = nodes.select("fp", "node", "rep").join(labels, "node", "left").withColumn("component", F.coalesce("root", "node"))
     if nodes.where("rep is null").take(1):  # else a class's node is its smallest doc_id, and a component's root too
@@ -282,20 +282,22 @@ def with_components(facts: DataFrame, nodes: DataFrame, links: DataFrame) -> Dat
         firsts = roots.groupBy("component").agg(F.min("rep").alias("first"))
         named = hot_join(roots, firsts, "component", roots.count()).withColumn("component", F.col("first"))
     named = cut(named.select("fp", "component"))
-    full = facts.where("n > 0").select("doc_id", "n", "fp")
-    out = hot_join(full, named, "fp", full.count()).select("doc_id", "n", "component")
-    return out.union(facts.where("n = 0").select("doc_id", "n", "doc_id"))
+    full = facts.where("n > 0").select("doc_id", "n", "fp", *extra)
+    out = hot_join(full, named, "fp", full.count()).select("doc_id", "n", "component", *extra)
+    return out.union(facts.where("n = 0").select("doc_id", "n", "doc_id", *extra))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every document."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marked: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every document; ``marked`` adds ``mark``, xxhash64 of its text, which tells
+    rows without id, or of one id, apart."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    facts = cut(docs.mapInPandas(_facts, "doc_id long, n long, fp binary, bands array<long>, fine array<int>"))
+    facts = cut(docs.withColumn("mark", F.xxhash64("text")).mapInPandas(_facts, "doc_id long, mark long, n long, fp binary, bands array<long>, fine array<int>"))
     classes = facts.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("fine").alias("fine"))
     nodes = cut(classes.withColumn("node", F.coalesce("rep", F.xxhash64("fp"))))
-    out = with_components(facts, nodes, family_links(components(_candidates(nodes)), nodes, docs))
+    extra = ("mark",) if marked else ()
+    out = with_components(facts, nodes, family_links(components(_candidates(nodes)), nodes, docs), extra)
     kept = F.when(F.col("component").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), kept.alias("kept"), *extra)
 
 
 def op4_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,16 @@ def test_mix_reaches_its_targets(spark):
     assert found.sort_values(key)[key].reset_index(drop=True).equals(again.sort_values(key)[key].reset_index(drop=True))
 
 
+def test_empty_texts_of_a_source_at_its_cap(spark):
+    """A source at three times its size takes each of its documents three times, those of size 0 too."""
+    rows = [(i, "w " * 10 if i % 2 else "", "a" if i < 20 else "b") for i in range(220)]
+    found = mixing.mix_sources(docs(spark, rows)).collect()
+    small = [r for r in found if r.source_size == 100]
+    assert len(small) == 20 and {r.copies for r in small} <= {1, 2, 3}
+    capped = mixing.mix_sources(docs(spark, rows), weights=(9, 1)).collect()
+    assert {r.copies for r in capped if r.source_size == 100} == {3} and all(r.target == 300 for r in capped if r.source_size == 100)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix_sources(docs(spark, [])).count() == 0
     assert mixing.mix_sources(docs(spark, [(1, None, None)])).first().taken == 0

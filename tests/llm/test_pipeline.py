@@ -53,6 +53,16 @@ def test_stages_on_odd_rows(spark):
         assert start is not docs or {2, 3} <= {r.doc_id for r in stage_rows(spark, docs)}
 
 
+def test_rows_without_id_that_copy_an_identified_document_go(spark):
+    """(null, T) is a copy of (1, T) and goes, though another row without id stays; of repeated rows one stays."""
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"x{k}" for k in range(40))
+    rows = [(1, text, "la", "s", 3), (None, text, "la", "s", 3), (None, other, "la", "s", 4), (None, other, "la", "r", 4), (7, other[:9], None, None, None), (7, other[:12], None, "s", 1), (8, None, None, "s", 0), (8, None, None, None, 0)]
+    docs = spark.createDataFrame(rows + [(None, other, "la", "s", 4)] * 300, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = sorted((repr(r.doc_id), repr(r.text), repr(r.source)) for r in stage(spark, docs, SF).collect())
+    assert got == sorted([("1", repr(text), "'s'"), ("None", repr(other), "'r'"), ("7", repr(other[:9]), "None"), ("7", repr(other[:12]), "'s'"), ("8", "None", "None")])
+
+
 def stage_rows(spark, docs):
     stages = dict(corpus_pipeline.STAGES)
     return stages["near_duplicates"](spark, stages["lines"](spark, docs, SF), SF).collect()
