@@ -7,7 +7,10 @@ into numbers of hashed grams; no text reaches the driver. A temperature fitted o
 sample kept aside calibrates the probabilities; a prediction below the least calibrated probability at which nine of ten
 answers of that third are right is marked as rejected.
 
-Both layers are linear, so prediction adds up one row of logits for each gram: tasks get a table of BUCKETS x languages.
+Both layers are linear. With up to WIDTH languages they are folded into one table of BUCKETS x languages, of which
+prediction adds up a row for each gram; with more, tasks get the embeddings (BUCKETS x WIDTH) and the softmax layer (WIDTH x
+languages). A model beyond MODEL_BYTES, some 70,000 languages, is refused when it is made; a softmax is taken over CELLS
+numbers at once.
 
 Cases: null texts and texts without a letter get ``und`` and score 0; rows with null text or language teach nothing;
 without labelled rows every text is ``und``; rows that repeat are rows of their own; empty tables give an empty result;
@@ -35,16 +38,40 @@ ROWS_EACH, SAMPLE_GRAMS, EPOCHS, RATE, RIGHT = 500, 20_000_000, 6, 2.0, 0.9
 PIECES, LEAST_WORDS, MOST_WORDS = 4, 1, 25
 #: Up to so many languages (a name and a number each, a few MB) their counts are broadcast, so that no text is shuffled.
 BROADCAST_LANGUAGES = 100_000
+#: Bytes of a model, which travels to every task; numbers (texts x languages) of a softmax taken at once.
+MODEL_BYTES, CELLS = 16 << 20, 1 << 21
 
 
 @dataclass
 class Model:
     languages: list[str]
-    logits: np.ndarray  # BUCKETS x languages
+    table: np.ndarray  # BUCKETS x languages, or BUCKETS x WIDTH
     bias: np.ndarray
+    out: np.ndarray | None = None  # WIDTH x languages
     temperature: float = 1.0
     least: float = 0.0
 
+    def __post_init__(self) -> None:
+        size = self.table.nbytes + self.bias.nbytes + (0 if self.out is None else self.out.nbytes) + sum(map(len, self.languages))
+        if size > MODEL_BYTES:
+            raise ValueError(f"a model of {len(self.languages)} languages has {size} bytes; {MODEL_BYTES} can travel to the tasks")
+
+    @property
+    def logits(self) -> np.ndarray:
+        """BUCKETS x languages."""
+        return self.table if self.out is None else self.table @ self.out
+
+    def scores(self, hidden: np.ndarray) -> np.ndarray:
+        return (hidden if self.out is None else hidden @ self.out) + self.bias
+
+    def best(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most probable language of each row, by number, and its probability."""
+        found, step = [], max(1, CELLS // max(1, len(self.languages)))
+        for at in range(0, len(hidden), step):
+            p = _softmax(self.scores(hidden[at : at + step]) / self.temperature)
+            found.append((p.argmax(axis=1), p.max(axis=1)))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
 
 #: Of a sampled text and its pieces: ids of the grams and their shares.
 Bag = tuple[np.ndarray, np.ndarray]
@@ -137,22 +164,29 @@ def fit_bags(rows: list[tuple[list[Bag], str]], seed: int = 7) -> Model:
             out -= rate * np.outer(hidden, p)
             bias -= 0.01 * rate * p
             emb[ids] -= (rate * w)[:, None] * back
-    model = Model(languages, (emb @ out).astype(np.float64), bias.astype(np.float64))
+    if len(languages) <= WIDTH:
+        model = Model(languages, (emb @ out).astype(np.float64), bias.astype(np.float64))
+    else:
+        model = Model(languages, emb.astype(np.float64), bias.astype(np.float64), out.astype(np.float64))
     if aside:
         y = np.array([v for _, v in aside])
-        z = np.stack([w @ model.logits[ids] for (ids, w), _ in aside]) + model.bias
-        loss = {t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean() for t in np.geomspace(0.1, 10, 61)}
-        model.temperature = float(min(loss, key=loss.get))
-        p = _softmax(z / model.temperature)
-        order = np.argsort(-p.max(axis=1), kind="stable")
-        right = np.cumsum((p.argmax(axis=1) == y)[order]) / np.arange(1, len(order) + 1)
-        model.least = float(p.max(axis=1)[order][np.flatnonzero(right >= RIGHT)[-1]]) if (right >= RIGHT).any() else 1.0
+        hidden = np.stack([w @ model.table[ids] for (ids, w), _ in aside])
+        losses, step = dict.fromkeys(np.geomspace(0.1, 10, 61), 0.0), max(1, CELLS // len(languages))
+        for at in range(0, len(y), step):
+            z, own = model.scores(hidden[at : at + step]), y[at : at + step]
+            for t in losses:
+                losses[t] -= np.log(_softmax(z / t)[np.arange(len(own)), own] + 1e-12).sum()
+        model.temperature = float(min(losses, key=losses.get))
+        first, p = model.best(hidden)
+        order = np.argsort(-p, kind="stable")
+        right = np.cumsum((first == y)[order]) / np.arange(1, len(order) + 1)
+        model.least = float(p[order][np.flatnonzero(right >= RIGHT)[-1]]) if (right >= RIGHT).any() else 1.0
     return model
 
 
-def _logits(model: Model, texts: list[str]) -> np.ndarray:
-    sums, n = summed(texts, model.logits, ORDERS)
-    return sums / np.maximum(n, 1)[:, None] + model.bias
+def _hidden(model: Model, texts: list[str]) -> np.ndarray:
+    sums, n = summed(texts, model.table, ORDERS)
+    return sums / np.maximum(n, 1)[:, None]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -165,8 +199,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             some = pdf["letters"].to_numpy(bool) & bool(m.languages)
             lang, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
             if some.any():
-                p = _softmax(_logits(m, pdf["text"][some].tolist()) / m.temperature)
-                lang[some], score[some] = np.array(m.languages, object)[p.argmax(axis=1)], p.max(axis=1)
+                first, score[some] = m.best(_hidden(m, pdf["text"][some].tolist()))
+                lang[some] = np.array(m.languages, object)[first]
             yield pd.DataFrame({"id": pdf["id"].astype("Int64"), "lang_pred": lang, "score": score, "rejected": score < m.least})
 
     rows = docs.select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))

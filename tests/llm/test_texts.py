@@ -374,6 +374,25 @@ def test_every_language_is_learned(spark):
     assert np.mean([r.lang_pred == f"l{r.id % 250}" for r in few]) > 0.8
 
 
+def test_thousands_of_languages(spark, monkeypatch):
+    """The model grows by WIDTH numbers a language; scores are those of the folded model; a model too large is refused."""
+    n = 2000
+    rng = np.random.default_rng(2)
+    rows = [([(rng.integers(0, language.BUCKETS, 12).astype(np.uint32), np.full(12, 1 / 12, np.float32))], f"l{i:04}") for i in range(n) for _ in range(3)]
+    monkeypatch.setattr(language, "EPOCHS", 1)
+    model = language.fit_bags(rows)
+    assert len(model.languages) == n and model.table.nbytes + model.out.nbytes < 3 << 20
+    texts = ["abc", "some words of a text", "x" * 5000]
+    monkeypatch.setattr(language, "CELLS", n)  # one text at once
+    got = language.identify(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), model).collect()
+    folded = language.Model.__new__(language.Model)
+    folded.__dict__.update(model.__dict__, table=model.logits, out=None)
+    first, p = folded.best(language._hidden(folded, texts))
+    assert [(r.lang_pred, round(r.score, 9)) for r in sorted(got)] == [(model.languages[i], round(x, 9)) for i, x in zip(first, p)]
+    with pytest.raises(ValueError, match="languages"):
+        language.Model([str(i) for i in range(200_000)], model.table, np.zeros(200_000), np.zeros((16, 200_000)))
+
+
 def test_few_grams_leave_every_language(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE_GRAMS", 100)
     df = spark.createDataFrame([(i, "abc def " * (1 + i), "ab"[i % 2]) for i in range(40)], "id long, text string, lang string")
