@@ -96,8 +96,30 @@ def test_many_texts_with_one_prefix(spark, monkeypatch):
         rows.append((i, " ".join(w)))
     df = docs(spark, [(i, t, "s") for i, t in rows])
     assert found(df) == brute(rows)
-    sets = spark.createDataFrame([(i, 58, sorted([*range(8), 1000 + i])) for i in range(400)], "node long, size int, prefix array<long>")
-    assert prefixes._group_pairs(sets, 90).count() <= 16 * 400  # a crowded shingle costs a row a group
+    sets = spark.createDataFrame([(i, 58, prefixes.band_of(58), 1000 + i, sorted([*range(8), 1000 + i])) for i in range(400)], "node long, size int, band int, last long, prefix array<long>")
+    pairs, crowded = prefixes._group_pairs(sets, 90)
+    assert pairs.count() == 0 and crowded.count() == 800  # a crowded shingle costs a row a group and band
+
+
+def test_a_shingle_in_common_is_not_enough(spark):
+    """Of two sets with one shingle of their prefixes in common the first one's end bounds the overlap."""
+    rows = [(i, 100, prefixes.band_of(100), 1000 * i + 9, [1, *range(1000 * i, 1000 * i + 10)]) for i in (1, 2, 3)]
+    rows += [(9, 100, prefixes.band_of(100), 3020, [1, *range(3000, 3008), 3015, 3020])]
+    pairs, _ = prefixes._group_pairs(spark.createDataFrame(rows, "node long, size int, band int, last long, prefix array<long>"), 90)
+    assert [tuple(r) for r in pairs.collect()] == [(3, 9)]
+
+
+def test_similar_sets_have_an_equal_part():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n = int(rng.integers(10, 400))
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.r_[rng.permutation(a)[int(rng.integers(0, 1 + n // 20)) :], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 20))).astype(np.uint64)])
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= 90 * (len(a) + len(b) - both):
+            low, high = sorted((prefixes.band_of(len(a)), prefixes.band_of(len(b))))
+            assert high - low <= 1 and prefixes.parts_in(high) > len(a) + len(b) - 2 * both
+            assert (prefixes.part_keys(a, high) == prefixes.part_keys(b, high)).any()
 
 
 def test_prefix_filter_loses_no_pair():
