@@ -64,11 +64,12 @@ def track(frames: DataFrame, step: Callable[[object, object, tuple], tuple[tuple
 
     ``frames``: the key, frame_no, content and box (array<double>, set on frames labelled by hand). A clip's frames pass in
     order, a batch of a partition at a time, so no clip is held as a whole; the chain starts at a labelled frame and ends
-    where the box is lost or the next one stands.
+    where the box is lost or the next one stands. A ``step`` that has a method ``start(content, box)`` is told of each
+    labelled frame; every task has a copy of its own. A clip is one key and passes through one task.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        clip, box, last = object(), None, None
+        clip, box, last, start = object(), None, None, getattr(step, "start", None)
         for pdf in parts:
             out = []
             for own, frame_no, content, drawn in zip(pdf[key], pdf["frame_no"], pdf["content"], pdf["box"], strict=True):
@@ -76,6 +77,8 @@ def track(frames: DataFrame, step: Callable[[object, object, tuple], tuple[tuple
                     clip, box, last = own, None, None
                 if drawn is not None:
                     box = tuple(drawn)
+                    if start is not None:
+                        start(content, box)
                 elif box is not None:
                     box, confidence = step(last, content, box)
                     if box is not None and confidence < STEP:
