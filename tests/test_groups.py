@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 
 import pytest
@@ -150,3 +151,18 @@ def test_hubs_and_common_labels(spark, monkeypatch):
     rows = spark.createDataFrame([(7, i) for i in range(50)] + [(i, i) for i in range(20)], "k long, x long")
     by = spark.createDataFrame([(i, i * i) for i in range(15)], "k long, y long")
     assert sorted(map(tuple, G.hot_join(rows, by, "k", 70).collect())) == sorted((k, x, k * k) for k, x in [(7, i) for i in range(50)] + [(i, i) for i in range(15)])
+
+
+def test_wide_distances_compare_few_pairs(spark):
+    """Random hashes with planted neighbours: no pair is lost, and a twentieth of all pairs is looked at."""
+    rng = random.Random(2)
+    hashes = [rng.getrandbits(63) for _ in range(600)]
+    hashes += [h ^ sum(1 << i for i in rng.sample(range(63), rng.randrange(1, 18))) for h in hashes[:120]] + hashes[:5]
+    df = spark.createDataFrame([(h,) for h in hashes] + [(None,)], "h long")
+    want = sorted((a, b, (a ^ b).bit_count()) for a, b in itertools.combinations(sorted(set(hashes)), 2) if (a ^ b).bit_count() <= 15)
+    assert sorted(map(tuple, N.hamming_pairs_probed(df, 15, 4, 63).collect())) == want and len(want) > 80
+    n = len(set(hashes))
+    assert N._near_bands(df, 15, 4, 63).count() < 0.06 * n * (n - 1) / 2
+    for most, bands in ((5, 3), (7, 2), (3, 4), (2, 3)):
+        got = sorted(map(tuple, N.hamming_pairs_probed(df, most, bands, 63).collect()))
+        assert got == [p for p in want if p[2] <= most]
