@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import edits as E
 from ..operators import remap as R
@@ -18,6 +19,11 @@ target AS (SELECT name, (row_number() OVER (ORDER BY min(source_no * 1000 + cls)
 cm AS (SELECT source, cl.cls AS src_cls, CASE WHEN source = 'A' AND cl.cls = 3 THEN NULL ELSE t.cls END AS dst_cls FROM cl LEFT JOIN target t USING (name))"""
 
 
+_PART_CLASSES = """pc AS (
+  SELECT ['A', 'B', 'C'][s + 1] AS source, s::INT AS source_no, (row_number() OVER (PARTITION BY s ORDER BY min(p_partkey)) - 1)::INT AS cls, lower(p_type) || ' ' || string_split(p_name, ' ')[-1] AS name
+  FROM part, range(3) t(s) WHERE p_partkey % (s + 2) = 0 GROUP BY s, lower(p_type) || ' ' || string_split(p_name, ' ')[-1])"""
+
+
 def _classes(spark):
     return spark.createDataFrame(SOURCES, "source string, source_no int, cls int, name string")
 
@@ -27,12 +33,21 @@ def _map(spark):
     return found.withColumn("dst_cls", F.when((F.col("source") == "A") & (F.col("src_cls") == 3), None).otherwise(F.col("dst_cls")))
 
 
+def _part_classes(spark, sf_dir):
+    """source, source_no, cls, name: three overlapping sources' classes, named after parts and numbered as first met."""
+    p = V.table(spark, sf_dir, "part").selectExpr("p_partkey", "concat_ws(' ', lower(p_type), element_at(split(p_name, ' '), -1)) AS name", "explode(sequence(0, 2)) AS source_no")
+    first = p.where("p_partkey % (source_no + 2) = 0").groupBy("source_no", "name").agg(F.min("p_partkey").alias("at"))  # a row a name reaches the window
+    number = F.row_number().over(W.partitionBy("source_no").orderBy("at")) - 1
+    return first.select(F.expr("element_at(array('A', 'B', 'C'), source_no + 1)").alias("source"), "source_no", number.cast("int").alias("cls"), "name")
+
+
 def class_union_ordered(spark, sf_dir):
-    return R.ordered_union(_classes(spark))
+    return R.ordered_union(_part_classes(spark, sf_dir))
 
 
 def class_automap(spark, sf_dir):
-    return R.auto_map(_classes(spark), R.ordered_union(_classes(spark)))
+    known = _part_classes(spark, sf_dir)
+    return R.auto_map(known, R.ordered_union(known.where("source <> 'C'")))
 
 
 def class_remap_merge(spark, sf_dir):
@@ -168,8 +183,9 @@ im2 AS (SELECT *, CASE WHEN flagged THEN 'flagged' WHEN dst_cls IS NULL THEN 'un
   NOT flagged AND dst_cls IS NOT NULL AND c - a > 1e-6 AND d - b > 1e-6 AND (a <> x OR b <> y OR c <> x + w OR d <> y + h) AS clipped FROM im)"""
 
 ORACLE = {
-    "class_union_ordered": f"WITH {_CLASSES} SELECT name, cls FROM target",
-    "class_automap": f"WITH {_CLASSES} SELECT source, cl.cls AS src_cls, t.cls AS dst_cls FROM cl LEFT JOIN target t USING (name)",
+    "class_union_ordered": f"WITH {_PART_CLASSES} SELECT name, (row_number() OVER (ORDER BY min(source_no * 1000000 + cls)) - 1)::INT AS cls FROM pc GROUP BY name",
+    "class_automap": f"""WITH {_PART_CLASSES}, t AS (SELECT name, (row_number() OVER (ORDER BY min(source_no * 1000000 + cls)) - 1)::INT AS cls FROM pc WHERE source <> 'C' GROUP BY name)
+SELECT source, pc.cls AS src_cls, t.cls AS dst_cls FROM pc LEFT JOIN t USING (name)""",
     "class_remap_merge": f"WITH {V.RAW}, {_CLASSES} SELECT image_id, gi, raw.source, dst_cls FROM raw JOIN cm ON cm.source = raw.source AND cm.src_cls = raw.src_cls WHERE dst_cls IS NOT NULL",
     "class_remap_lines": f"{_MERGE} SELECT image_id, line_no, fate, CASE WHEN fate = 'box' THEN concat_ws(' ', dst_cls::VARCHAR, nullif(rest, '')) END AS line FROM fates",
     "class_remap_rollup": f"""{_MERGE}, {V.IMAGES}, per AS (SELECT image_id, count(*) FILTER (fate = 'box') AS box, count(*) FILTER (fate = 'dropped') AS dropped, count(*) FILTER (fate = 'error') AS error FROM fates GROUP BY image_id),

@@ -13,6 +13,10 @@ from . import labelling as L
 from . import views as V
 
 
+#: Folders that the listing of pages leaves out.
+HIDDEN = ("fr", "de")
+
+
 def report_errors(spark, sf_dir):
     """The first 40 damaged label lines."""
     return P.first_errors(L.label_parse_strict(spark, sf_dir), 40)
@@ -34,9 +38,9 @@ def frame_durations(spark, sf_dir):
 
 
 def hidden_folders(spark, sf_dir):
-    """Whether a listing leaves out the folder of a page, whose address is one."""
-    p = V.table(spark, sf_dir, "pages").select("page_id", F.concat_ws("/", F.lit("data"), F.element_at(F.array(*map(F.lit, ("labels", ".git", "images", "labels2", "a.b"))), (F.col("page_id") % 5 + 1).cast("int")), F.lit("x")).alias("d"))
-    return p.select("page_id", hidden_folder(F.col("d")).alias("hidden"))
+    """Whether a listing leaves out the folder of a page, whose address is one: host, path without its last step."""
+    folder = F.regexp_extract(F.regexp_replace("url", "^[a-z]+://", ""), "^(.*)/[^/]*$", 1)
+    return V.table(spark, sf_dir, "pages").select("page_id", folder.alias("rel_dir"), hidden_folder(folder, HIDDEN).alias("hidden"))
 
 
 def track_acceptance(spark, sf_dir):
@@ -53,7 +57,8 @@ ORACLE = {
     "report_orphans": f"SELECT * FROM ({L.ORACLE['orphan_labels']}) ORDER BY path LIMIT 20",
     "bench_cycle": "WITH i AS (SELECT o_orderkey AS image_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM orders), n AS (SELECT least(120, count(*)) AS n FROM i) SELECT r AS run, image_id FROM range(300) t(r), n JOIN i ON k = r % n",
     "frame_durations": "SELECT event_id, CASE WHEN (event_id % 61 - 1) > 0 THEN round_even(2000 / (event_id % 61 - 1), 0)::BIGINT ELSE 40 END AS ms FROM events",
-    "hidden_folders": "SELECT page_id, page_id % 5 < 2 AS hidden FROM pages",
+    "hidden_folders": f"""WITH f AS (SELECT page_id, regexp_extract(regexp_replace(url, '^[a-z]+://', ''), '^(.*)/[^/]*$', 1) AS rel_dir FROM pages)
+SELECT page_id, rel_dir, len(list_filter(string_split(rel_dir, '/'), lambda s: starts_with(s, '.') OR s IN {HIDDEN})) > 0 AS hidden FROM f""",
     "track_acceptance": """WITH g AS (SELECT l_partkey AS clip, count(*) AS n FROM lineitem WHERE l_linenumber < 6 AND l_suppkey % 30 < 20 GROUP BY l_partkey)
 SELECT p_partkey AS clip, coalesce(n, 0) AS n_good, CASE WHEN 50 + p_partkey % 100 BETWEEN 75 AND 135 THEN (50 + p_partkey % 100) / 100 ELSE 1.0::DOUBLE END AS scale,
   coalesce(n, 0) >= 6 AND p_size >= 4 AND p_size + p_partkey % 3 - 1 >= 4 AS accepted FROM part LEFT JOIN g ON clip = p_partkey""",

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable, Sequence
 from itertools import product
 from posixpath import basename, dirname, join, normpath
@@ -95,7 +94,7 @@ def listed_names(text: str) -> dict[int, str]:
 
 
 #: Files that name classes, with their readers; a folder's own come before its parent's.
-NAME_FILES = (("data.yaml", parse_names), ("classes.txt", listed_names))
+NAME_FILES = (("data.yaml", parse_names), ("data.yml", parse_names), ("classes.txt", listed_names), ("obj.names", listed_names), ("_darknet.labels", listed_names))
 
 
 def load_names(spark: SparkSession, *folders: str) -> dict[int, str]:
@@ -164,15 +163,21 @@ def resolve_split(spark: SparkSession, value: object, root: str) -> DataFrame:
 def repaired_parts(parts: dict[str, str | None], folder: str, exists: Callable[[str], bool]) -> dict[str, str]:
     """train, val and test of a description with paths that exist.
 
-    A path counts from the description's folder, if it isn't absolute, or from there without its leading ``../``. Parts
-    that lead nowhere fall back to train.
+    An absolute path counts as it stands, another from the description's folder. Exported descriptions often lead out of
+    their folder to parts that lie within it, so a path that begins by going up is also looked for without that. Parts that
+    lead nowhere are those of train.
     """
-
-    def place(name: str) -> str | None:
+    places: dict[str, list[str]] = {}
+    for name in ("train", "val", "test"):
         entry = (parts.get(name) or "").strip()
-        options = {normpath(join(folder, x)) for x in (entry, re.sub(r"^(\.\./)+", "", entry))} if entry else set()
-        return next(filter(exists, sorted(options, key=len)), None)
-
-    train = place("train")
-    found = {name: place(name) or train for name in ("train", "val", "test")}
-    return {name: path for name, path in found.items() if path}
+        steps = [s for s in entry.split("/") if s not in ("", ".")]
+        ups = next((k for k, s in enumerate(steps) if s != ".."), len(steps))
+        if entry.startswith("/"):
+            places[name] = [normpath(entry)]
+        elif steps:
+            places[name] = [normpath("/".join([folder, *steps])), "/".join([folder.rstrip("/"), *steps[ups:]])]
+    there = {p: exists(p) for p in sorted({p for of in places.values() for p in of})}
+    found = {name: [p for p in of if there[p]] for name, of in places.items()}
+    train = found.get("train", [])
+    chosen = {name: found.get(name) or train for name in ("train", "val", "test")}
+    return {name: of[0] for name, of in chosen.items() if of}
