@@ -33,6 +33,20 @@ def normal_selection(chosen: Sequence[int], known: Sequence[int]) -> tuple[list[
     return (None if set(good) == set(known) else good), sorted(set(chosen) - set(known))
 
 
+def selections(chosen: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """key, classes, unknown: ``normal_selection`` for many keys at once, from rows (key, cls) of both; keys are those of ``known``.
+
+    classes is null where all known ones are chosen, as no filter is needed then; nulls among classes are ignored.
+    """
+
+    def sets(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy(key).agg(F.array_sort(F.collect_set("cls")).alias(name))
+
+    both = sets(known, "_known").join(sets(chosen, "_chosen"), key, "left").withColumn("_chosen", F.coalesce("_chosen", F.array().cast("array<int>")))
+    good = F.array_intersect("_known", "_chosen")
+    return both.select(key, F.when(F.size(good) < F.size("_known"), good).alias("classes"), F.array_except("_chosen", "_known").alias("unknown"))
+
+
 def autolabel_summary(images: DataFrame, pred: DataFrame, classes: Sequence[int] | None = None, least_conf: float = 0.0) -> DataFrame:
     """what, cls, n: images processed, with and without detections, detections, and detections of each class (cls -1: all)."""
     found = filter_classes(pred, classes, least_conf)

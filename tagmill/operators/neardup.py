@@ -145,6 +145,14 @@ def largest_groups(groups: DataFrame, n: int = 10, names: int = 4) -> DataFrame:
     return some.groupBy("dup_group", "size").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
 
 
+def group_line(keys: DataFrame, key: str = "key") -> DataFrame:
+    """One row, ``line``: how many rows there are, in how many groups, and the largest group's size; nulls are one group."""
+    sizes = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    facts = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("most"))
+    line = F.format_string("%d images, %d groups (largest %d)", "rows", "groups", "most")
+    return facts.select(F.when(F.col("rows") == 0, "0 images").otherwise(line).alias("line"))
+
+
 def split_keys(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` (id and more) with key: dup<group> for near-duplicates, tek<id> for others."""
     # The prefixes of both kinds of keys.

@@ -70,6 +70,13 @@ def to_do(images: DataFrame, done: DataFrame, on: str | Sequence[str] = "stem")
     return images.join(done, on, "left_anti")
 
 
+def newly_added(paths: DataFrame, listed: DataFrame, order: str) -> DataFrame:
+    """Of ``paths`` (path and more) those that ``listed`` doesn't hold, each once: its first row by ``order``. Null paths go."""
+    fresh = paths.where("path IS NOT NULL").join(listed.select("path"), "path", "left_anti")
+    first = F.min_by(F.struct(*[F.col(c) for c in paths.columns if c != "path"]), F.col(order)).alias("_row")
+    return fresh.groupBy("path").agg(first).select("path", "_row.*").select(*paths.columns)
+
+
 def existing(records: DataFrame, images: DataFrame) -> DataFrame:
     """Records whose image file is there."""
     return records.join(images.select("path"), "path", "left_semi")

@@ -66,6 +66,11 @@ def _keys(spark, sf_dir):
     return N.split_keys(docs, _groups(spark, sf_dir))
 
 
+def neardup_line(spark, sf_dir):
+    """The groups of documents as a line of text."""
+    return N.group_line(_keys(spark, sf_dir))
+
+
 def neardup_keys(spark, sf_dir):
     return _keys(spark, sf_dir)
 
@@ -128,7 +133,7 @@ def row_numbers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        text_simhash, vector_diffhash, hamming_pairs_banded, hamming_pairs_vectors, neardup_groups, neardup_representatives, neardup_stats, neardup_largest,
+        text_simhash, vector_diffhash, hamming_pairs_banded, hamming_pairs_vectors, neardup_groups, neardup_representatives, neardup_stats, neardup_line, neardup_largest,
         neardup_keys, split_assign_md5, split_no_group_leak, split_assign_images, split_stats, split_leak_groups, split_leak_examples, benchmark_contamination,
         systematic_sample, head_sample, row_numbers,
     )
@@ -177,6 +182,7 @@ ORACLE = {
     "neardup_stats": f"{_GROUPS} SELECT count(*) AS groups, (sum(n) - count(*))::BIGINT AS surplus, max(n) AS largest FROM (SELECT dup_group, count(*) AS n FROM grp GROUP BY dup_group)",
     "neardup_largest": f"""{_GROUPS}, t AS (SELECT dup_group, count(*) AS size, array_to_string(list_sort(list(id))[1:4], ',') AS ids FROM grp GROUP BY dup_group)
 SELECT * FROM t ORDER BY size DESC, dup_group LIMIT 10""",
+    "neardup_line": f"{_KEYS} SELECT format('{{}} images, {{}} groups (largest {{}})', sum(n)::BIGINT, count(*), max(n)) AS line FROM (SELECT key, count(*) AS n FROM keys GROUP BY key)",
     "neardup_keys": f"{_KEYS} SELECT id, key FROM keys",
     "split_assign_md5": f"{_SPLIT} SELECT id, key, split FROM sp",
     "split_no_group_leak": f"{_SPLIT} SELECT key, count(DISTINCT split) AS parts FROM sp GROUP BY key HAVING count(DISTINCT split) > 1",
