@@ -50,6 +50,22 @@ def _copy(source: str, target: str, job: str) -> tuple[int | None, str]:
         return None, "failed"
 
 
+def put(content: bytes, target: str, job: str) -> tuple[int, str]:
+    """Bytes and status (written or kept) of ``content`` at ``target``, whole or not at all; what stands with its size is kept."""
+    store, place = fs.FileSystem.from_uri(target)
+    there = store.get_file_info(place)
+    if there.type == fs.FileType.File and there.size == len(content):
+        return len(content), "kept"
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    part = attempt_name(place, job)
+    with store.open_output_stream(part) as out:
+        out.write(content)
+    if there.type == fs.FileType.File:
+        store.delete_file(place)
+    store.move(part, place)
+    return len(content), "written"
+
+
 def _link(source: str, target: str) -> tuple[int | None, str]:
     """A link on disks that all tasks share; the links made by two attempts are one."""
     try:

@@ -26,14 +26,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def small_text(spark: SparkSession, path: str) -> str | None:
-    """A small file's text, or None if it isn't there or is empty."""
+    """A small file's text, or None if it isn't there or is empty.
+
+    It comes from the store itself: Spark's readers pass over names with a leading underscore or dot.
+    """
     if not path_exists(spark, path):
         return None
-    content = F.when(F.col("length") <= MOST_BYTES, F.col("content")).alias("content")
-    rows = spark.read.format("binaryFile").load(path).select("length", content).limit(1).collect()
-    if rows and rows[0].content is None:
-        raise ValueError(f"{path} has {rows[0].length} bytes; a description has {MOST_BYTES} at most")
-    return bytes(rows[0].content).decode("utf-8", "replace") if rows else None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = store.getFileStatus(at).getLen()
+    if size > MOST_BYTES:
+        raise ValueError(f"{path} has {size} bytes; a description has {MOST_BYTES} at most")
+    stream = store.open(at)
+    try:
+        content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+    return content.decode("utf-8", "replace") if content else None
 
 
 class _Lines:

@@ -89,6 +89,15 @@ def test_names(spark, tmp_path):
     assert classes.names_table(spark, {1: "v"}, "s").collect()[0].asDict() == {"source": "s", "cls": 1, "name": "v"}
 
 
+def test_files_of_names_in_their_order(spark, tmp_path):
+    """A folder's description counts before its lists; each list is read if nothing before it names a class."""
+    for name, text, want in (("_darknet.labels", "d\n", "d"), ("obj.names", "o\n", "o"), ("classes.txt", "c\n", "c"), ("data.yml", "names: [m]\n", "m"), ("data.yaml", "names: [y]\n", "y")):
+        (tmp_path / name).write_text(text)
+        assert classes.load_names(spark, str(tmp_path)) == {0: want}
+    (tmp_path / "data.yaml").write_text("nc: 0\n")
+    assert classes.load_names(spark, str(tmp_path)) == {0: "m"}
+
+
 def test_descriptions():
     text = "# a set\npath: /d\ntrain: images/train\nval:\n  - a.txt\n  - 'b.txt'\nnames:\n  0: x\n  7: 'y z'\n  8:\nnc: 3\n"
     assert classes.read_description(text) == {"path": "/d", "train": "images/train", "val": ["a.txt", "b.txt"], "names": {"0": "x", "7": "y z", "8": None}, "nc": "3"}
@@ -226,3 +235,7 @@ def test_repaired_description(spark, dataset):
     assert classes.repaired_parts({"train": "../images", "val": "no/such", "test": None}, root, exists) == {k: f"{root}/images" for k in ("train", "val", "test")}
     assert classes.repaired_parts({"train": f"{root}/images", "val": "labels"}, root, exists)["val"] == f"{root}/labels"
     assert classes.repaired_parts({"val": "nowhere"}, root, exists) == {}
+    some = {"/d/in/a", "/d/a", "/e", "/x/y"}
+    cases = [("a", "/d/in/a"), ("../a", "/d/a"), ("../../q/../in/a", None), ("../../../y", None), ("/e", "/e"), ("/none", None), ("../in/a", "/d/in/a"), ("./a/", "/d/in/a"), ("../../a", "/d/in/a"), ("", None)]
+    for entry, want in cases:
+        assert classes.repaired_parts({"val": entry}, "/d/in", some.__contains__) == ({"val": want} if want else {}), entry

@@ -63,6 +63,19 @@ def test_no_pixels_strict_and_single_files(spark, clips):
         spark.read.format("rawframes").load(f"{clips}/bad").collect()
 
 
+def test_frames_become_images(spark, clips):
+    from tagmill.sinks import images
+    from tagmill.sources import pixels
+
+    rows = spark.read.format("rawframes").option("stride", 10).load(str(clips))
+    got = {r.target: r for r in images.write_frames(rows, f"{clips}/out", job="j").collect()}
+    assert sorted(t.split("/out/")[1] for t in got) == [f"a/kare_0000{k}.png" for k in (1, 2, 3, 4)] + [f"b/kare_0000{k}.png" for k in (1, 2, 3)] + ["c/kare_00001.png"]
+    for target, r in got.items():
+        image = pixels.decode(open(target, "rb").read())
+        assert image.tobytes() == bytes((r.frame_no * 7 + p) % 256 for p in range(image.size)) and r.status == "written"
+    assert {r.status for r in images.write_frames(rows, f"{clips}/out", job="k").collect()} == {"kept"}
+
+
 def test_ranges_and_strides():
     assert [frames.stride_of(25, s) for s in (0, 5, 10, 100)] == [1, 5, 2, 1]
     assert frames.frame_range(None, 5, 25, 75) == (0, 75) and frames.frame_range(0, 2000, 25, 75) == (0, 50)
