@@ -25,7 +25,10 @@ def label_paths(spark, sf_dir):
 
 
 def human_sizes(spark, sf_dir):
-    e = V.table(spark, sf_dir, "events").select("event_id", F.expr("(event_id * event_id * event_id) % 4000000000000").alias("n"))
+    # The cube leaves a long above 2,097,151; the rest of the cube is that of the rests, whose products fit a decimal.
+    rest = "cast({} % 4000000000000 as decimal(13, 0))"
+    e = V.table(spark, sf_dir, "events").withColumn("r", F.expr(rest.format("event_id"))).withColumn("rr", F.expr(rest.format("(r * r)")))
+    e = e.select("event_id", F.expr("cast((rr * r) % 4000000000000 as long)").alias("n"))
     return e.select("event_id", "n", X.human_size(F.col("n")).alias("size"))
 
 

@@ -97,3 +97,11 @@ def test_edits(spark):
     )
     rows = {r.gi: (r.cls, r.x1) for r in edits.apply_log(boxes, log, 3).collect()}
     assert rows == {1: (2, 1.0), 2: (1, 0.0), 7: (2, 2.0)}
+
+
+def test_human_sizes_of_ids_whose_cube_leaves_a_long(spark, tmp_path):
+    from tagmill.plans import scalars
+
+    ids = [0, 7, 15_874, 2_097_151, 2_097_152, 6_000_000, 2**62 + 1]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id: r.n for r in scalars.human_sizes(spark, str(tmp_path)).collect()} == {i: i**3 % 4_000_000_000_000 for i in ids}
