@@ -77,7 +77,8 @@ def hamming_pairs(hashes: DataFrame, most: int, extra: int = 2, bits: int = 64)
     keys = F.from_json(F.lit(json.dumps(list(combinations(range(bands), extra)))), "array<array<int>>")
     cut_up = nodes.select("h", F.array(*[_band(F.col("h"), k, bands, bits) for k in range(bands)]).alias("of"))
     dealt = cut_up.select("h", F.posexplode(F.transform(keys, lambda ks: F.xxhash64(F.transform(ks, lambda k: F.get("of", k))))).alias("key", "v"))
-    met = dealt.withColumnRenamed("h", "a").join(dealt.withColumnRenamed("h", "b"), ["key", "v"])
+    # Spark estimates what is dealt as no more rows than there are hashes, and would broadcast it through the driver.
+    met = dealt.withColumnRenamed("h", "a").hint("merge").join(dealt.withColumnRenamed("h", "b"), ["key", "v"])
     a, b = F.col("a"), F.col("b")
     met = met.where((a < b) & (hamming(a, b) <= most))
     agree = F.filter(F.array(*[F.when(_band(a, k, bands, bits) == _band(b, k, bands, bits), k) for k in range(bands)]), lambda x: x.isNotNull())

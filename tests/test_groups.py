@@ -166,3 +166,12 @@ def test_wide_distances_compare_few_pairs(spark):
     for most, bands in ((5, 3), (7, 2), (3, 4), (2, 3)):
         got = sorted(map(tuple, N.hamming_pairs_probed(df, most, bands, 63).collect()))
         assert got == [p for p in want if p[2] <= most]
+
+
+def test_dealt_hashes_are_not_broadcast(spark):
+    """What Spark takes for a small table holds a row a hash and key: it must not pass through the driver."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    pairs = N.hamming_pairs(spark.createDataFrame(hashes(), "id long, h long"), 5)
+    assert pairs.collect()
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
