@@ -60,3 +60,25 @@ def test_candidate_order(spark):
     labels = spark.createDataFrame([("/d/x/a.txt", 5), ("/d/x/labels/a.txt", 5), ("/d/labels/x/b.txt", 0), ("/d/labels/b.txt", 3)], "path string, length long")
     rows = {r.image_id: (r.label_path, r.rank) for r in R.by_candidates(images, labels, "/d").collect()}
     assert rows == {1: ("/d/x/a.txt", 1), 2: ("/d/labels/b.txt", 3), 3: (None, None)}
+
+
+def test_a_line_is_split_once(spark):
+    """A filter on a reading, and one column of it, don't compute the line's parts again."""
+    for rows in (L.parse_strict(lines(spark), 3).where("kept").select("image_id").distinct(), L.parse_lenient(lines(spark)).where("cls < 50"), L.parse_editor(lines(spark), 640, 480)):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert L.parse_strict(lines(spark), 3).where("kept").count() == 7
+
+
+def test_label_lines_number_the_boxes_once(spark):
+    """Lines that stand twice come from the same pass over the line items."""
+    from tagmill.plans import labelling
+
+    plan = labelling.label_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1
+
+
+def test_split_materials_audit_once(spark):
+    from tagmill.plans import manifests
+
+    plan = manifests.split_materials(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
