@@ -24,9 +24,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def both(spark: SparkSession, sf_dir: str, crowd: int = 1) -> DataFrame:
     """image_id, pr, cls, conf and corners of two detectors' boxes; ``crowd`` orders that follow each other are one image."""
-    second = views.gt(spark, sf_dir).selectExpr(*[x.strip() for x in _split(_SECOND)])
-    rows = views.pred(spark, sf_dir).drop("pr").unionByName(second)
-    return _numbered(rows.withColumn("image_id", F.floor(F.col("image_id") / crowd)))
+    # Both boxes of a line item come from one row, which lies where its image is numbered: one shuffle in all.
+    first = F.struct(*[F.expr(x) for x in views._exprs({k: x for k, x in views._PRED.items() if k not in ("image_id", "gi")})])
+    rows = views.box_rows(spark, sf_dir, f"floor(l_orderkey / {crowd})").select("dealt", first.alias("first"), F.expr(views.PREDICTED).alias("seen"), *[F.expr(x) for x in views._exprs(views._BOX)])
+    rows = rows.selectExpr("dealt", "first", "seen", *views._exprs(views._GT))
+    second = F.struct(*[F.expr(x.strip()) for x in _split(_SECOND)[1:]])
+    return _numbered(rows.select(F.col("dealt").alias("image_id"), F.inline(F.when(F.col("seen"), F.array("first", second)).otherwise(F.array(second)))))
 
 
 def _split(columns: str) -> list[str]:
