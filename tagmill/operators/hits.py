@@ -37,12 +37,14 @@ def handle_hits(points: DataFrame, boxes: DataFrame, key: str = "image_id", numb
     """``points`` as point, ``hit`` (a box's number), ``handle`` (0 upper left, 1 upper right, 2 lower left, 3 lower right) and ``away``.
 
     Of the corners at a Manhattan distance of ``reach`` or less the nearest counts, of equals the one of the lowest number,
-    then of the first handle; null if there is none. A corner stands in each tile that its reach touches, nine at most.
+    then of the first handle; null if there is none. A point stands in each tile that its reach touches, nine at most (there
+    are four corners a box, so points are the fewer to deal).
     """
     corners = F.array(*[F.struct(F.lit(k).alias("handle"), F.col(x).alias("cx"), F.col(y).alias("cy")) for k, (x, y) in enumerate((("x1", "y1"), ("x2", "y1"), ("x1", "y2"), ("x2", "y2")))])
     dealt = boxes.select(F.col(key).alias("_k"), F.col(number).alias("hit"), F.explode(corners).alias("c")).select("_k", "hit", "c.*")
-    dealt = dealt.withColumn("_tx", _tiles(F.col("cx") - reach, F.col("cx") + reach, tile)).withColumn("_ty", _tiles(F.col("cy") - reach, F.col("cy") + reach, tile))
-    placed = points.select("point", F.col(key).alias("_k"), "x", "y", _tile(F.col("x"), tile).alias("_tx"), _tile(F.col("y"), tile).alias("_ty"))
+    dealt = dealt.withColumn("_tx", _tile(F.col("cx"), tile)).withColumn("_ty", _tile(F.col("cy"), tile))
+    placed = points.select("point", F.col(key).alias("_k"), "x", "y")
+    placed = placed.withColumn("_tx", _tiles(F.col("x") - reach, F.col("x") + reach, tile)).withColumn("_ty", _tiles(F.col("y") - reach, F.col("y") + reach, tile))
     away = F.abs(F.col("x") - F.col("cx")) + F.abs(F.col("y") - F.col("cy"))
     near = placed.join(dealt, ["_k", "_tx", "_ty"]).withColumn("away", away).where(F.col("away") <= reach)
     best = near.groupBy("point").agg(F.min(F.struct("away", "hit", "handle")).alias("b")).select("point", "b.hit", "b.handle", "b.away")
