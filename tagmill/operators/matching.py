@@ -39,23 +39,23 @@ def overlaps(left: DataFrame, right: DataFrame, least: float, on: tuple[str, ...
     return pairs.withColumn("iou", iou(a, b)).where(F.col("iou") >= least)
 
 
-def greedy(candidates: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+def greedy(candidates: DataFrame, keys: list[str], first: str, second: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """One-to-one pairs: ``first`` in ascending order takes the free ``second`` of the largest iou, the smallest of equals.
 
     As candidates hold only pairs at or above the threshold, walking them in the order (first, -iou, second) and taking
     each whose two sides are free gives just that: one fold a group. Groups of more than CROWD candidates are matched by
-    rounds of joins instead, with the same result, so that none has to fit in a row.
+    rounds of joins instead, with the same result, so that none has to fit in a row. Columns of ``keep`` go along.
     """
-    candidates = cut(candidates.select(*keys, first, second, "iou"))
+    candidates = cut(candidates.select(*keys, first, second, "iou", *keep))
     crowded = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWD).select(*keys)
     if not crowded.take(1):
-        return _fold(candidates, keys, first, second)
+        return _fold(candidates, keys, first, second, keep)
     crowded = cut(crowded)
-    return _fold(candidates.join(crowded, keys, "left_anti"), keys, first, second).unionByName(_rounds(candidates.join(crowded, keys), keys, first, second))
+    return _fold(candidates.join(crowded, keys, "left_anti"), keys, first, second, keep).unionByName(_rounds(candidates.join(crowded, keys), keys, first, second, keep))
 
 
-def _fold(candidates: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
-    order = F.struct(F.col(first).alias("i"), (-F.col("iou")).alias("v"), F.col(second).alias("j"))
+def _fold(candidates: DataFrame, keys: list[str], first: str, second: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    order = F.struct(F.col(first).alias("i"), (-F.col("iou")).alias("v"), F.col(second).alias("j"), *keep)
     rows = candidates.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("c"))
     # What is taken: the places in order, the seconds, and the last first; a first is free unless it is that one.
     none = F.lit(None).cast(dict(candidates.dtypes)[first])
@@ -67,35 +67,36 @@ def _fold(candidates: DataFrame, keys: list[str], first: str, second: str) -> Da
 
     numbered = F.transform("c", lambda x, k: F.struct(x.alias("x"), k.alias("k")))
     taken = F.transform(F.aggregate(numbered, start, lambda acc, y: take(acc, y["x"], y["k"]), lambda acc: acc["at"]), lambda k: F.get(F.col("c"), k))
-    return rows.select(*keys, F.inline(taken)).select(*keys, F.col("i").alias(first), F.col("j").alias(second), (-F.col("v")).alias("iou"))
+    return rows.select(*keys, F.inline(taken)).select(*keys, F.col("i").alias(first), F.col("j").alias(second), (-F.col("v")).alias("iou"), *keep)
 
 
-def _rounds(candidates: DataFrame, keys: list[str], first: str, second: str) -> DataFrame:
+def _rounds(candidates: DataFrame, keys: list[str], first: str, second: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """A round takes each pair that is best for its ``first`` and whose ``second`` no smaller first can claim any more."""
     left, out = cut(candidates), None
     while not left.isEmpty():
-        best = left.groupBy(*keys, first).agg(F.min(F.struct((-F.col("iou")).alias("v"), F.col(second).alias("j"))).alias("b"))
+        best = left.groupBy(*keys, first).agg(F.min(F.struct((-F.col("iou")).alias("v"), F.col(second).alias("j"), *keep)).alias("b"))
         claim = left.groupBy(*keys, second).agg(F.min(first).alias("_low"))
-        best = best.select(*keys, first, F.col("b.j").alias(second), (-F.col("b.v")).alias("iou"))
-        taken = cut(best.join(claim, [*keys, second]).where(F.col(first) == F.col("_low")).select(*keys, first, second, "iou"))
+        best = best.select(*keys, first, F.col("b.j").alias(second), (-F.col("b.v")).alias("iou"), *[f"b.{c}" for c in keep])
+        taken = cut(best.join(claim, [*keys, second]).where(F.col(first) == F.col("_low")).select(*keys, first, second, "iou", *keep))
         left = left.join(taken.select(*keys, first), [*keys, first], "left_anti").join(taken.select(*keys, second), [*keys, second], "left_anti")
-        left, out = cut(left.select(*keys, first, second, "iou")), taken if out is None else out.unionByName(taken)
-    return candidates.limit(0).select(*keys, first, second, "iou") if out is None else out
+        left, out = cut(left.select(*keys, first, second, "iou", *keep)), taken if out is None else out.unionByName(taken)
+    return candidates.limit(0).select(*keys, first, second, "iou", *keep) if out is None else out
 
 
-def match(gt: DataFrame, pred: DataFrame, least: float = 0.5, tile: float | None = 256.0) -> DataFrame:
+def match(gt: DataFrame, pred: DataFrame, least: float = 0.5, tile: float | None = 256.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each prediction (tp, conf or fp) and each true box left over (fn).
 
     ``gt``: image_id, gi, cls, corners; ``pred``: image_id, pr (rank by falling confidence), cls, conf, corners. Columns:
     image_id, kind, pr, gi, pred_cls, gt_cls, conf, iou. Matching looks at boxes alone; the class then tells tp from conf.
+    Columns of both inputs named in ``keep`` go along as pred_... and gt_....
     """
     found = overlaps(pred, gt, least, tile=tile).select("image_id", F.col("a_pr").alias("pr"), F.col("b_gi").alias("gi"), "iou")
     pairs = greedy(found, ["image_id"], "pr", "gi")
-    p = pred.select("image_id", "pr", F.col("cls").alias("pred_cls"), "conf").join(pairs, ["image_id", "pr"], "left")
-    g = gt.select("image_id", "gi", F.col("cls").alias("gt_cls"))
+    p = pred.select("image_id", "pr", F.col("cls").alias("pred_cls"), "conf", *[F.col(c).alias(f"pred_{c}") for c in keep]).join(pairs, ["image_id", "pr"], "left")
+    g = gt.select("image_id", "gi", F.col("cls").alias("gt_cls"), *[F.col(c).alias(f"gt_{c}") for c in keep])
     both = p.join(g, ["image_id", "gi"], "full")
     kind = F.when(F.col("pr").isNull(), "fn").when(F.col("gi").isNull(), "fp").when(F.col("pred_cls") == F.col("gt_cls"), "tp").otherwise("conf")
-    return both.select("image_id", kind.alias("kind"), "pr", "gi", "pred_cls", "gt_cls", "conf", "iou")
+    return both.select("image_id", kind.alias("kind"), "pr", "gi", "pred_cls", "gt_cls", "conf", "iou", *[f"{side}_{c}" for side in ("pred", "gt") for c in keep])
 
 
 def drift(ref: DataFrame, cand: DataFrame, least: float = 0.5, tile: float | None = 256.0) -> DataFrame:
@@ -104,11 +105,8 @@ def drift(ref: DataFrame, cand: DataFrame, least: float = 0.5, tile: float | Non
     Reference boxes choose in model order (pr).
     """
     found = overlaps(ref, cand, least, ("image_id", "cls"), tile)
-    rows = found.select("image_id", F.col("a_pr").alias("ref"), F.col("b_pr").alias("cand"), "iou")
-    pairs = greedy(rows, ["image_id"], "ref", "cand")
-    a = ref.select("image_id", F.col("pr").alias("ref"), F.col("conf").alias("ref_conf"))
-    b = cand.select("image_id", F.col("pr").alias("cand"), F.col("conf").alias("cand_conf"))
-    return pairs.join(a, ["image_id", "ref"]).join(b, ["image_id", "cand"]).select("image_id", "ref", "cand", "iou", F.abs(F.col("cand_conf") - F.col("ref_conf")).alias("d_conf"))
+    rows = found.select("image_id", F.col("a_pr").alias("ref"), F.col("b_pr").alias("cand"), "iou", F.abs(F.col("b_conf") - F.col("a_conf")).alias("d_conf"))
+    return greedy(rows, ["image_id"], "ref", "cand", ("d_conf",))
 
 
 def drift_summary(ref: DataFrame, cand: DataFrame, pairs: DataFrame, lost: float = 0.95, shifted: float = 0.05) -> DataFrame:

@@ -58,13 +58,11 @@ def eval_filter_views(spark, sf_dir):
 
 def eval_marks(spark, sf_dir):
     """The marks an image viewer draws: kind, normalised box and text."""
-    m = _matched(spark, sf_dir)
-    g, p = V.gt(spark, sf_dir), V.pred(spark, sf_dir)
-    shown_pred = m.where("kind <> 'fn'").join(p.select("image_id", "pr", *M.CORNERS), ["image_id", "pr"]).select("image_id", "kind", "pred_cls", "gt_cls", *M.CORNERS)
-    shown_gt = m.where("kind = 'fn'").join(g.select("image_id", "gi", *M.CORNERS), ["image_id", "gi"]).select("image_id", "kind", "pred_cls", "gt_cls", *M.CORNERS)
+    shown = M.match(V.gt(spark, sf_dir), V.pred(spark, sf_dir), keep=M.CORNERS).where("image_id IS NOT NULL")
+    at = {c: F.when(F.col("kind") == "fn", F.col(f"gt_{c}")).otherwise(F.col(f"pred_{c}")) for c in M.CORNERS}
     text = F.concat_ws(">", F.col("gt_cls").cast("string"), F.col("pred_cls").cast("string"))
-    scaled = [F.round(F.col(c) / (V.WIDTH if c[0] == "x" else V.HEIGHT), 8).alias(c) for c in M.CORNERS]
-    return shown_pred.unionByName(shown_gt).select("image_id", "kind", text.alias("label"), *scaled)
+    scaled = [F.round(x / (V.WIDTH if c[0] == "x" else V.HEIGHT), 8).alias(c) for c, x in at.items()]
+    return shown.select("image_id", "kind", text.alias("label"), *scaled)
 
 
 def _active(spark, sf_dir):

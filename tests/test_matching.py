@@ -110,3 +110,16 @@ def test_active_ranking(spark):
     assert [(r.image_id, round(r.score, 6)) for r in rows] == [("b", 1.4), ("a", 1.0), ("c", 1.0)]
     with pytest.raises(ValueError):
         R.active_scores(images, p, 0.7, 0.7)
+
+
+def test_matching_and_drift_read_their_boxes_once(spark):
+    """What is shown of a pair goes along with it instead of being joined again."""
+    from tagmill.plans import evaluation, suppression
+
+    data = "/root/testdata/sf0.001"
+    plans = {f.__name__: f(spark, data)._jdf.queryExecution().optimizedPlan().toString() for f in (evaluation.eval_marks, evaluation.drift_match)}
+    assert plans["eval_marks"].count("Window [") == 3 and "Window [" not in plans["drift_match"]
+    for crowd in (1, 16):
+        boxes = suppression.both(spark, data, crowd)
+        boxes.collect()
+        assert boxes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
