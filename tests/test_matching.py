@@ -123,3 +123,12 @@ def test_matching_and_drift_read_their_boxes_once(spark):
         boxes = suppression.both(spark, data, crowd)
         boxes.collect()
         assert boxes._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange ") == 1
+
+
+def test_corners_are_not_dealt_over_tiles(spark):
+    """Four corners a box are many; the points go to the tiles of their reach instead."""
+    from tagmill.plans import hits
+
+    plan = hits.point_handle_hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "sequence(" in line]
+    assert dealt and not any("cx#" in line or "cy#" in line for line in dealt)
