@@ -132,3 +132,13 @@ def test_corners_are_not_dealt_over_tiles(spark):
     plan = hits.point_handle_hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     dealt = [line for line in plan.splitlines() if "sequence(" in line]
     assert dealt and not any("cx#" in line or "cy#" in line for line in dealt)
+
+
+def test_kept_columns_go_along_in_rounds(spark, monkeypatch):
+    """Crowded groups, which are matched by rounds of joins, keep the same columns as folds do."""
+    from tagmill.operators import matching
+
+    rows = spark.createDataFrame([(i % 2, i % 7, i % 5, 0.5 + i / 200, 10 * i) for i in range(70)], "image_id long, a long, b long, iou double, more long").dropDuplicates(["image_id", "a", "b"])
+    fold = sorted(map(tuple, matching.greedy(rows, ["image_id"], "a", "b", ("more",)).collect()))
+    monkeypatch.setattr(matching, "CROWD", 3)
+    assert sorted(map(tuple, matching.greedy(rows, ["image_id"], "a", "b", ("more",)).collect())) == fold and len(fold) == 10
