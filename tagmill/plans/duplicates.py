@@ -13,7 +13,7 @@ from . import views as V
 # Fixed value: up to this distance two hashes are near-duplicates.
 TEXT_MOST = 5
 #: Vectors hash less evenly: at a distance of up to 15 of 63 bits they are near-duplicates.
-VECTOR_MOST, VECTOR_BANDS = 15, 4
+VECTOR_MOST = 15
 
 
 def _texts(spark, sf_dir):
@@ -38,7 +38,7 @@ def hamming_pairs_banded(spark, sf_dir):
 
 
 def hamming_pairs_vectors(spark, sf_dir):
-    return N.hamming_pairs_probed(_vectors(spark, sf_dir), VECTOR_MOST, VECTOR_BANDS, bits=63)
+    return N.hamming_pairs_blocked(_vectors(spark, sf_dir), VECTOR_MOST)
 
 
 def _groups(spark, sf_dir):

@@ -168,6 +168,27 @@ def test_wide_distances_compare_few_pairs(spark):
         assert got == [p for p in want if p[2] <= most]
 
 
+def test_blocks_find_all_pairs_without_rows_for_them(spark, monkeypatch):
+    """Negative hashes, blocks of a few hashes, empty blocks: every pair once, and no join makes a row a comparison."""
+    rng = random.Random(3)
+    found = [rng.getrandbits(64) - 2**63 for _ in range(300)]
+    found += [h ^ sum(1 << i for i in rng.sample(range(63), rng.randrange(1, 18))) for h in found[:100]] + found[:5]
+    df = spark.createDataFrame([(h,) for h in found] + [(None,)], "h long")
+    far = lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count()
+    want = sorted((a, b, far(a, b)) for a, b in itertools.combinations(sorted(set(found)), 2) if far(a, b) <= 15)
+    assert len(want) > 60
+    for size, at_once in ((65_536, 65_536), (30, 100), (30, 7)):
+        monkeypatch.setattr(N, "BLOCK_HASHES", size)
+        monkeypatch.setattr(N, "AT_ONCE", at_once)
+        assert sorted(map(tuple, N.hamming_pairs_blocked(df, 15).collect())) == want
+    for few in ([], [(5,)], [(5,), (5,), (7,)]):
+        assert N.hamming_pairs_blocked(spark.createDataFrame(few, "h long"), 15).count() == (len(set(few)) == 2)
+    from tagmill.plans import duplicates as D
+
+    plan = D.hamming_pairs_vectors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_dealt_hashes_are_not_broadcast(spark):
     """What Spark takes for a small table holds a row a hash and key: it must not pass through the driver."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
