@@ -172,6 +172,20 @@ def image_scores(matched: DataFrame) -> DataFrame:
     return rows.withColumn("score", error_score(F.col("fn"), F.col("fp"), F.col("conf")).cast("double"))
 
 
+def matched_image_scores(gt: DataFrame, pred: DataFrame, least: float = 0.5, tile: float | None = 256.0) -> DataFrame:
+    """``image_scores`` of ``match``, from counts alone: pairs know whether their classes agree, so no box is joined again."""
+    same = F.coalesce(F.col("a_cls") == F.col("b_cls"), F.lit(False)).alias("same")
+    found = overlaps(pred, gt, least, tile=tile).select("image_id", F.col("a_pr").alias("pr"), F.col("b_gi").alias("gi"), "iou", same)
+    pairs = greedy(found, ["image_id"], "pr", "gi", ("same",))
+    n = F.count(F.lit(1))
+    rows = pairs.groupBy("image_id").agg(n.alias("n_pairs"), F.count_if("same").alias("tp"))
+    for k, side in (("n_gt", gt), ("n_pred", pred)):
+        rows = rows.unionByName(side.groupBy("image_id").agg(n.alias(k)), allowMissingColumns=True)  # a row an image and side
+    sums = rows.groupBy("image_id").agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("n_gt", "n_pred", "n_pairs", "tp")])
+    out = sums.selectExpr("image_id", "tp", "n_pred - n_pairs AS fp", "n_gt - n_pairs AS fn", "n_pairs - tp AS conf")
+    return out.withColumn("score", error_score(F.col("fn"), F.col("fp"), F.col("conf")).cast("double"))
+
+
 def worst_images(matched: DataFrame, n: int = 15) -> DataFrame:
     return image_scores(matched).where("score > 0").orderBy(F.col("score").desc(), "image_id").limit(n)
 

@@ -29,7 +29,7 @@ def quarantine_manifest(spark, sf_dir):
 
 
 def top_n_manifest(spark, sf_dir):
-    scores = M.image_scores(M.match(V.gt(spark, sf_dir), V.pred(spark, sf_dir)))
+    scores = M.matched_image_scores(V.gt(spark, sf_dir), V.pred(spark, sf_dir))
     return K.top_n_manifest(scores, "score", 50)
 
 

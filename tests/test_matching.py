@@ -71,6 +71,21 @@ def test_match_is_greedy(spark, scene, monkeypatch, tile, crowd, least):
     assert all((r.kind == "tp") == (r.pred_cls == r.gt_cls) for r in rows if r.kind in ("tp", "conf"))
 
 
+@pytest.mark.parametrize("crowd", [20_000, 3])
+def test_counts_of_pairs_give_the_scores_of_images(spark, scene, monkeypatch, crowd):
+    """The scores of images need no box again: what is numbered is not read a second time for them."""
+    from tagmill.plans import manifests
+
+    monkeypatch.setattr(M, "CROWD", crowd)
+    gt, pred = frames(spark, *scene)
+    for few_gt, few_pred in ((gt, pred), (gt.limit(0), pred), (gt, pred.limit(0)), (gt.limit(0), pred.limit(0))):
+        want, got = M.image_scores(M.match(few_gt, few_pred)), M.matched_image_scores(few_gt, few_pred)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    monkeypatch.undo()  # crowded images are matched by joins
+    plan = manifests.top_n_manifest(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and "Join" not in plan  # the places of the result
+
+
 def test_drift_needs_the_class(spark, scene):
     gts, preds = scene
     ref = {i: ps[:8] for i, ps in preds.items()}
