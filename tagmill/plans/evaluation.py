@@ -44,8 +44,12 @@ def eval_class_prf(spark, sf_dir):
     return _rounded(M.class_scores(_matched(spark, sf_dir)), "precision", "recall", "f1")
 
 
+def _image_scores(spark, sf_dir):
+    return M.matched_image_scores(V.gt(spark, sf_dir), V.pred(spark, sf_dir))
+
+
 def eval_image_scores(spark, sf_dir):
-    return M.image_scores(_matched(spark, sf_dir))
+    return _image_scores(spark, sf_dir)
 
 
 def eval_worst_images(spark, sf_dir):
@@ -53,7 +57,7 @@ def eval_worst_images(spark, sf_dir):
 
 
 def eval_filter_views(spark, sf_dir):
-    return M.eval_view_counts(M.image_scores(_matched(spark, sf_dir)))
+    return M.eval_view_counts(_image_scores(spark, sf_dir))
 
 
 def eval_marks(spark, sf_dir):
