@@ -170,11 +170,12 @@ def duplicate_groups(hashes: DataFrame, most: int, extra: int = 2, bits: int = 6
     Groups are numbered by their smallest id, which is their representative. Rows without hash belong to none.
     """
     links = hamming_pairs(hashes, most, extra, bits)
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rows = hashes.where("h IS NOT NULL").join(roots.withColumnRenamed("node", "h"), "h", "left").select("id", F.coalesce("root", "h").alias("root"))
+    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), merge=True)
+    # Neither roots nor rows go through the driver: Spark would broadcast up to its threshold of them, whichever is smaller.
+    rows = hashes.where("h IS NOT NULL").join(roots.withColumnRenamed("node", "h").hint("merge"), "h", "left").select("id", F.coalesce("root", "h").alias("root"))
     groups = rows.groupBy("root").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     ordered = numbered(groups.select("root", "first"), "first", name="dup_group")
-    return rows.join(ordered, "root").select("id", "dup_group", (F.col("id") == F.col("first")).alias("dup_rep"))
+    return rows.join(ordered.hint("merge"), "root").select("id", "dup_group", (F.col("id") == F.col("first")).alias("dup_rep"))
 
 
 def group_stats(groups: DataFrame) -> DataFrame:

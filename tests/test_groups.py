@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tagmill.operators import neardup as N
 from tagmill.operators import numbering as S
 from tagmill.operators import split as P
 from tagmill.operators.graph import components
+from tagmill.plans import duplicates
 
 
 def hashes(n=120, seed=3):
@@ -196,3 +198,32 @@ def test_dealt_hashes_are_not_broadcast(spark):
     assert pairs.collect()
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def broadcast_joins(spark, run):
+    """Keys of the joins by broadcast in all jobs of ``run``, as Spark carried them out, with names instead of numbered columns."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    ids = lambda: {x.executionId() for x in (lambda seq: [seq.apply(i) for i in range(seq.size())])(store.executionsList())}
+    old = ids()
+    run()
+    bus.waitUntilEmpty()
+    found = set()
+    for k in ids() - old:
+        nodes = store.planGraph(k).allNodes()
+        said = [nodes.apply(i).desc() for i in range(nodes.size())]
+        found |= {re.search(r"\[(.*?)\]", re.sub(r"#\d+L?", "", x))[1] for x in said if x.startswith("BroadcastHashJoin")}
+    return found
+
+
+#: _p: a row a partition; dup_group: the ten largest groups.
+ROWS_STAY = {
+    "neardup_stats": {"_p"},
+}
+
+
+@pytest.mark.parametrize(("query", "bounded"), ROWS_STAY.items())
+def test_rows_are_not_broadcast(spark, query, bounded):
+    """No hash, label or row of the table passes through the driver, not even while tables are small."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    assert broadcast_joins(spark, lambda: duplicates.QUERIES[query](spark, "/root/testdata/sf0.001").collect()) <= bounded
