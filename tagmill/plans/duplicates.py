@@ -77,7 +77,7 @@ def neardup_keys(spark, sf_dir):
 
 def _split(spark, sf_dir):
     keys = S.cut(_keys(spark, sf_dir))
-    return keys.join(P.assign_splits(keys.select("key"), (0.7, 0.2, 0.1)).select("key", "split"), "key")
+    return keys.join(P.assign_splits(keys.select("key"), (0.7, 0.2, 0.1)).select("key", "split").hint("merge"), "key")
 
 
 def split_assign_md5(spark, sf_dir):
