@@ -97,7 +97,7 @@ def split_stats(assigned: DataFrame, boxes: DataFrame, names: DataFrame) -> Data
 
 def leaking_groups(groups: DataFrame, sides: DataFrame, left: str = "train", right: str = "val") -> DataFrame:
     """dup_group, n_left, n_right, first_left, first_right of groups on both sides. ``groups``: id, dup_group; ``sides``: id, split."""
-    rows = groups.join(sides, "id").where(F.col("split").isin(left, right))
+    rows = groups.join(sides.hint("merge"), "id").where(F.col("split").isin(left, right))
     of = {"left": F.col("split") == left, "right": F.col("split") == right}
     sums = rows.groupBy("dup_group").agg(*[F.count_if(x).alias(f"n_{k}") for k, x in of.items()], *[F.min(F.when(x, F.col("id"))).alias(f"first_{k}") for k, x in of.items()])
     return sums.where("n_left > 0 AND n_right > 0")
