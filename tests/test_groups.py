@@ -220,6 +220,7 @@ def broadcast_joins(spark, run):
 ROWS_STAY = {
     "neardup_stats": {"_p"},
     "split_assign_md5": {"_p"},
+    "split_leak_examples": {"_p"},
     "split_leak_groups": {"_p"},
 }
 
