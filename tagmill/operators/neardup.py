@@ -205,5 +205,5 @@ def split_keys(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` (id and more) with key: dup<group> for near-duplicates, tek<id> for others."""
     # The prefixes of both kinds of keys.
     alone = F.concat(F.lit("tek"), F.col("id").cast("string"))
-    out = rows.join(groups.select("id", "dup_group"), "id", "left")
+    out = rows.join(groups.select("id", "dup_group").hint("merge"), "id", "left")  # there may be a row of groups for each of rows
     return out.withColumn("key", F.when(F.col("dup_group").isNull(), alone).otherwise(F.concat(F.lit("dup"), F.col("dup_group").cast("string")))).drop("dup_group")
