@@ -218,6 +218,7 @@ def broadcast_joins(spark, run):
 
 #: _p: a row a partition; dup_group: the ten largest groups.
 ROWS_STAY = {
+    "neardup_groups": {"_p"},
     "neardup_keys": {"_p"},
     "neardup_stats": {"_p"},
     "split_assign_md5": {"_p"},
