@@ -220,6 +220,7 @@ def broadcast_joins(spark, run):
 ROWS_STAY = {
     "neardup_groups": {"_p"},
     "neardup_keys": {"_p"},
+    "neardup_largest": {"_p", "dup_group"},
     "neardup_line": {"_p"},
     "neardup_representatives": {"_p"},
     "neardup_stats": {"_p"},
