@@ -82,3 +82,24 @@ def test_split_materials_audit_once(spark):
 
     plan = manifests.split_materials(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_audit_views_seek_copies_among_all_orders(spark, tmp_path):
+    """Orders of every customer count as copies, in code and SQL; those without a customer or a price don't."""
+    import duckdb
+
+    from tagmill.plans import labelling
+
+    from .oracle import same_rows
+
+    orders = [(1, 1, 10.0), (2, 1, 20.0), (3, 2, 60000.0), (4, 2, 70000.0), (5, 3, 10.0), (6, 3, 20.0), (7, 4, 10.0), (8, 4, 60000.0), (9, None, 10.0), (10, None, 10.0), (11, 5, None), (12, 5, None)]
+    spark.createDataFrame([(k, c, "F", p) for k, c, p in orders], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    items.where("l_orderkey < 9").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = labelling.audit_filter_views(spark, str(tmp_path))
+    counts = {r["view"]: r["n"] for r in rows.collect()}
+    assert (counts["all"], counts["dup"]) == (12, 6)
+    con = duckdb.connect()
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    same_rows(rows, con, labelling.ORACLE["audit_filter_views"])
